@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from terrane.llm import blocks
 from terrane.llm.tables import written
 
-ANCHORS = "doc_id long, first int, count int, anchor long, around long"
+ANCHORS = "doc_id long, first int, count int, anchor long, around long, settled boolean, sure boolean, meet long"
 
 
 def units(data: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -31,17 +31,31 @@ def units(data: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndar
 
 
 def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
-    """docs (doc_id, text) as rows of ANCHORS."""
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("around", pa.int64())])
+    """docs (doc_id, text) as rows of ANCHORS.
+
+    Of rows that agree in anchor and around within one step of a task, the first goes on as `sure` to have a twin; the
+    others are settled and meet nothing (`meet`, what rows meet by, is then no anchor but spreads them). So a passage that
+    a third of all documents have comes to its anchor once for each step, not once for each document.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("around", pa.int64()), ("settled", pa.bool_()), ("sure", pa.bool_()), ("meet", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in blocks.texts(batch):
                 got = blocks.anchored(*units(data, offsets, by_word), window, gram)
-                if len(got["doc"]):
-                    columns = [ids.slice(i, j - i).take(pa.array(got["doc"]))] + [pa.array(got[k]).cast(t) for k, t in (("first", pa.int32()), ("count", pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(got["anchor"]), pa.array(got["around"])], schema=schema)
+                n = len(got["doc"])
+                if not n:
+                    continue
+                order = np.lexsort((got["around"], got["anchor"]))
+                same = np.zeros(n + 1, bool)
+                same[1:-1] = (got["anchor"][order][1:] == got["anchor"][order][:-1]) & (got["around"][order][1:] == got["around"][order][:-1])
+                settled, sure = np.empty(n, bool), np.empty(n, bool)
+                settled[order], sure[order] = same[:-1], same[1:] & ~same[:-1]
+                spread = blocks.mix(got["around"].view(np.uint64) ^ (got["doc"] << 32 | got["first"]).astype(np.uint64)).view(np.int64)
+                meet = np.where(settled, spread, got["anchor"])
+                columns = [ids.slice(i, j - i).take(pa.array(got["doc"])), pa.array(got["first"].astype(np.int32)), pa.array(got["count"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in (got["anchor"], got["around"], settled, sure, meet))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ANCHORS)
 
@@ -49,17 +63,17 @@ def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
 def seeds(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
     """The anchors that occur more than once: twin (another row covers just the same), kind (one row of each kind that an
     anchor with several kinds has) and kinds (how many that anchor has). Written: two later steps read it."""
-    by_anchor = Window.partitionBy("anchor")
+    by_anchor = Window.partitionBy("meet", "settled")
     inside = by_anchor.orderBy("around")
     rows = (
         anchors(docs, window, gram, by_word)
         .withColumn("before", F.lag("around").over(inside))
         .withColumn("after", F.lead("around").over(inside))
         .withColumn("new", F.col("before").isNull() | (F.col("before") != F.col("around")))
-        .withColumn("twin", ~F.col("new") | F.coalesce(F.col("after") == F.col("around"), F.lit(False)))
-        .where("before IS NOT NULL OR after IS NOT NULL")
+        .withColumn("twin", F.col("settled") | F.col("sure") | ~F.col("new") | F.coalesce(F.col("after") == F.col("around"), F.lit(False)))
+        .where("before IS NOT NULL OR after IS NOT NULL OR twin")
         .withColumn("kinds", F.sum(F.col("new").cast("int")).over(by_anchor).cast("int"))
-        .withColumn("kind", F.col("new") & (F.col("kinds") > 1))
+        .withColumn("kind", F.col("new") & ~F.col("settled") & (F.col("kinds") > 1))
         .where("twin OR kind")
     )
     return written(rows.select("doc_id", "first", "count", "anchor", "twin", "kind", "kinds"))

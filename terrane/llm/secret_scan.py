@@ -76,7 +76,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", exa
     judged = each.join(owned, "value_hash").withColumn("verdict", verdict)
     place = F.struct("start", "end", "kind", "value_hash", "owners", "repositories", "verdict")
     lists = judged.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(place)).alias("found")).withColumnRenamed("doc_id", "of").withColumnRenamed("tag", "of_tag")
-    kinds = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    kinds = [F.size(F.filter(F.col("base.kind"), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     joined = rows.join(lists, rows.doc_id.eqNullSafe(lists.of) & (rows.tag == lists.of_tag), "left")
     return joined.select("doc_id", "tag", *kinds, "base_sha256", F.coalesce("found", F.array().cast("array<struct<start:int,end:int,kind:string,value_hash:string,owners:bigint,repositories:bigint,verdict:string>>")).alias("found"))
 

@@ -129,27 +129,32 @@ def _count_batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, in
             yield first + i, first + j, *counts(codes, text_heads(data, offsets))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected of every whole text.
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected of every whole text; with `keep`,
+    those columns of docs in place of doc_id.
 
     A text that is null or has no letters is `und` with score 0, and rejected. Others get the language of the nearest
     centroid; they are rejected if they are further from it than its floor allows. Ties go to the centroid that comes
     first by language. Repeated rows and null ids are rows like others; an empty table gives no rows; a model fitted on
     no rows calls everything `und`; other columns are ignored.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    names = keep or ["doc_id"]
+    rows = docs.select(*names, F.col("text").alias("text to read")) if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").alias("text to read"))
+    found = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, tf, letters in _count_batches(batch, 1):
+            for i, j, tf, letters in _count_batches(batch, len(names)):
                 known = letters > 0 if model.languages else np.zeros(j - i, bool)
                 best, cosine = model.best(tf) if model.languages else (np.zeros(j - i, np.int64), np.zeros(j - i))
-                names = [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+                langs = [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                 floor = model.floor[best] if model.languages else 1.0
                 score = np.where(known, np.clip(cosine, 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names), pa.array(score), pa.array(~known | (score < floor))], schema=schema)
+                columns = [c.slice(i, j - i) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(score), pa.array(~known | (score < floor))], schema=pa.schema([*list(batch.schema)[:-1], *found]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
@@ -16,7 +16,7 @@ from terrane.llm.tables import written
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Shingles of the sets that one tree holds; a larger group of candidates is joined block by block.
-TREE_SHINGLES = 1 << 22
+TREE_SHINGLES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,38 +44,57 @@ def _spare(size: np.ndarray, percent: int) -> np.ndarray:
 
 def _shared(size: np.ndarray, percent: int) -> np.ndarray:
     """How many of the long prefix must be shared, by the size of the smaller set."""
-    return np.maximum(1, (_spare(size, percent) + 1) // 2)
+    return np.maximum(1, _spare(size, percent))
 
 
-def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, two signatures of the set, and its long prefix: the shingles of least hash that links must share
-    some of (see _candidates)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_SALTS = (0x2545F4914F6CDD1D, 0x6C8E9CF570932BD5)
+
+
+def _signs(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    sums = np.append(np.uint64(0), np.cumsum(blocks.mix(hashes ^ np.uint64(salt)), dtype=np.uint64))
+    return (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size of the shingle set, and two signatures of it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks.texts(batch):
                 hashes, bounds = shingle_sets(data, offsets, n)
-                size = np.diff(bounds)
-                signs = []
-                for salt in (0x2545F4914F6CDD1D, 0x6C8E9CF570932BD5):
-                    sums = np.append(np.uint64(0), np.cumsum(blocks.mix(hashes ^ np.uint64(salt)), dtype=np.uint64))
-                    signs.append(pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)))
+                signs = [pa.array(_signs(hashes, bounds, salt)) for salt in _SALTS]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), *signs], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, s1 long, s2 long")
+
+
+def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """token, s1: the long prefix of each set, its shingles of least hash (see _candidates); sets that repeat within one
+    step of a task come once."""
+    schema = pa.schema([("token", pa.int64()), ("s1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks.texts(batch):
+                hashes, bounds = shingle_sets(data, offsets, n)
+                sign, one = np.unique(_signs(hashes, bounds, _SALTS[0]), return_index=True)
+                size = np.diff(bounds)[one]
                 length = np.minimum(size, _spare(size, percent) + _shared(size, percent))
-                ends = np.append(0, np.cumsum(length))
-                at = np.arange(ends[-1]) - np.repeat(ends[:-1] - bounds[:-1], length)
-                prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), *signs, prefix], schema=schema)
+                ends = np.cumsum(length)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[one] - (ends - length), length)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(np.repeat(sign, length))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, s1 long, s2 long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "token long, s1 long")
 
 
-def _candidates(kinds: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) such that every two kinds that can link are connected.
+def _candidates(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) of signatures such that every two sets that can link are connected. sizes: s1, size.
 
     With d spare shingles, the first d + l shingles in hash order of two linked sets share l at least (l goes by the
-    smaller set). So a set with fewer than l shingles there that others have too links to none. Of the d + l, ordered
-    by how many sets have them, rarest first, the first d + 1 hold the first shared one. Sets meet by those.
+    smaller set). So a set with fewer than l shingles there that others have too links to none. Of the d + l, in one
+    order for all sets, those that no other set has first and then the rarest, the first d + 1 hold the first shared
+    one. Sets meet by those.
     """
     size = F.col("size")
 
@@ -83,19 +102,18 @@ def _candidates(kinds: DataFrame, percent: int) -> DataFrame:
         return x - F.ceil(x * percent / 100)
 
     def shared(x):
-        return F.greatest(F.lit(1), F.floor((spare(x) + 1) / 2))
+        return F.greatest(F.lit(1), spare(x))
 
-    tokens = kinds.select("kind", "size", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    least = F.ceil(size * percent / 100)
-    common = tokens.join(often, "token").groupBy("kind", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    by_token = Window.partitionBy("token")
+    tokens = prefixes.select("*", F.count(F.lit(1)).over(by_token).alias("df"), F.min("s1").over(by_token).alias("low"), F.max("s1").over(by_token).alias("high"))
+    common = tokens.where("low != high").groupBy("s1").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("common"))
     width = F.least(size, spare(size) + shared(size))
-    needed = F.least(shared(least), width)
+    needed = F.least(shared(F.ceil(size * percent / 100)), width)
     rare = width - F.size("common")
-    keys = common.where(F.size("common") >= needed).select("kind", F.explode(F.slice("common", 1, F.greatest(F.lit(0), width - needed + 1 - rare).cast("int"))).alias("key"))
-    keys = keys.select("kind", F.col("key.token").alias("token"))
-    least_kind = keys.groupBy("token").agg(F.min("kind").alias("v"))
-    return keys.join(least_kind, "token").select(F.col("kind").alias("u"), "v").where("u != v").distinct()
+    keys = common.join(sizes, "s1").where(F.size("common") >= needed)
+    keys = keys.select("s1", F.explode(F.slice("common", 1, F.greatest(F.lit(0), width - needed + 1 - rare).cast("int"))["token"]).alias("token"))
+    keys = written(keys)
+    return keys.join(keys.groupBy("token").agg(F.min("s1").alias("v")), "token").select(F.col("s1").alias("u"), "v").where("u != v").distinct()
 
 
 class PrefixTree:
@@ -184,6 +202,8 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("kind", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
+        one = np.unique(rows["kind"].to_numpy(), return_index=True)[1]  # repeated rows of a document brought its kind again
+        rows = rows.take(pa.array(one))
         kind, copies = rows["kind"].to_numpy(), rows["copies"].to_numpy()
         probe, held = (np.flatnonzero(rows[k].to_numpy()) for k in ("probe", "held"))
         shingles = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
@@ -220,12 +240,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     Repeated rows are documents like others (rows of one id are one document in components); a null id links, but names
     no component and gets its own (null) if it is alone. An empty table gives no rows; other columns are ignored.
     """
-    sets = written(_sets(docs, n, percent))
-    filled = sets.where("size > 0")
-    kinds = filled.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("kind"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix")).where("kind IS NOT NULL")
-    kinds = written(kinds)
-    groups = components(_candidates(kinds, percent)).withColumnRenamed("node", "kind").withColumnRenamed("root", "group")
-    members = written(groups.join(kinds.select("kind", "copies", "size", "s1", "s2"), "kind"))
+    sets = written(_sets(docs, n))
+    kinds = written(sets.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("kind"), F.count(F.lit(1)).alias("copies")).where("kind IS NOT NULL"))
+    edges = _candidates(_prefixes(docs, n, percent), kinds.select("s1", "size"), percent)
+    groups = components(edges).withColumnRenamed("node", "s1").withColumnRenamed("root", "group")
+    members = written(groups.join(kinds, "s1"))
     weight = members.groupBy("group").agg(F.ceil(F.sum("size") / TREE_SHINGLES).cast("int").alias("parts"))
     cells = members.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("kind"), F.col("parts")).cast("int"))
     # (probe part, held part) cells; with one part, both roles are one row
@@ -263,11 +282,11 @@ def _with_shingles(docs: DataFrame, roles: DataFrame, n: int) -> DataFrame:
             sign, roles_ = batch.column(2).to_numpy(), batch.column(3)
             for i, j, data, offsets in blocks.texts(batch):
                 hashes, bounds = shingle_sets(data, offsets, n)
-                rows = []
+                signs, rows = _signs(hashes, bounds, _SALTS[0]), []
                 for k in range(j - i):
                     own = hashes[bounds[k] : bounds[k + 1]]
-                    if np.sum(blocks.mix(own ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64).view(np.int64) == sign[i + k]:
+                    if signs[k] == sign[i + k]:
                         rows += [(*(r[x] for x in names), own.tobytes()) for r in roles_[i + k].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return joined.mapInArrow(run, "cell long, kind long, copies long, probe boolean, held boolean, shingles binary").dropDuplicates(["cell", "kind", "probe", "held"])
+    return joined.mapInArrow(run, "cell long, kind long, copies long, probe boolean, held boolean, shingles binary")

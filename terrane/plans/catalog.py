@@ -440,10 +440,10 @@ def q_dix(spark, sf):
     return earth.dix(f).select("key", "z_idx", r("vint", 3).alias("vint"))
 
 
-@query(f"WITH {T}, f AS (SELECT trace AS key, z_idx, (z_idx + 1) / 10.0 AS t, 1500 + val AS v FROM t), n AS (SELECT *, t - lag(t, 1, 0) OVER (PARTITION BY key ORDER BY t) AS dt FROM f) SELECT key, z_idx, round(sqrt(sum(v * v * dt) OVER w / t), 7) AS vrms, round(sum(v * dt) OVER w / t, 7) AS vavg, round(sum(v * dt / 2) OVER w, 7) AS depth FROM n WINDOW w AS (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING)")
+@query(f"WITH {T}, f AS (SELECT trace AS key, z_idx, (z_idx + 1) / 10.0 AS t, 1500 + val * 1.0000137 AS v FROM t), n AS (SELECT *, t - lag(t, 1, 0) OVER (PARTITION BY key ORDER BY t) AS dt FROM f) SELECT key, z_idx, round(sqrt(sum(v * v * dt) OVER w / t), 5) AS vrms, round(sum(v * dt) OVER w / t, 5) AS vavg, round(sum(v * dt / 2) OVER w, 5) AS depth FROM n WINDOW w AS (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def q_vrms(spark, sf):
-    f = trace_view(spark, sf).select(F.col("trace").alias("key"), ((F.col("z_idx") + 1) / 10.0).cast("double").alias("t"), (1500 + F.col("val")).alias("vint"))
-    return earth.rms_velocity(f).select("key", (F.round(F.col("t") * 10) - 1).cast("int").alias("z_idx"), *[r(c, 7).alias(c) for c in ("vrms", "vavg", "depth")])
+    f = trace_view(spark, sf).select(F.col("trace").alias("key"), ((F.col("z_idx") + 1) / 10.0).cast("double").alias("t"), (1500 + F.col("val") * 1.0000137).alias("vint"))
+    return earth.rms_velocity(f).select("key", (F.round(F.col("t") * 10) - 1).cast("int").alias("z_idx"), *[r(c, 5).alias(c) for c in ("vrms", "vavg", "depth")])
 
 
 @query("SELECT p_partkey, round(2000 * (exp(0.6 * (p_size / 10.0) / 2) - 1) / 0.6, 4) AS depth, round(sqrt((p_size / 10.0) * (p_size / 10.0) + 1000.0 * 1000.0 / (2000.0 * 2000.0)), 6) AS moveout FROM part")

@@ -85,25 +85,20 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coded(vocabulary, schema, _short), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _full(got: list[tuple]) -> tuple:
+def _full(got: list[tuple], tokens: dict[int, bytes]) -> tuple:
     ids = [int(x) for _, listed, _ in got for x in listed.split(",")]
-    tokens = _tokens_by_id[-1]
     parts = [tokens[i] for i in ids]
     return ids, np.cumsum([len(p) for p in parts], dtype=np.int64).tolist(), b"".join(parts)
 
 
-def _short(got: list[tuple]) -> tuple:
+def _short(got: list[tuple], tokens: dict[int, bytes]) -> tuple:
     return sum(n for n, _, _ in got), hashlib.sha256(",".join([listed for _, listed, _ in got]).encode()).hexdigest(), hashlib.sha256(b"".join([decoded for _, _, decoded in got])).hexdigest()
 
 
-_tokens_by_id: list[dict[int, bytes]] = []
-
-
 def _coded(vocabulary: str, schema: pa.Schema, shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks(vocabulary)
         tokens = {r: token for token, r in rank.items()}
-        _tokens_by_id[:] = [tokens]
 
         def code(piece: str) -> tuple[int, str, bytes]:
             ids = [rank[part] for part in merge(piece.encode(), rank)]
@@ -116,7 +111,7 @@ def _coded(vocabulary: str, schema: pa.Schema, shape):
                 found, at = pieces(data.tobytes().decode(), heads[:-1])
                 got = [cache[p] for p in found]
                 bounds = np.searchsorted(at, heads).tolist()
-                rows = [shape(got[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                rows = [shape(got[a:b], tokens) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
     return run

@@ -95,16 +95,22 @@ def _short(got: list[tuple], tokens: dict[int, bytes]) -> tuple:
     return sum(n for n, _, _ in got), hashlib.sha256(",".join([listed for _, listed, _ in got]).encode()).hexdigest(), hashlib.sha256(b"".join([decoded for _, _, decoded in got])).hexdigest()
 
 
-def _coded(vocabulary: str, schema: pa.Schema, shape):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks(vocabulary)
-        tokens = {r: token for token, r in rank.items()}
+@functools.cache
+def _coder(vocabulary: str) -> tuple[dict[int, bytes], Cache]:
+    """The tokens by id, and (ids, the same in decimal, decoded bytes) of any piece; a worker keeps them from task to task."""
+    rank = ranks(vocabulary)
+    tokens = {r: token for token, r in rank.items()}
+
+    def code(piece: str) -> tuple[int, str, bytes]:
+        ids = [rank[part] for part in merge(piece.encode(), rank)]
+        return len(ids), ",".join(map(str, ids)), b"".join([tokens[i] for i in ids])
 
-        def code(piece: str) -> tuple[int, str, bytes]:
-            ids = [rank[part] for part in merge(piece.encode(), rank)]
-            return len(ids), ",".join(map(str, ids)), b"".join([tokens[i] for i in ids])
+    return tokens, Cache(code)
 
-        cache = Cache(code)
+
+def _coded(vocabulary: str, schema: pa.Schema, shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, cache = _coder(vocabulary)
         for batch in batches:
             for i, j, data, offsets in blocks.texts(batch):
                 heads = text_heads(data, offsets)

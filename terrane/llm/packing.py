@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -89,23 +90,30 @@ def best_fit(counts: dict[int, int], window: int) -> list[tuple[int, int, int, i
     return plan
 
 
+@functools.cache
+def _coder(tokenizer: str) -> tuple[dict[str, bytes], Cache]:
+    """The special tokens, and the ids of any piece, as bytes; a worker keeps them from task to task."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer).model
+    special = {text: np.uint32(i).tobytes() for text, i in vocabulary(tokenizer)[1].items()}
+    letter = {b: c for c, b in byte_letters().items()}
+
+    def code(piece: str) -> bytes:
+        if piece in special:
+            return special[piece]
+        return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letter))], "<u4").tobytes()
+
+    return special, Cache(code)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
     """Each document's ids, end_id last, cut into full windows and a rest: PIECES."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer).model
-        special = {text: np.uint32(i).tobytes() for text, i in vocabulary(tokenizer)[1].items()}
-        letter = {b: c for c, b in byte_letters().items()}
-
-        def code(piece: str) -> bytes:
-            if piece in special:
-                return special[piece]
-            return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letter))], "<u4").tobytes()
-
-        cache, last = Cache(code), np.uint32(end_id).tobytes()
+        special, cache = _coder(tokenizer)
+        last = np.uint32(end_id).tobytes()
         for batch in batches:
             for i, j, data, offsets in blocks.texts(batch):
                 text, heads = data.tobytes().decode(), text_heads(data, offsets)

@@ -134,7 +134,7 @@ def text_heads(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Cache(dict):
     """What `make` gives for a piece, kept until there are too many."""
 
-    def __init__(self, make, most: int = 1_000_000, longest: int = 200):
+    def __init__(self, make, most: int = 700_000, longest: int = 200):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -127,3 +127,50 @@ def semblance(grid: DataFrame, di: int, dc: int) -> DataFrame:
     """Squared sum over n times the sum of squares of the rectangle around each cell; undefined where all is 0."""
     near = F.col("near")
     return neighbourhood(grid.where("val IS NOT NULL"), di, dc).groupBy("inl", "crl", "z").agg((F.sum(near) * F.sum(near) / F.nullif(F.count(near) * F.sum(near * near), F.lit(0.0))).alias("semblance"))
+
+
+def normalised(traces: DataFrame) -> DataFrame:
+    """centred: value less its trace's mean. scaled: the trace's range, taken without its last sample, to [-1, 1]; 0 without a range."""
+    whole = Window.partitionBy("trace")
+    inner = F.when(F.col("z_idx") < F.col("last"), v())
+    rows = traces.withColumn("last", F.max("z_idx").over(whole)).withColumns({"low": F.min(inner).over(whole), "high": F.max(inner).over(whole)})
+    scaled = F.when(F.col("high") > F.col("low"), (v() - F.col("low")) * 2 / (F.col("high") - F.col("low")) - 1).otherwise(0.0)
+    return rows.withColumns({"centred": v() - F.avg(v()).over(whole), "scaled": scaled}).drop("last", "low", "high")
+
+
+def correlation(pairs: DataFrame) -> DataFrame:
+    """Sum of products over the root of both energies, for pairs (trace, z_idx, a, b); undefined where either is still or any
+    sample is undefined."""
+    a, b = F.col("a"), F.col("b")
+    value = F.sum(a * b) / F.nullif(F.sqrt(F.sum(a * a) * F.sum(b * b)), F.lit(0.0))
+    return pairs.groupBy("trace").agg(F.when(F.count(F.lit(1)) == F.count(a * b), value).alias("correlation"))
+
+
+def outer_mutes(gathers: DataFrame) -> DataFrame:
+    """The last sample before each trace's first that is not 0, never deeper at a near offset (crl) than at a farther one of
+    its gather (inl); a trace of zeros takes what the farther ones have."""
+    top = gathers.groupBy("inl", "crl").agg((F.min(F.when(v() != 0, F.col("z"))) - 1).alias("top"))
+    from_far = Window.partitionBy("inl").orderBy(F.desc("crl")).rowsBetween(Window.unboundedPreceding, 0)
+    return top.select("inl", "crl", F.min("top").over(from_far).alias("mute"))
+
+
+def lateral_smooth(grid: DataFrame, di: int, dc: int) -> DataFrame:
+    """Median and mean of the rectangle around each cell, slice by slice."""
+    return neighbourhood(grid, di, dc).groupBy("inl", "crl", "z").agg(F.median("near").alias("median"), F.avg("near").alias("mean"))
+
+
+def fill_inverse_distance(grid: DataFrame, radius: int, least: int) -> DataFrame:
+    """Cells without a value that have `least` valued cells or more within the radius: their mean by 1 / distance squared."""
+    known = grid.where("val IS NOT NULL")
+    around = [(i, c) for i in range(-radius, radius + 1) for c in range(-radius, radius + 1) if 0 < i * i + c * c <= radius * radius]
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(1.0 / (i * i + c * c)).alias("w")) for i, c in around]))
+    moved = known.select("*", shifts.alias("s")).select((F.col("inl") + F.col("s.i")).alias("inl"), (F.col("crl") + F.col("s.c")).alias("crl"), "z", "val", "s.w")
+    filled = moved.groupBy("inl", "crl", "z").agg((F.sum(v() * F.col("w")) / F.sum("w")).alias("filled"), F.count(F.lit(1)).alias("n"))
+    return filled.where(F.col("n") >= least).join(known, ["inl", "crl", "z"], "left_anti")
+
+
+def merge_stack(cubes: DataFrame) -> DataFrame:
+    """The traces (cube, inl, crl) at one position averaged sample by sample; those of zeros alone count only where all are."""
+    live = F.max(F.abs(v())).over(Window.partitionBy("cube", "inl", "crl")) > 0
+    rows = cubes.withColumn("live", F.coalesce(live, F.lit(False))).withColumn("some", F.max("live").over(Window.partitionBy("inl", "crl")))
+    return rows.where("live OR NOT some").groupBy("inl", "crl", "z").agg(F.avg(v()).alias("val"))

@@ -475,12 +475,52 @@ def q_bayes_classify(spark, sf):
     return earth.classify(load(spark, sf, "events"), [(20.0, 10.0, 0.5), (50.0, 15.0, 0.3), (90.0, 8.0, 0.2)], "value").select("event_id", "cls", r("confidence", 5).alias("confidence"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, 1000000 + l_suppkey AS v FROM lineitem WHERE l_partkey % 10 = l_suppkey % 10 AND l_quantity < 20), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(node, c) AS (SELECT u, u FROM b UNION SELECT b.v, w.c FROM w JOIN b ON b.u = w.node) SELECT node, min(c) AS component FROM w GROUP BY node")
+@query()
 def q_connected_components(spark, sf):
-    e = load(spark, sf, "lineitem").where("l_partkey % 10 = l_suppkey % 10 AND l_quantity < 20").select(F.col("l_partkey").alias("u"), (1000000 + F.col("l_suppkey")).alias("v"))
+    """Parts and suppliers joined by all rows of lineitem; a recursive SQL query is too slow on whole tables."""
+    e = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("u"), (1000000000 + F.col("l_suppkey")).alias("v"))
     return graph.connected(e.distinct())
 
 
+# ---- traces side by side, gathers and gaps
+
+
+@query(f"WITH {T}, e AS (SELECT *, max(z_idx) OVER (PARTITION BY trace) AS last, avg(val) OVER (PARTITION BY trace) AS mean FROM t), n AS (SELECT *, min(CASE WHEN z_idx < last THEN val END) OVER (PARTITION BY trace) AS low, max(CASE WHEN z_idx < last THEN val END) OVER (PARTITION BY trace) AS high FROM e) SELECT trace, z_idx, round(val - mean, 5) AS centred, round(CASE WHEN high > low THEN (val - low) * 2 / (high - low) - 1 ELSE 0 END, 5) AS scaled FROM n")
+def q_trace_normalise(spark, sf):
+    return traces.normalised(trace_view(spark, sf)).select("trace", "z_idx", r("centred", 5).alias("centred"), r("scaled", 5).alias("scaled"))
+
+
+@query(f"WITH {T} SELECT a.trace, round(sum(a.val * b.val) / sqrt(sum(a.val * a.val) * sum(b.val * b.val)), 6) AS correlation FROM t a JOIN t b ON b.trace = a.trace + 1 AND b.z_idx = a.z_idx GROUP BY a.trace")
+def q_trace_correlation(spark, sf):
+    t = trace_view(spark, sf)
+    beside = t.select((F.col("trace") - 1).alias("trace"), "z_idx", F.col("val").alias("b"))
+    pairs = t.select("trace", "z_idx", F.col("val").alias("a")).join(beside, ["trace", "z_idx"])
+    return traces.correlation(pairs).select("trace", r("correlation").alias("correlation"))
+
+
+@query(f"WITH {G}, c AS (SELECT inl, crl, z, CASE WHEN val > 40 THEN val ELSE 0 END AS val FROM g), m AS (SELECT inl, crl, min(CASE WHEN val <> 0 THEN z END) - 1 AS top FROM c GROUP BY ALL) SELECT inl, crl, min(top) OVER (PARTITION BY inl ORDER BY crl DESC ROWS UNBOUNDED PRECEDING) AS mute FROM m")
+def q_gather_mutes(spark, sf):
+    cells = grid(spark, sf).withColumn("val", F.when(F.col("val") > 40, F.col("val")).otherwise(0.0))
+    return traces.outer_mutes(cells)
+
+
+@query(f"WITH {G} SELECT a.inl, a.crl, a.z, round(median(b.val), 8) AS median, round(avg(b.val), 8) AS mean FROM g a JOIN g b ON b.z = a.z AND b.inl BETWEEN a.inl - 1 AND a.inl + 1 AND b.crl BETWEEN a.crl - 1 AND a.crl + 1 GROUP BY ALL")
+def q_lateral_smooth(spark, sf):
+    return traces.lateral_smooth(grid(spark, sf), 1, 1).select("inl", "crl", "z", r("median", 8).alias("median"), r("mean", 8).alias("mean"))
+
+
+@query(f"WITH {G}, o AS (SELECT i, c FROM range(-2, 3) a(i), range(-2, 3) b(c) WHERE i * i + c * c BETWEEN 1 AND 4), n AS (SELECT inl + i AS inl, crl + c AS crl, z, sum(val / (i * i + c * c)) / sum(1 / (i * i + c * c)) AS filled, count(*) AS n FROM g, o GROUP BY ALL) SELECT inl, crl, z, round(filled, 8) AS filled FROM n ANTI JOIN g USING (inl, crl, z) WHERE n >= 3")
+def q_inverse_distance(spark, sf):
+    return traces.fill_inverse_distance(grid(spark, sf), 2, 3).select("inl", "crl", "z", r("filled", 8).alias("filled"))
+
+
+@query("WITH t AS (SELECT l_returnflag AS cube, l_suppkey AS inl, l_linenumber AS crl, year(l_shipdate) AS z, CASE WHEN avg(l_quantity) > 26 THEN avg(l_extendedprice) ELSE 0 END AS val FROM lineitem GROUP BY ALL), d AS (SELECT *, max(abs(val)) OVER (PARTITION BY cube, inl, crl) > 0 AS live FROM t), e AS (SELECT *, bool_or(live) OVER (PARTITION BY inl, crl) AS any_live FROM d) SELECT inl, crl, CAST(z AS INTEGER) AS z, round(avg(val), 7) AS val FROM e WHERE live OR NOT any_live GROUP BY ALL")
+def q_merge_stack(spark, sf):
+    level = F.when(F.avg("l_quantity") > 26, F.avg("l_extendedprice")).otherwise(0.0)
+    cubes = load(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("cube"), F.col("l_suppkey").alias("inl"), F.col("l_linenumber").alias("crl"), F.year("l_shipdate").alias("z")).agg(level.alias("val"))
+    return traces.merge_stack(cubes).select("inl", "crl", "z", r("val", 7).alias("val"))
+
+
 # ---- sets, sorting, windows of time
 
 

@@ -18,3 +18,17 @@ def test_query(spark, con, name):
         assert not differences(df, SQL[name], con)[:3]
     else:
         assert df.count() > 0
+
+
+def test_connected_components(spark, con):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in con.execute("SELECT DISTINCT l_partkey, 1000000000 + l_suppkey FROM lineitem").fetchall():
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    assert {tuple(x) for x in QUERIES["connected_components"](spark, SF).select("node", "component").collect()} == {(x, find(x)) for x in list(root)}

@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane.functions import stats
 from terrane.functions.formula import formula, recursive
 from terrane.operators import earth, graph, points, traces
+from terrane.plans import signals, volumes  # noqa: F401  (they register their queries)
+from terrane.plans.registry import QUERIES, SQL, query, r  # noqa: F401
 from terrane.plans.views import G, H, L, T, grid, horizons, load, logs
 from terrane.plans.views import traces as trace_view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query by its function's name, without the q_ in front."""
-
-    def keep(f):
-        name = f.__name__.removeprefix("q_")
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-def r(c, digits: int = 6):
-    return F.round(c, digits)
-
-
 def col(name: str):
     return F.col(name)
 

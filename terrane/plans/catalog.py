@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import stats
 from terrane.functions.formula import formula, recursive
 from terrane.operators import earth, graph, points, traces
-from terrane.plans import signals, stores, volumes  # noqa: F401  (they register their queries)
+from terrane.plans import signals, stores, values, volumes  # noqa: F401  (they register their queries)
 from terrane.plans.registry import QUERIES, SQL, query, r  # noqa: F401
 from terrane.plans.views import G, H, L, T, grid, horizons, load, logs
 from terrane.plans.views import traces as trace_view

@@ -113,7 +113,7 @@ def q_stream_without_repeats(spark, sf):
     return windows.drained(got.select("user_id", "event_type"), [], "append")
 
 
-@query("SELECT user_id, count(value) AS n, round(avg(value), 8) AS average, round(coalesce(var_samp(value), 0), 6) AS variance, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+@query("SELECT user_id, count(value) AS n, round(avg(value), 8) AS average, round(coalesce(var_samp(value), 0), 8) AS variance, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def q_stream_statistics(spark, sf):
     got = windows.drained(windows.live_statistics(_events(spark, sf), "user_id", "value"), ["user_id"])
-    return got.withColumns({"average": r("average", 8), "variance": r("variance")})
+    return got.withColumns({"average": r("average", 8), "variance": r("variance", 8)})

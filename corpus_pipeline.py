@@ -32,10 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 bytes or more that occur twice are cut; texts of which nothing but white space is left go."""
-    found = suffix_dedup.remove_repeats(docs, 200).where("n_removed > 0").select(F.col("doc_id").alias("of"), F.col("kept_text").alias("left"))
-    cut = docs.join(found.dropDuplicates(["of"]), F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    text = F.when(F.col("left").isNotNull(), F.col("left")).otherwise(F.col("text"))
-    return cut.where(F.col("left").isNull() | (F.trim("left") != "")).select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length("left").cast("long"), "n_chars").alias("n_chars"))
+    found = suffix_dedup.remove_repeats(docs, 200, keep=COLUMNS[1:])
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(~cut | (F.trim("kept_text") != "")).select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

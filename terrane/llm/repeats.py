@@ -3,7 +3,8 @@
 Every window of `window` units lies under one anchor, its gram of least hash, and equal windows lie under equal anchors.
 Rows of one anchor that agree in all they cover ("twins") are repeats as they are. Where an anchor's rows differ, one
 row of each kind goes on to an exact comparison of the single windows. Only anchors are shuffled: about
-2 / (window - gram + 2) rows for each unit of text.
+2 / (window - gram + 2) rows for each unit of text. Rows of text are told apart by doc_id and tag, a hash of the text, so that null ids and
+ids that come twice share nothing but equal texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,13 @@ from pyspark.sql import functions as F
 from terrane.llm import blocks
 from terrane.llm.tables import written
 
-ANCHORS = "doc_id long, first int, count int, anchor long, around long, settled boolean, sure boolean, meet long"
+ANCHORS = "doc_id long, tag long, first int, count int, anchor long, around long, settled boolean, sure boolean, meet long"
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text of docs, and what other columns there are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text", *others)
 
 
 def units(data: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -37,11 +44,11 @@ def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
     others are settled and meet nothing (`meet`, what rows meet by, is then no anchor but spreads them). So a passage that
     a third of all documents have comes to its anchor once for each step, not once for each document.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("around", pa.int64()), ("settled", pa.bool_()), ("sure", pa.bool_()), ("meet", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("around", pa.int64()), ("settled", pa.bool_()), ("sure", pa.bool_()), ("meet", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, tags = batch.column(0), batch.column(1)
             for i, j, data, offsets in blocks.texts(batch):
                 got = blocks.anchored(*units(data, offsets, by_word), window, gram)
                 n = len(got["doc"])
@@ -54,10 +61,11 @@ def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
                 settled[order], sure[order] = same[:-1], same[1:] & ~same[:-1]
                 spread = blocks.mix(got["around"].view(np.uint64) ^ (got["doc"] << 32 | got["first"]).astype(np.uint64)).view(np.int64)
                 meet = np.where(settled, spread, got["anchor"])
-                columns = [ids.slice(i, j - i).take(pa.array(got["doc"])), pa.array(got["first"].astype(np.int32)), pa.array(got["count"].astype(np.int32))]
+                of = pa.array(got["doc"])
+                columns = [ids.slice(i, j - i).take(of), tags.slice(i, j - i).take(of), pa.array(got["first"].astype(np.int32)), pa.array(got["count"].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in (got["anchor"], got["around"], settled, sure, meet))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ANCHORS)
+    return tagged(docs.select("doc_id", "text")).mapInArrow(run, ANCHORS)
 
 
 def seeds(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
@@ -76,14 +84,14 @@ def seeds(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
         .withColumn("kind", F.col("new") & ~F.col("settled") & (F.col("kinds") > 1))
         .where("twin OR kind")
     )
-    return written(rows.select("doc_id", "first", "count", "anchor", "twin", "kind", "kinds"))
+    return written(rows.select("doc_id", "tag", "first", "count", "anchor", "twin", "kind", "kinds"))
 
 
 def with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """rows (doc_id, spans: a list of structs, bounded by the document's own length) beside the text of their document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    r = rows.withColumnRenamed("doc_id", "of")
-    return d.join(r, d.doc_id.eqNullSafe(r.of), how).drop("of")
+    """rows (doc_id, tag, spans: a list of structs, bounded by the document's own length) beside the text of their document."""
+    d = tagged(docs)
+    r = rows.withColumnRenamed("doc_id", "of").withColumnRenamed("tag", "of_tag")
+    return d.join(r, d.doc_id.eqNullSafe(r.of) & (d.tag == r.of_tag), how).drop("of", "of_tag")
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:
@@ -98,13 +106,13 @@ def covered(spans: list[dict] | None, n: int) -> np.ndarray:
 
 
 def window_hashes(docs: DataFrame, kinds: DataFrame, window: int, by_word: bool) -> DataFrame:
-    """A row for each window that the rows of kinds cover: doc_id, at, and 96 bits of hash (h, g)."""
-    wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32())])
+    """A row for each window that the rows of kinds cover: doc_id, tag, at, and 96 bits of hash (h, g)."""
+    wanted = kinds.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("g", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column(0), batch.column(2)
+            ids, tags, spans = batch.column(0), batch.column(1), batch.column(3)
             for i, j, data, offsets in blocks.texts(batch):
                 values, bounds = units(data, offsets, by_word)
                 lists = spans.slice(i, j - i)
@@ -118,20 +126,21 @@ def window_hashes(docs: DataFrame, kinds: DataFrame, window: int, by_word: bool)
                 start, at, doc = start[inside], at[inside], of[row][inside]
                 h = blocks.Spans(values)(start, start + window)
                 g = blocks.Spans(blocks.mix(values ^ np.uint64(0x5851F42D4C957F2D)))(start, start + window) >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32))], schema=schema)
+                own = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(own), tags.slice(i, j - i).take(own), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32))], schema=schema)
 
-    return with_text(docs, wanted, "inner").mapInArrow(run, "doc_id long, at int, h long, g int")
+    return with_text(docs.select("doc_id", "text"), wanted, "inner").mapInArrow(run, "doc_id long, tag long, at int, h long, g int")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """Of window_hashes' rows, those whose hash occurs more than once."""
     same = Window.partitionBy("h", "g")
-    return rows.withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1").select("doc_id", "at")
+    return rows.withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1").select("doc_id", "tag", "at")
 
 
 def spans_of(found: DataFrame, twins: DataFrame, window: int) -> DataFrame:
-    """doc_id, spans (at, size): all that is repeated."""
-    both = found.select("doc_id", "at", F.lit(window).alias("size")).unionByName(
-        twins.select("doc_id", F.col("first").alias("at"), (F.col("count") + F.lit(window - 1)).alias("size"))
+    """doc_id, tag, spans (at, size): all that is repeated."""
+    both = found.select("doc_id", "tag", "at", F.lit(window).alias("size")).unionByName(
+        twins.select("doc_id", "tag", F.col("first").alias("at"), (F.col("count") + F.lit(window - 1)).alias("size"))
     )
-    return both.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+    return both.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "size")).alias("spans"))

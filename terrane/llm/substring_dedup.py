@@ -23,8 +23,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, gram: int = 12, keep_te
 
     Returns one row for each row: doc_id, n_words, n_removed, n_spans (maximal removed runs), kept_sha256 (of the kept
     words joined by one space) and kept_text (null unless keep_text). A null text is empty. Null ids and repeated rows
-    are documents like others (rows of one id are expected to have one text). An empty table gives no rows; other
-    columns are ignored.
+    are documents like others: rows are told apart by doc_id and a 64-bit hash of the text. An empty table gives no
+    rows; other columns are ignored.
     """
     found = seeds(docs, min_words, gram, True)
     single = repeated_windows(window_hashes(docs, found.where("kind"), min_words, True))
@@ -34,7 +34,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, gram: int = 12, keep_te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 words = (text.as_py() or b"").split()
                 n = len(words)
                 gone = covered(marks.as_py(), n) if marks.is_valid else None
@@ -46,4 +46,4 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, gram: int = 12, keep_te
                 rows.append((doc_id, n, n - len(words), runs, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
 
-    return with_text(docs, spans, "left").mapInArrow(cut, SCHEMA)
+    return with_text(docs.select("doc_id", "text"), spans, "left").mapInArrow(cut, SCHEMA)

@@ -131,15 +131,15 @@ def repeated_in(bodies: list[np.ndarray], counts: np.ndarray, window: int) -> tu
 
 
 def _segments(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
-    """The bytes that each row of kinds covers: anchor, doc_id, first, count, body."""
-    wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("spans"))
-    parts = with_text(docs, wanted, "inner").select("doc_id", F.encode("text", "UTF-8").alias("bytes"), F.explode("spans").alias("s"))
-    return parts.select("s.anchor", "doc_id", "s.first", "s.count", F.substring(F.col("bytes"), F.col("s.first") + 1, F.col("s.count") + F.lit(window - 1)).alias("body"))
+    """The bytes that each row of kinds covers: anchor, doc_id, tag, first, count, body."""
+    wanted = kinds.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("spans"))
+    parts = with_text(docs.select("doc_id", "text"), wanted, "inner").select("doc_id", "tag", F.encode("text", "UTF-8").alias("bytes"), F.explode("spans").alias("s"))
+    return parts.select("s.anchor", "doc_id", "tag", "s.first", "s.count", F.substring(F.col("bytes"), F.col("s.first") + 1, F.col("s.count") + F.lit(window - 1)).alias("body"))
 
 
 def _sorted_repeats(segments: DataFrame, window: int) -> DataFrame:
-    """doc_id, at of the repeated windows of the segments, which meet by anchor."""
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32())])
+    """doc_id, tag, at of the repeated windows of the segments, which meet by anchor."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32())])
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -148,12 +148,13 @@ def _sorted_repeats(segments: DataFrame, window: int) -> DataFrame:
         data = np.frombuffer(body.buffers()[2], np.uint8)
         segment, place = repeated_in([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], rows["count"].to_numpy(), window)
         at = rows["first"].to_numpy()[segment] + place
-        return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(pa.array(segment)), pa.array(at.astype(np.int32))], schema=schema)
+        own = pa.array(segment)
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks().take(own) for c in ("doc_id", "tag")), pa.array(at.astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            anchor, body = batch.column(0).to_numpy(), pc.binary_length(batch.column(4)).to_numpy()
+            anchor, body = batch.column(0).to_numpy(), pc.binary_length(batch.column(5)).to_numpy()
             begin, done = 0, np.cumsum(body)
             for cut in (np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist() + [len(anchor)] if len(anchor) else []:
                 fresh = begin == 0 and held and held[-1]["anchor"][-1].as_py() != anchor[0]
@@ -173,10 +174,10 @@ def _sorted_repeats(segments: DataFrame, window: int) -> DataFrame:
         if held:
             yield solve(pa.concat_tables(held))
 
-    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, at int")
+    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tag long, at int")
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Each document without the bytes that lie in a string of `min_bytes` bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes; matches never cross documents, may overlap, may lie in one document, and are judged on the
@@ -185,10 +186,11 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_t
     prefix of min_bytes bytes are repeats.
 
     Returns one row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text
-    (null unless keep_text; a character that loses only some of its bytes is left out of it). A null text is empty.
-    Null ids and repeated rows are documents like others (rows of one id are expected to have one text). An empty
-    table gives no rows; other columns are ignored.
+    (null unless keep_text; a character that loses only some of its bytes is left out of it), and the columns of
+    docs that `keep` names. A null text is empty. Null ids and repeated rows are documents like others: rows are told
+    apart by doc_id and a 64-bit hash of the text. An empty table gives no rows; other columns are ignored.
     """
+    names = keep or []
     found = seeds(docs, min_bytes, gram, False)
     kinds = found.where("kind")
     sorted_ = _sorted_repeats(_segments(docs, kinds.where(F.col("kinds") <= CROWD), min_bytes), min_bytes)
@@ -199,7 +201,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
                 kept = text.as_py() or b""
                 n, runs = len(kept), 0
                 if marks.is_valid and n:
@@ -207,6 +209,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_t
                     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(kept, np.uint8)[~gone].tobytes()
                 rows.append((doc_id, n, n - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
+            columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema]
+            named = [batch.schema.get_field_index(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(k) for k in named)], schema=pa.schema([*schema, *(batch.schema.field(k) for k in named)]))
 
-    return with_text(docs, spans, "left").mapInArrow(cut, SCHEMA)
+    beside = with_text(docs.select("doc_id", "text", *(c for c in names if c != "text")), spans, "left")
+    kinds_of = "".join(f", `{c}` {beside.schema[c].dataType.simpleString()}" for c in names)
+    return beside.mapInArrow(cut, SCHEMA + kinds_of)

@@ -217,3 +217,27 @@ def test_pipeline_keeps_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"))
         assert docs.columns == corpus_pipeline.COLUMNS and docs.count() > 100
+
+
+def test_null_ids_keep_their_own_repeats(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    passage = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = passage(60)
+    # two null-id rows that share nothing with each other, and an id that comes with two texts
+    texts = [(None, f"{passage(40)} {shared} {passage(20)}"), (None, passage(150)), (None, passage(90)), (1, f"{passage(3)} {shared} {passage(70)}"), (2, passage(100)), (2, f"{shared} {passage(9)}")]
+    table = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    words = [t.split() for _, t in texts]
+    times = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = [_kept(w, 35, [i for i in range(len(w) - 34) if times[tuple(w[i : i + 35])] > 1]) for w in words]
+    want = [" ".join(x for x, g in zip(w, gone) if not g) for w, gone in zip(words, want)]
+    assert sorted(r.kept_text for r in substring_dedup.remove_repeats(table, 35).collect()) == sorted(want)
+    data = [t.encode() for _, t in texts]
+    times = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    want = [_kept(d, 200, [i for i in range(len(d) - 199) if times[d[i : i + 200]] > 1]) for d in data]
+    want = [np.frombuffer(d, np.uint8)[~gone].tobytes().decode() for d, gone in zip(data, want)]
+    assert sorted(r.kept_text for r in suffix_dedup.remove_repeats(table, 200).collect()) == sorted(want)
+    got = corpus_pipeline.repeated_passages(spark, table, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.source, r.text, r.n_chars) for r in got.collect()) == sorted((f"s{k}", t, len(t)) for k, t in enumerate(want))

@@ -24,10 +24,18 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (similarity 0.8 or more), the one with the least doc_id stays."""
-    found = jaccard_join.similar_components(docs, 5, 80).where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    kept = found.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Of rows with one doc_id and one text, one stays, by least source; of documents linked by five-word shingles
+    (similarity 0.8 or more), the one with the least doc_id.
+
+    Documents are told apart by `row`, a 64-bit hash of doc_id and text: null ids are one document for each text, and
+    come last in their group; of one id's linked texts the one of least hash stays.
+    """
+    same = docs.groupBy(F.xxhash64("doc_id", "text").alias("row")).agg(F.min(F.struct("source", "n_chars", "lang", "doc_id", "text")).alias("d"))
+    rows = written(same.select("row", *(F.col(f"d.{c}") for c in COLUMNS)))
+    linked = jaccard_join.similar_components(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    kept = linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,3 +241,19 @@ def test_null_ids_keep_their_own_repeats(spark):
     got = corpus_pipeline.repeated_passages(spark, table, "")
     assert got.columns == corpus_pipeline.COLUMNS
     assert sorted((r.source, r.text, r.n_chars) for r in got.collect()) == sorted((f"s{k}", t, len(t)) for k, t in enumerate(want))
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    passage = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, short, near, other = passage(100), passage(8), passage(120), passage(50)
+    rows = [(7, long), (7, long), (7, short), (7, short), (None, near), (None, near), (None, near + " end"), (None, other), (5, other), (6, passage(60)), (None, None), (None, None)]
+    table = spark.createDataFrame([(i, t, "en", f"s{k % 2}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.written(corpus_pipeline.near_duplicates(spark, table, ""))
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    (one,) = [k for k in left if k[1] in (near, near + " end")]
+    assert left == Counter([(7, long), (7, short), (5, other), (6, rows[9][1]), (None, None), one])
+    kept = corpus_pipeline.repeated_passages(spark, got, "")
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == left

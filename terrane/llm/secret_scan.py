@@ -38,17 +38,18 @@ def looks_random(value: str) -> bool:
     return len(set(value)) >= 6 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3, live_repositories: int = 3, example_repositories: int = 10) -> DataFrame:
     """Every candidate of every text with its corpus-wide ownership: found (kind, start, end, value_hash, owners, repositories,
     verdict), a list for each row, beside doc_id, n_assign, n_access, n_hex and base_sha256.
 
     Values are hashed where they are found; distinct owners and repositories are counted for each hash over the whole
-    corpus. `example`: at least example_owners owners have it, a value that is copied around; `live`: one owner only, and
-    it looks random; `shared`: anything between. Positions are code points, ends exclusive. base_sha256 is that of
+    corpus. `example`: at least example_owners owners or at least example_repositories repositories have it, a value that is
+    copied around; `live`: one owner only, in live_repositories repositories at most, and it looks random; `shared`:
+    anything between. Positions are code points, ends exclusive. base_sha256 is that of
     kind:start:end, comma-joined, of all found.
 
-    A null text is empty; a null owner counts as one owner; repeated rows are reported each but are one repository; an
-    empty table gives no rows; other columns are ignored.
+    A null text is empty; a null owner counts as one owner, a null repository as one for each text; repeated rows are
+    reported each but are one repository; an empty table gives no rows; other columns are ignored.
     """
     one = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_hash", pa.string()), ("random", pa.bool_())])
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("owner", pa.string()), ("repository", pa.string()), ("base_sha256", pa.string()), ("base", pa.list_(one))])
@@ -68,11 +69,12 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", exa
             run, "doc_id long, tag long, owner string, repository string, base_sha256 string, base array<struct<kind:string,start:int,end:int,value_hash:string,random:boolean>>"
         )
     )
-    each = rows.select("doc_id", "tag", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("base").alias("c")).select("*", "c.*").drop("c", "base")
+    each = rows.select("doc_id", "tag", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.concat(F.lit("null "), "tag")).alias("repository"), F.explode("base").alias("c")).select("*", "c.*").drop("c", "base")
     # repositories belong to owners: fold them one level at a time, each before its shuffle
     by_owner = each.groupBy("value_hash", "owner", "repository").agg(F.lit(1).alias("x")).groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("r"))
     owned = by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
-    verdict = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("shared")
+    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories), "example")
+    verdict = verdict.when((F.col("owners") == 1) & (F.col("repositories") <= live_repositories) & F.col("random"), "live").otherwise("shared")
     judged = each.join(owned, "value_hash").withColumn("verdict", verdict)
     place = F.struct("start", "end", "kind", "value_hash", "owners", "repositories", "verdict")
     lists = judged.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(place)).alias("found")).withColumnRenamed("doc_id", "of").withColumnRenamed("tag", "of_tag")

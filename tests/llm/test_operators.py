@@ -257,3 +257,18 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     assert left == Counter([(7, long), (7, short), (5, other), (6, rows[9][1]), (None, None), one])
     kept = corpus_pipeline.repeated_passages(spark, got, "")
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == left
+
+
+def test_secrets_copied_within_one_owner_are_not_live(spark):
+    import corpus_pipeline
+
+    copies = {"copied11aaxyz": 40, "between22bbxyz": 5, "twice33ccxyz": 2, "lonely44ddxyz": 1}
+    rows = [(100 * k + i, f"row {i} password={v}", "en", "one", 30) for k, (v, n) in enumerate(copies.items()) for i in range(n)]
+    rows += [(None, f"null {i} password=nulls55eexyz", "en", "one", 30) for i in range(12)]
+    rows += [(900, "again password=again66ffxyz", "en", "one", 30)] * 12  # repeated rows are one repository
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {"copied11aaxyz": (40, "example"), "between22bbxyz": (5, "shared"), "twice33ccxyz": (2, "live"), "lonely44ddxyz": (1, "live"), "nulls55eexyz": (12, "example"), "again66ffxyz": (1, "live")}
+    found = {c.value_hash: (c.repositories, c.verdict) for r in secret_scan.scan(table).collect() for c in r.found}
+    assert found == {hashlib.sha256(v.encode()).hexdigest(): x for v, x in want.items()}
+    left = [r.text for r in corpus_pipeline.secrets(spark, table, "").collect()]
+    assert len(left) == len(rows) and sum("[secret]" in t for t in left) == 2 + 1 + 12

@@ -18,6 +18,10 @@ from terrane.llm.pretokens import LETTER, classes_of, text_heads
 CELLS = 1 << 12
 #: Rows of text turned into vectors at a time.
 ROWS = 512
+#: Lengths in characters that checked texts are cut to, beside their own, to learn how near texts of a length come.
+CUTS = [1 << k for k in range(2, 14)]
+#: Checked texts that a floor is read from at least; languages with fewer texts than LEAST_HELD hold none back.
+LEAST_CHECKED, LEAST_HELD = 50, 20
 
 
 @functools.cache
@@ -48,7 +52,8 @@ def counts(codes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """languages: the language of each centroid; centroids: unit rows; idf; floor: least cosine that isn't rejected, by centroid."""
+    """languages: the language of each centroid; centroids: unit rows; idf; floor: least cosine that isn't rejected, at 1, 2, 4 ...
+    CELLS distinct cells of a text."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -65,6 +70,11 @@ class Model:
         return best, near[np.arange(len(best)), best]
 
 
+    def floors(self, tf: np.ndarray) -> np.ndarray:
+        """The floor for each row, between those at the powers of two next to its distinct cells."""
+        return np.interp(np.log2(np.maximum((tf > 0).sum(1), 1)), np.arange(len(self.floor)), self.floor)
+
+
 def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from the row nearest to the mean, then from those least like the starts so far."""
     mean = v.mean(0)
@@ -78,20 +88,30 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centre
 
 
-def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, leeway: float = 0.15) -> Model:
+def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, below: float = 0.01) -> Model:
     """A model of labelled texts (doc_id, text, lang), which holds `centroids` centroids for each language.
 
     It is fitted on about `per_language` rows of each language, those of least hash of doc_id: their cell counts, at most
-    CELLS numbers a row, come to the driver. A text is rejected later if its cosine is below `leeway` times the first
-    percentile of the cosines of the centroid's own training texts.
+    CELLS numbers a row, come to the driver. A quarter of them is held back: the cosines of those texts, whole and cut to
+    CUTS, to their nearest centroids give the floors. A text is rejected later if its cosine is below that of all but
+    the share `below` of the held-back texts that have as many distinct cells (a long text that says one word again and
+    again is held against short ones). A language with fewer than LEAST_HELD texts learns from and checks all of them.
     """
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    share = {r.lang: min(1.0, per_language / r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    times = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {lang: min(1.0, per_language / n) for lang, n in times.items()}
     if not share:
-        return Model([], np.zeros((0, CELLS)), np.ones(CELLS), np.zeros(0))
+        return Model([], np.zeros((0, CELLS)), np.ones(CELLS), np.zeros(1))
     bound = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, int(s * (1 << 30)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound[F.col("lang")]).select("text", "lang")
-    schema = pa.schema([("lang", pa.string()), ("cells", pa.binary()), ("times", pa.binary())])
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound[F.col("lang")])
+    few = F.col("lang").isin([lang for lang, n in sorted(times.items()) if n < LEAST_HELD])
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held back")), F.lit(4)) == 0
+    # role 0: learn from; 1: check, whole or cut
+    sizes = F.filter(F.array(*map(F.lit, CUTS)), lambda k: k < F.length("text"))
+    parts = F.when(held | few, F.transform(F.concat(sizes, F.array(F.length("text"))), lambda k: F.struct(F.lit(1).alias("role"), k.alias("size")))).otherwise(F.array().cast("array<struct<role:int,size:int>>"))
+    parts = F.concat(parts, F.when(~held | few, F.array(F.struct(F.lit(0).alias("role"), F.length("text").alias("size")))).otherwise(F.array().cast("array<struct<role:int,size:int>>")))
+    sample = sample.select("text", "lang", F.explode(parts).alias("part")).select(F.col("text").substr(F.lit(1), F.col("part.size")).alias("text"), "lang", "part.role")
+    schema = pa.schema([("lang", pa.string()), ("role", pa.int32()), ("cells", pa.binary()), ("times", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,28 +119,44 @@ def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, leeway
                 keep = np.flatnonzero(letters)
                 cells = [np.flatnonzero(tf[k]).astype(np.uint16) for k in keep]
                 times = [tf[k][c].astype(np.float32) for k, c in zip(keep, cells, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i).take(pa.array(keep)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([t.tobytes() for t in times], pa.binary())], schema=schema)
-
-    got = sample.mapInArrow(run, "lang string, cells binary, times binary").collect()
-    tf = np.zeros((len(got), CELLS), np.float32)
-    for row, r in zip(tf, got, strict=True):
-        row[np.frombuffer(r.cells, np.uint16)] = np.frombuffer(r.times, np.float32)
-    langs = np.array([r.lang for r in got])
-    model = Model([], np.zeros((0, CELLS)), np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1, np.zeros(0))
+                own = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).take(own) for c in (1, 2)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([t.tobytes() for t in times], pa.binary())], schema=schema)
+
+    got = sample.mapInArrow(run, "lang string, role int, cells binary, times binary").collect()
+    learned, checked = ([r for r in got if r.role == k] for k in (0, 1))
+    tf = _dense(learned)
+    langs = np.array([r.lang for r in learned])
+    model = Model([], np.zeros((0, CELLS)), np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1, np.zeros(1))
     vectors = model.vectors(tf)
     for lang in sorted(set(langs.tolist())):
         own = vectors[langs == lang]
         order = np.lexsort(own[:, :8].T)  # the same model in whatever order rows come
         centre = _clusters(own[order], centroids)
-        near = own @ centre.T
-        for c in range(len(centre)):
-            mine = near[near.argmax(1) == c, c]
-            model.floor = np.append(model.floor, leeway * np.quantile(mine, 0.01) if len(mine) else 0.0)
         model.languages += [lang] * len(centre)
         model.centroids = np.vstack([model.centroids, centre])
+    if model.languages and checked:
+        near = [model.best(_dense(checked[k : k + ROWS]))[1] for k in range(0, len(checked), ROWS)]
+        model.floor = _floor(np.array([len(r.cells) // 2 for r in checked]), np.concatenate(near), below)
     return model
 
 
+def _dense(rows: list) -> np.ndarray:
+    tf = np.zeros((len(rows), CELLS), np.float32)
+    for row, r in zip(tf, rows, strict=True):
+        row[np.frombuffer(r.cells, np.uint16)] = np.frombuffer(r.times, np.float32)
+    return tf
+
+
+def _floor(cells: np.ndarray, cosine: np.ndarray, below: float) -> np.ndarray:
+    """The quantile `below` of the cosines at each power of two of distinct cells; where fewer than LEAST_CHECKED texts
+    have about as many, what the powers next to it give."""
+    steps = np.arange(int(np.log2(CELLS)) + 1)
+    at = np.rint(np.log2(np.maximum(cells, 1))).astype(int)
+    many = np.bincount(at, minlength=len(steps))
+    known = steps[many >= min(LEAST_CHECKED, many.max())]
+    return np.interp(steps, known, [np.quantile(cosine[at == k], below) for k in known])
+
+
 def _count_batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for first in range(0, batch.num_rows, ROWS):
         part = batch.slice(first, ROWS)
@@ -134,7 +170,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     those columns of docs in place of doc_id.
 
     A text that is null or has no letters is `und` with score 0, and rejected. Others get the language of the nearest
-    centroid; they are rejected if they are further from it than its floor allows. Ties go to the centroid that comes
+    centroid; they are rejected if they are further from it than the floor at their distinct cells allows. Ties go to the centroid that comes
     first by language. Repeated rows and null ids are rows like others; an empty table gives no rows; a model fitted on
     no rows calls everything `und`; other columns are ignored.
     """
@@ -148,7 +184,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                 known = letters > 0 if model.languages else np.zeros(j - i, bool)
                 best, cosine = model.best(tf) if model.languages else (np.zeros(j - i, np.int64), np.zeros(j - i))
                 langs = [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                floor = model.floor[best] if model.languages else 1.0
+                floor = model.floors(tf) if model.languages else 1.0
                 score = np.where(known, np.clip(cosine, 0, 1), 0.0)
                 columns = [c.slice(i, j - i) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(score), pa.array(~known | (score < floor))], schema=pa.schema([*list(batch.schema)[:-1], *found]))

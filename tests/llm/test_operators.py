@@ -272,3 +272,24 @@ def test_secrets_copied_within_one_owner_are_not_live(spark):
     assert found == {hashlib.sha256(v.encode()).hexdigest(): x for v, x in want.items()}
     left = [r.text for r in corpus_pipeline.secrets(spark, table, "").collect()]
     assert len(left) == len(rows) and sum("[secret]" in t for t in left) == 2 + 1 + 12
+
+
+def test_language_id_rejects_noise_and_unlearned_languages(spark):
+    import base64
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(table.where(~out))
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    noise = [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 300, 1500) for _ in range(10)]
+    noise += [letters(n) for n in (80, 400, 2000) for _ in range(10)]
+    noise += [" ".join(letters(rng.randint(2, 9)) for _ in range(n)) for n in (15, 60, 300) for _ in range(10)]
+    noise += ["Tämä on suomenkielinen lause, jota malli ei ole koskaan nähnyt, koska se oppi vain muita kieliä ja siksi se hylätään."]
+    noise += ["To jest zdanie w języku, którego model nie zna, ponieważ uczył się tylko innych języków i powinno zostać odrzucone."]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string"), model)
+    assert not [(r.doc_id, r.score) for r in got.where("NOT rejected").collect()]
+    for size in (40, 160, 100000):
+        clean = table.where(out).withColumn("text", F.substring("text", 1, size))
+        kept = [not r.rejected for r in language_id.predict(clean, model).collect()]
+        assert np.mean(kept) >= 0.96, (size, np.mean(kept))

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm import blocks
+from terrane.llm.pretokens import WHITE, classes_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks int"
-_SPACES = b" \n\r\t"
+#: Code points between a splice and the edges of its overlap.
+MARGIN = 8
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,18 +61,38 @@ def _aligned(data: bytes, at: int) -> int:
     return at
 
 
-def _stable(data: bytes, at: np.ndarray) -> np.ndarray:
-    """Places where a token ends whatever lies before or behind: white space after an ASCII sign that is none.
+def _stable(data: bytes, begin: int, stop: int, ends: np.ndarray, fresh: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Places in data[begin:stop], which one encoding (token ends `ends`) ends with and another (`fresh`) starts with, where
+    the first may hand over to the second.
 
-    No piece holds white space behind another sign, and how a piece ends doesn't depend on what came before it.
+    Both must end a token there, away from the edges of the overlap, and not within a special string. Then it is enough that
+    a piece ends there whatever lies before or behind: white space after any other sign, or two of letters, numbers and
+    other signs side by side (but for the apostrophe of contractions). Or the place lies in one run of letters, numbers,
+    signs or white space, and both have one and the same token before it: a sequence of tokens whose neighbours all merge
+    to themselves is what the merges give for their piece, and each pair of neighbours here is found in one of the two.
     """
-    codes = np.frombuffer(data, np.uint8)
-    at = at[(at > 0) & (at < len(data))]
-    before, after = codes[at - 1], codes[at]
-    return at[(before > 32) & (before < 127) & np.isin(after, list(_SPACES))]
-
-
-def count_spliced(data: bytes, encode, size: np.ndarray, chunk: int, overlap: int) -> tuple[int, int]:
+    raw = np.frombuffer(data, np.uint8, stop - begin, begin)
+    heads = np.flatnonzero((raw & 0xC0) != 0x80) + begin
+    kinds = classes_of(codes := np.frombuffer(data[begin:stop].decode().encode("utf-32-le"), np.uint32))
+    at, old, new = np.intersect1d(ends, fresh, assume_unique=True, return_indices=True)
+    one_token = np.where(old > 0, ends[old - 1], -1) == np.where(new > 0, fresh[new - 1], begin)
+    k = np.searchsorted(heads, at)
+    inside = (k >= MARGIN) & (k + MARGIN <= len(heads))
+    inside[inside] &= heads[k[inside]] == at[inside]
+    for string in special:
+        found = data.find(string, max(0, begin - len(string)))
+        while 0 <= found < stop:
+            inside &= (at <= found) | (at >= found + len(string))
+            found = data.find(string, found + 1)
+    at, k, one_token = at[inside], k[inside], one_token[inside]
+    before, after = kinds[k - 1], kinds[k]
+    piece = (before != WHITE) & (before != after) & ((codes[k - 1] != ord("'")) | (after == WHITE))
+    changes = np.append(0, np.cumsum(kinds[1:] != kinds[:-1]))
+    run = changes[k - 4] == changes[k + 3]
+    return at[piece | (run & one_token)]
+
+
+def count_spliced(data: bytes, encode, size: np.ndarray, chunk: int, overlap: int, special: list[bytes] = ()) -> tuple[int, int]:
     """(tokens, chunks) of one UTF-8 text of any length."""
     total, chunks, begin, stop = 0, 1, 0, _aligned(data, min(chunk, len(data)))
     ends = np.cumsum(size[encode(data[:stop].decode())])
@@ -79,18 +100,20 @@ def count_spliced(data: bytes, encode, size: np.ndarray, chunk: int, overlap: in
     while stop < len(data):
         reach = overlap
         while True:
-            again = _aligned(data, max(begin, stop - reach))
-            further = _aligned(data, min(len(data), again + max(chunk, 2 * reach)))
-            fresh = again + np.cumsum(size[encode(data[again:further].decode())])
-            chunks += 1
-            inside = ends[(ends > again) & (ends < stop - 1)]
-            common = _stable(data, np.intersect1d(inside, fresh, assume_unique=True))
-            if len(common):
-                splice = int(common[-1])
-                total += int(np.searchsorted(ends, splice, "right")) - skipped
-                begin, stop, ends, skipped = again, further, fresh, int(np.searchsorted(fresh, splice, "right"))
-                break
-            if again == begin:  # nothing in all of the chunk: it grows
+            # the next chunk begins where a token of this one does, so that runs of one sign are in step
+            starts = ends[: np.searchsorted(ends, stop - reach, "right")][::-1]
+            again = next((e for e in starts[:64].tolist() if _aligned(data, e) == e), begin)
+            if again > begin:
+                further = _aligned(data, min(len(data), again + max(chunk, 2 * (stop - again))))
+                fresh = again + np.cumsum(size[encode(data[again:further].decode())])
+                chunks += 1
+                common = _stable(data, again, stop, ends, fresh, special)
+                if len(common):
+                    splice = int(common[-1])
+                    total += int(np.searchsorted(ends, splice, "right")) - skipped
+                    begin, stop, ends, skipped = again, further, fresh, int(np.searchsorted(fresh, splice, "right"))
+                    break
+            else:  # nothing in all of the chunk: it grows
                 stop = _aligned(data, min(len(data), begin + 2 * (stop - begin)))
                 ends = begin + np.cumsum(size[encode(data[begin:stop].decode())])
                 chunks += 1
@@ -105,15 +128,17 @@ def count_spliced(data: bytes, encode, size: np.ndarray, chunk: int, overlap: in
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int = 1 << 16, overlap: int = 1 << 9) -> DataFrame:
     """n_bytes, n_tokens, over_limit (n_tokens > limit) and n_chunks of every whole text.
 
-    A text over `chunk` bytes is encoded in chunks that overlap by `overlap` bytes. A boundary that both encodings have
-    in the overlap, between an ASCII sign and white space, is where one takes over from the other; where there is none,
-    the overlap doubles, and at last the chunk itself. A null text is empty (0 tokens); special strings inside texts
-    count as the special token, as by the library's default; an empty table gives no rows; other columns are ignored.
+    A text over `chunk` bytes (at most 2^18, which the engine's recursion allows) is encoded in chunks that overlap by
+    `overlap` bytes. A boundary that both encodings have in the overlap, and that is proven to hold for the whole text (see
+    _stable), is where one takes over from the other; where there is none, the overlap doubles, and at last the chunk
+    itself. A null text is empty (0 tokens); special strings inside texts count as the special token, as by the library's
+    default; repeated rows and null ids are rows like others; an empty table gives no rows; other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_chunks", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, size = encoder(tokenizer)
+        special = [token.encode() for token in vocabulary(tokenizer)[1]]
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -121,7 +146,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int
                 if len(text) <= chunk // 4 or len(data := text.encode()) <= chunk:
                     rows.append((len(text.encode()), len(encode(text)), 1))
                 else:
-                    rows.append((len(data), *count_spliced(data, encode, size, chunk, overlap)))
+                    rows.append((len(data), *count_spliced(data, encode, size, chunk, overlap, special)))
             n_bytes, n_tokens, n_chunks = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(n_chunks.astype(np.int32))], schema=schema)
 

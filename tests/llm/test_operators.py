@@ -53,6 +53,31 @@ def test_token_counts(docs, empty, texts):
     assert token_counts.count_tokens(empty, JSON).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["blank", "lines", "one letter", "letters", "japanese", "islands"])
+def test_token_counts_of_huge_texts(spark, kind):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    letters = "".join(rng.choice("abcdef") for _ in range(300_000))
+    text = {"blank": " " * 1_500_000, "lines": "\n \t" * 300_000, "one letter": "a" * 400_000, "letters": letters, "japanese": "日本語テキスト漢字かな交じり文" * 20_000, "islands": ("word " + " " * 200_000 + "<|endoftext|>") * 3}[kind]
+    (row,) = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), JSON).collect()
+    assert row.n_tokens == len(Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids) and 1 < row.n_chunks < 2 + row.n_bytes / 60_000
+
+
+def test_splices_of_small_chunks():
+    from tokenizers import Tokenizer
+
+    library, (encode, size) = Tokenizer.from_file(JSON), token_counts.encoder(JSON)
+    rng, special = random.Random(2), [b"<|endoftext|>"]
+    parts = ["a", "b", "é", "日", "本", "1", "22", " ", "  ", "\n", "\t", "'s", "'", "'ll", "!", "?", "...", "<|endoftext|>", "word ", "　", "ß", "hello"]
+    for _ in range(300):
+        some = [rng.choice(parts) for _ in range(rng.choice([1, 2, 5, 24]))]
+        text = "".join(rng.choice(some) for _ in range(rng.randint(20, 400)))
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for chunk, overlap in ((60, 8), (200, 40), (33, 5)):
+            assert token_counts.count_spliced(text.encode(), encode, size, chunk, overlap, special)[0] == want, (text, chunk)
+
+
 def test_byte_bpe(docs, empty, texts):
     import tiktoken
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
-from terrane.llm.pretokens import Cache, pieces, text_heads
+from terrane.llm.pretokens import STEP_BYTES, Cache, pieces, text_heads
 
 
 @functools.cache
@@ -112,7 +112,7 @@ def _coded(vocabulary: str, schema: pa.Schema, shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, cache = _coder(vocabulary)
         for batch in batches:
-            for i, j, data, offsets in blocks.texts(batch):
+            for i, j, data, offsets in blocks.texts(batch, limit=STEP_BYTES):
                 heads = text_heads(data, offsets)
                 found, at = pieces(data.tobytes().decode(), heads[:-1])
                 got = [cache[p] for p in found]

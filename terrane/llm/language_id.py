@@ -16,8 +16,10 @@ from terrane.llm.pretokens import LETTER, classes_of, text_heads
 
 #: Cells that n-grams are hashed to.
 CELLS = 1 << 12
-#: Rows of text turned into vectors at a time.
-ROWS = 512
+#: Rows of text turned into vectors at a time; bytes of text in one step; code points counted at a time.
+ROWS, STEP_BYTES, UNITS = 128, 1 << 18, 1 << 17
+#: Share of a language's learned rows that each of its centroids stands for at least.
+LEAST_SHARE = 0.05
 #: Lengths in characters that checked texts are cut to, beside their own, to learn how near texts of a length come.
 CUTS = [1 << k for k in range(2, 14)]
 #: Checked texts that a floor is read from at least; languages with fewer texts than LEAST_HELD hold none back.
@@ -30,23 +32,30 @@ def _lower() -> np.ndarray:
 
 
 def counts(codes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each cell's bigrams and trigrams of letters (and gaps) occur in each text; how many letters each has."""
-    n, rows = len(codes), len(heads) - 1
-    out = np.zeros(rows * CELLS, np.float64)
-    doc = np.repeat(np.arange(rows), np.diff(heads))
-    letter = classes_of(codes) == LETTER
-    letters = np.bincount(doc[letter], minlength=rows)
-    x = np.where(letter, _lower()[codes], 0).astype(np.uint64)
-    for size in (2, 3):
-        if n < size:
-            continue
-        m = n - size + 1
-        key = np.zeros(m, np.uint64)
-        for k in range(size):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + x[k : k + m] + np.uint64(1)
-        use = (doc[:m] == doc[size - 1 :]) & (letter[1 : 1 + m] if size == 3 else letter[:m] | letter[1:])
-        cell = (blocks.mix(key[use]) >> np.uint64(64 - 12)).astype(np.int64)
-        out += np.bincount(doc[:m][use] * CELLS + cell, minlength=rows * CELLS)
+    """How often each cell's bigrams and trigrams of letters (and gaps) occur in each text; how many letters each has.
+
+    Code points are taken UNITS at a time, so that memory is bounded for texts of any length.
+    """
+    rows = len(heads) - 1
+    out, letters = np.zeros(rows * CELLS, np.float32), np.zeros(rows, np.int64)
+    for a in range(0, len(codes), UNITS):
+        part = codes[a : a + UNITS + 2]
+        n = len(part)
+        doc = np.repeat(np.arange(rows), np.diff(np.clip(heads, a, a + n)))
+        letter = classes_of(part) == LETTER
+        letters += np.bincount(doc[:UNITS][letter[:UNITS]], minlength=rows)
+        x = np.where(letter, _lower()[part], 0).astype(np.uint64)
+        for size in (2, 3):
+            m = min(UNITS, n - size + 1)
+            if m <= 0:
+                continue
+            key = np.zeros(m, np.uint64)
+            for k in range(size):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + x[k : k + m] + np.uint64(1)
+            use = (doc[:m] == doc[size - 1 : size - 1 + m]) & (letter[1 : 1 + m] if size == 3 else letter[:m] | letter[1 : 1 + m])
+            cell = (blocks.mix(key[use]) >> np.uint64(64 - 12)).astype(np.int64)
+            found, times = np.unique(doc[:m][use] * CELLS + cell, return_counts=True)
+            out[found] += times
     return out.reshape(rows, CELLS), letters
 
 
@@ -61,14 +70,15 @@ class Model:
     floor: np.ndarray
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
-        v = np.log1p(tf) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        v = np.log1p(tf, dtype=np.float32)
+        v *= self.idf
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return v
 
     def best(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = self.vectors(tf) @ self.centroids.T
         best = near.argmax(1)
-        return best, near[np.arange(len(best)), best]
-
+        return best, near[np.arange(len(best)), best].astype(np.float64)
 
     def floors(self, tf: np.ndarray) -> np.ndarray:
         """The floor for each row, between those at the powers of two next to its distinct cells."""
@@ -76,23 +86,43 @@ class Model:
 
 
 def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the row nearest to the mean, then from those least like the starts so far."""
-    mean = v.mean(0)
-    centre = v[[int((v @ mean).argmax())]]
-    while len(centre) < min(k, len(v)):
-        centre = np.vstack([centre, v[int((v @ centre.T).max(1).argmin())]])
+    """Spherical k-means, k clusters at most, of LEAST_SHARE of the rows at least.
+
+    It starts from halves: the largest cluster is cut at the median of its main direction until there are k. A cluster
+    that falls below the least size gives its rows to the others.
+    """
+    least = max(2, int(np.ceil(LEAST_SHARE * len(v))))
+    groups = [np.arange(len(v))]
+    while len(groups) < k:
+        groups.sort(key=len)
+        if len(groups[-1]) < 2 * least:
+            break
+        big = groups.pop()
+        spread = v[big] - v[big].mean(0)
+        main = spread[np.abs(spread).sum(1).argmax()]
+        for _ in range(8):
+            main = spread.T @ (spread @ main)
+            main /= max(np.linalg.norm(main), 1e-12)
+        order = big[np.argsort(spread @ main, kind="stable")]
+        groups += [order[: len(order) // 2], order[len(order) // 2 :]]
     for _ in range(rounds):
-        of = (v @ centre.T).argmax(1)
-        rows = [v[of == c].sum(0) for c in range(len(centre)) if (of == c).any()]
-        centre = np.array([r / max(np.linalg.norm(r), 1e-12) for r in rows])
-    return centre
+        centre = np.array([v[g].sum(0) for g in groups])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+        near = v @ centre.T
+        sizes = np.bincount(near.argmax(1), minlength=len(groups))
+        if sizes.min() < least and len(groups) > 1:
+            near[:, sizes.argmin()] = -np.inf
+        of = near.argmax(1)
+        groups = [g for c in range(len(groups)) if len(g := np.flatnonzero(of == c))]
+    centre = np.array([v[g].sum(0) for g in groups])
+    return centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
 
 
 def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, below: float = 0.01) -> Model:
-    """A model of labelled texts (doc_id, text, lang), which holds `centroids` centroids for each language.
+    """A model of labelled texts (doc_id, text, lang), which holds up to `centroids` centroids for each language (see _clusters).
 
     It is fitted on about `per_language` rows of each language, those of least hash of doc_id: their cell counts, at most
-    CELLS numbers a row, come to the driver. A quarter of them is held back: the cosines of those texts, whole and cut to
+    CELLS pairs of numbers (24 KB) a row, come to the driver, where one language's rows are made dense at a time. A quarter of them is held back: the cosines of those texts, whole and cut to
     CUTS, to their nearest centroids give the floors. A text is rejected later if its cosine is below that of all but
     the share `below` of the held-back texts that have as many distinct cells (a long text that says one word again and
     again is held against short ones). A language with fewer than LEAST_HELD texts learns from and checks all of them.
@@ -101,7 +131,7 @@ def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, below:
     times = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {lang: min(1.0, per_language / n) for lang, n in times.items()}
     if not share:
-        return Model([], np.zeros((0, CELLS)), np.ones(CELLS), np.zeros(1))
+        return Model([], np.zeros((0, CELLS), np.float32), np.ones(CELLS, np.float32), np.zeros(1))
     bound = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, int(s * (1 << 30)))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound[F.col("lang")])
     few = F.col("lang").isin([lang for lang, n in sorted(times.items()) if n < LEAST_HELD])
@@ -124,16 +154,16 @@ def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, below:
 
     got = sample.mapInArrow(run, "lang string, role int, cells binary, times binary").collect()
     learned, checked = ([r for r in got if r.role == k] for k in (0, 1))
-    tf = _dense(learned)
-    langs = np.array([r.lang for r in learned])
-    model = Model([], np.zeros((0, CELLS)), np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1, np.zeros(1))
-    vectors = model.vectors(tf)
-    for lang in sorted(set(langs.tolist())):
-        own = vectors[langs == lang]
+    seen = np.zeros(CELLS, np.int64)
+    for r in learned:
+        seen[np.frombuffer(r.cells, np.uint16)] += 1
+    model = Model([], np.zeros((0, CELLS), np.float32), (np.log((1 + len(learned)) / (1 + seen)) + 1).astype(np.float32), np.zeros(1))
+    for lang in sorted({r.lang for r in learned}):  # one language's rows are dense at a time
+        own = model.vectors(_dense([r for r in learned if r.lang == lang]))
         order = np.lexsort(own[:, :8].T)  # the same model in whatever order rows come
         centre = _clusters(own[order], centroids)
         model.languages += [lang] * len(centre)
-        model.centroids = np.vstack([model.centroids, centre])
+        model.centroids = np.vstack([model.centroids, centre.astype(np.float32)])
     if model.languages and checked:
         near = [model.best(_dense(checked[k : k + ROWS]))[1] for k in range(0, len(checked), ROWS)]
         model.floor = _floor(np.array([len(r.cells) // 2 for r in checked]), np.concatenate(near), below)
@@ -160,7 +190,7 @@ def _floor(cells: np.ndarray, cosine: np.ndarray, below: float) -> np.ndarray:
 def _count_batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for first in range(0, batch.num_rows, ROWS):
         part = batch.slice(first, ROWS)
-        for i, j, data, offsets in blocks.texts(part, part.schema.names[column]):
+        for i, j, data, offsets in blocks.texts(part, part.schema.names[column], STEP_BYTES):
             codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
             yield first + i, first + j, *counts(codes, text_heads(data, offsets))
 
@@ -170,9 +200,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     those columns of docs in place of doc_id.
 
     A text that is null or has no letters is `und` with score 0, and rejected. Others get the language of the nearest
-    centroid; they are rejected if they are further from it than the floor at their distinct cells allows. Ties go to the centroid that comes
-    first by language. Repeated rows and null ids are rows like others; an empty table gives no rows; a model fitted on
-    no rows calls everything `und`; other columns are ignored.
+    centroid; they are rejected if they are further from it than the floor at their distinct cells allows. Ties go to the
+    centroid that comes first by language. Texts of any length are read whole, in pieces of bounded size. Repeated rows
+    and null ids are rows like others; an empty table gives no rows; a model fitted on no rows calls everything `und`;
+    other columns are ignored.
     """
     names = keep or ["doc_id"]
     rows = docs.select(*names, F.col("text").alias("text to read")) if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").alias("text to read"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
-from terrane.llm.pretokens import Cache, pieces, text_heads
+from terrane.llm.pretokens import STEP_BYTES, Cache, pieces, text_heads
 from terrane.llm.tables import written
 from terrane.llm.token_counts import byte_letters, vocabulary
 
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> D
         special, cache = _coder(tokenizer)
         last = np.uint32(end_id).tobytes()
         for batch in batches:
-            for i, j, data, offsets in blocks.texts(batch):
+            for i, j, data, offsets in blocks.texts(batch, limit=STEP_BYTES):
                 text, heads = data.tobytes().decode(), text_heads(data, offsets)
                 found, at = pieces(text, heads[:-1], _spans(text, special, heads))
                 got = [cache[p] for p in found]

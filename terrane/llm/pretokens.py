@@ -131,10 +131,14 @@ def text_heads(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return count[offsets]
 
 
+#: Bytes of text that become lists of pieces at a time.
+STEP_BYTES = 1 << 19
+
+
 class Cache(dict):
-    """What `make` gives for a piece, kept until there are too many."""
+    """What `make` gives for a piece, kept until there are too many: at `most`, some 300 bytes each, about 90 MB."""
 
-    def __init__(self, make, most: int = 700_000, longest: int = 200):
+    def __init__(self, make, most: int = 300_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -235,6 +235,37 @@ def test_language_id(spark, docs, empty):
     assert language_id.predict(empty, language_id.fit(empty)).count() == 0
 
 
+def test_language_id_on_odd_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(table.where(~language_id.held_out(F.col("doc_id"))))
+    assert {lang: model.languages.count(lang) for lang in set(model.languages)} == {lang: 4 for lang in ("de", "en", "es", "fr")}
+    long = " ".join(r.text for r in table.where("lang = 'en' AND text IS NOT NULL").limit(300).collect())
+    rows = [(1, long, None, 0.5), (1, long, None, 0.5), (None, long[:400], "x", 0.1), (2, "", None, None), (3, None, None, None)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double")
+    got = sorted(((r.doc_id or 0, r.lang_pred, round(r.score, 6), r.rejected) for r in language_id.predict(clash, model).collect()))
+    assert [g[:2] for g in got] == [(0, "en"), (1, "en"), (1, "en"), (2, "und"), (3, "und")] and got[1] == got[2] and got[3][3] and got[4][3]
+
+
+def test_language_id_clusters_are_of_some_size():
+    rng = np.random.default_rng(3)
+    v = rng.random((400, 50))
+    v[:3] = np.eye(50)[:3]  # odd rows become no clusters of their own
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centre = language_id._clusters(v, 4)
+    assert len(centre) == 4 and np.bincount((v @ centre.T).argmax(1)).min() >= language_id.LEAST_SHARE * 400
+
+
+def test_counts_of_cells_do_not_depend_on_steps(monkeypatch):
+    texts = ["abc déf " * 50, "", "x", "日本 語", "Hello, World " * 9]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    heads = np.cumsum([0, *map(len, texts)])
+    want = language_id.counts(codes, heads)
+    for units in (1, 2, 7, 64):
+        monkeypatch.setattr(language_id, "UNITS", units)
+        got = language_id.counts(codes, heads)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 

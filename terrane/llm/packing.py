@@ -17,8 +17,9 @@ from terrane.llm.pretokens import STEP_BYTES, Cache, pieces, text_heads
 from terrane.llm.tables import written
 from terrane.llm.token_counts import byte_letters, vocabulary
 
-#: Parts in which the pieces of one length are numbered, so that a length that many documents share is no single task.
-PARTS = 256
+#: Pieces of one length are numbered in parts of about so many rows, so that a length that many documents share is no
+#: single task; and in so many parts at least.
+PART_ROWS, PARTS = 1 << 16, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -49,8 +50,9 @@ class Capacities:
         return None
 
 
-def best_fit(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int]]:
-    """Where pieces go, the longest first, each in the tightest open window: (length, first rank, first window, offset).
+def best_fit(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Where pieces go, the longest first, each in the tightest open window: (length, first rank, first window, offset);
+    and the number of windows.
 
     The piece of a length with rank first rank + k goes to window first window + k, up to the next entry of the length.
     Pieces of one length are alike and so are windows filled alike: they are placed by the group, and the work depends
@@ -87,7 +89,7 @@ def best_fit(counts: dict[int, int], window: int) -> list[tuple[int, int, int, i
             if used < n:
                 groups[room].append((base + used, n - used))
                 tree.add(room, n - used)
-    return plan
+    return plan, opened
 
 
 @functools.cache
@@ -149,23 +151,31 @@ def _spans(text: str, special: dict[str, bytes], heads: np.ndarray) -> list[tupl
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """Every document's tokens in windows of `window`: a row for each piece, with its sequence_id and offset there.
 
-    Documents (ids of the tokenizer, then end_id) longer than a window are first cut into full windows; the rests and
-    the shorter ones are placed by best-fit decreasing over all documents. The plan is made on how many pieces have
-    each length, at most `window` numbers; pieces of one length are then numbered in parts and each looks up its place.
+    Documents (ids of the tokenizer, then end_id) longer than a window are first cut into full windows, which are
+    sequences of their own; the rests and the shorter ones are placed by best-fit decreasing over all documents. The plan
+    is made on how many pieces have each length, less than `window` numbers; pieces of one length are then numbered in
+    parts, whose number grows with the input, and each looks up its place. Sequence ids of the plan are dense from 0,
+    those of full windows come behind them.
 
-    A null or empty text is the end_id alone; rows are documents even if they repeat or have no id; an empty table
-    gives no rows; other columns are ignored. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    A null or empty text is the end_id alone; rows are documents even if they repeat or have no id; pieces that tie in
+    length, doc_id, start and ids may swap places; an empty table gives no rows; other columns are ignored. Returns
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
-    found = written(token_pieces(docs, tokenizer, end_id, window).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")))
-    sizes = found.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    found = written(token_pieces(docs, tokenizer, end_id, window))
+    rests = found.where(F.col("length") < window)
+    counts = {r.length: r.n for r in rests.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan, opened = best_fit(counts, window)
+    full = found.where(F.col("length") == window).select("*", (F.monotonically_increasing_id() + opened).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     places = defaultdict(list)
-    for length, rank, sequence, offset in best_fit(counts, window):
+    for length, rank, sequence, offset in plan:
         places[length].append((rank, sequence, offset))
     places = {k: np.array(v, np.int64).T for k, v in places.items()}
+    parts = max(PARTS, -(-max(counts.values(), default=0) // PART_ROWS))
+    rests = rests.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
+    sizes = rests.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = found.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = rests.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +189,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
                 sequence[rows], offset[rows] = base[k] + rank[rows] - first[k], at[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*columns[:5], "sequence_id", "offset"])
 
-    return ranked.select(*columns).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select(*columns).mapInArrow(place, f"{PIECES}, sequence_id long, offset long").unionByName(full)

@@ -213,6 +213,35 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, JSON).count() == 0
 
 
+def test_packing_is_best_fit_decreasing(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    for window in (1, 2, 7, 64, 200):
+        lengths = sorted((rng.randint(1, window) if rng.random() < 0.7 else max(1, window // 3) for _ in range(rng.randint(0, 300))), reverse=True)
+        room = []  # plain: the tightest open window, else a new one
+        for n in lengths:
+            fits = [x for x in room if x >= n]
+            if fits:
+                room.remove(min(fits))
+            room.append((min(fits) if fits else window) - n)
+        counts = Counter(lengths)
+        plan, opened = packing.best_fit(counts, window)
+        used, starts = [window] * opened, defaultdict(list)
+        for n, rank, first, offset in plan:
+            starts[n].append((rank, first, offset))
+        for n, many in counts.items():
+            at = sorted(starts[n])
+            for k, (rank, first, _) in enumerate(at):
+                for w in range(first, first + (at[k + 1][0] if k + 1 < len(at) else many) - rank):
+                    used[w] -= n
+        assert sorted(used) == sorted(room)
+        assert opened <= 1.25 * -(-sum(lengths) // window) + 1
+    monkeypatch.setattr(packing, "PART_ROWS", 1)  # many parts
+    rows = packing.pack(docs.union(docs), JSON, window=64).collect()
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(o == (0 if a[0] != s else a[1] + a[2]) for a, (s, o, _) in zip([(None, 0, 0), *taken], taken))
+    assert {r.offset for r in rows if r.length == 64} == {0}
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8) / 3]) for i in range(120)]

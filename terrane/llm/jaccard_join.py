@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
 from terrane.llm.components import components
+from terrane.llm.repeats import tagged
 from terrane.llm.tables import written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Shingles of the sets that one tree holds; a larger group of candidates is joined block by block.
 TREE_SHINGLES = 1 << 20
+#: Shingles that a step down a tree reads at most before bounds are looked at.
+LABEL = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +59,17 @@ def _signs(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size of the shingle set, and two signatures of it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    """doc_id, tag (a hash of the text), size of the shingle set, and two signatures of it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks.texts(batch):
                 hashes, bounds = shingle_sets(data, offsets, n)
                 signs = [pa.array(_signs(hashes, bounds, salt)) for salt in _SALTS]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), *signs], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(bounds)), *signs], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, s1 long, s2 long")
+    return tagged(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, tag long, size long, s1 long, s2 long")
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -104,9 +107,10 @@ def _candidates(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFram
     def shared(x):
         return F.greatest(F.lit(1), spare(x))
 
-    by_token = Window.partitionBy("token")
-    tokens = prefixes.select("*", F.count(F.lit(1)).over(by_token).alias("df"), F.min("s1").over(by_token).alias("low"), F.max("s1").over(by_token).alias("high"))
-    common = tokens.where("low != high").groupBy("s1").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("common"))
+    # counted where they are made, then joined back: a shingle that a third of all sets have is no single task's
+    counted = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("s1").alias("low"), F.max("s1").alias("high"))
+    shared_ones = counted.where("low != high").select("token", "df")
+    common = prefixes.join(shared_ones, "token").groupBy("s1").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("common"))
     width = F.least(size, spare(size) + shared(size))
     needed = F.least(shared(F.ceil(size * percent / 100)), width)
     rare = width - F.size("common")
@@ -117,7 +121,8 @@ def _candidates(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFram
 
 
 class PrefixTree:
-    """Sets of ranked shingles, the commonest first, as a path-compressed trie; walked level by level."""
+    """Sets of ranked shingles, the commonest first, as a path-compressed trie of labels of at most LABEL; walked level by
+    level."""
 
     def __init__(self, sets: list[np.ndarray]):
         order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
@@ -134,9 +139,14 @@ class PrefixTree:
         while todo:
             lo, hi, depth, at = todo.pop()
             deep = int(shared[lo + 1 : hi].min()) if hi - lo > 1 else int(size[lo])
+            least, most = int(size[lo:hi].min()), int(size[lo:hi].max())
+            while deep - depth > LABEL:
+                nodes.append((at, depth + LABEL, least, most, -1))
+                labels.append(rows[lo][depth : depth + LABEL])
+                at, depth = len(nodes) - 1, depth + LABEL
             index = len(nodes)
             ends = [k for k in range(lo, hi) if size[k] == deep]  # only the first can be: rows are distinct and sorted
-            nodes.append((at, deep, int(size[lo:hi].min()), int(size[lo:hi].max()), order[ends[0]] if ends else -1))
+            nodes.append((at, deep, least, most, order[ends[0]] if ends else -1))
             labels.append(rows[lo][depth:deep])
             if hi - lo > 1:
                 begin = lo + len(ends)
@@ -150,8 +160,9 @@ class PrefixTree:
         self.kids, count = kids, np.bincount(parent[1:], minlength=len(nodes))
         self.n_kids, self.kid_at = count, np.cumsum(count) - count
 
-    def similar(self, mask: np.ndarray, before: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """The sets that link to the one that `mask` marks, of `size` shingles, of which before[r] rank below r."""
+    def similar(self, mask: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+        """The sets that link to `own` (ascending), which `mask` marks."""
+        size = len(own)
         at, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
         while len(at):
             length = self.length[at]
@@ -160,19 +171,21 @@ class PrefixTree:
             hits = np.append(0, np.cumsum(mask[self.flat[index]]))
             overlap = overlap + hits[ends] - hits[ends - length]
             here = self.holds[at] >= 0
-            own = self.depth[at]
-            good = here & (100 * overlap >= percent * (size + own - overlap))
-            found.append(self.holds[at][good])
             depth = self.depth[at]
+            good = here & (100 * overlap >= percent * (size + depth - overlap))
+            found.append(self.holds[at][good])
             last = np.where(length > 0, self.flat[np.maximum(self.start[at] + length - 1, 0)], -1)
-            left = size - before[last + 1]  # what the set has beyond this node
+            left = size - np.searchsorted(own, last, "right")  # what the set has beyond this node
             reach = overlap + np.minimum(left, self.most[at] - depth)
             live = (self.n_kids[at] > 0) & ((100 + percent) * reach >= percent * (size + np.maximum(self.least[at], overlap)))
-            at, overlap = at[live], overlap[live]
+            at, overlap, left, depth = at[live], overlap[live], left[live], depth[live]
             many = self.n_kids[at]
             ends = np.cumsum(many)
             index = np.repeat(self.kid_at[at] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
             at, overlap = self.kids[index], np.repeat(overlap, many)
+            reach = overlap + np.minimum(np.repeat(left, many), self.most[at] - np.repeat(depth, many))
+            live = (100 + percent) * reach >= percent * (size + np.maximum(self.least[at], overlap))
+            at, overlap = at[live], overlap[live]
         return np.concatenate(found)
 
 
@@ -187,31 +200,29 @@ def links_of(probes: list[np.ndarray], held: list[np.ndarray], percent: int) ->
     ranked = [np.sort(x) for x in np.split(place[rank], np.cumsum(sizes)[:-1])]
     tree = PrefixTree(ranked[: len(held)])
     mask, out = np.zeros(len(every), bool), []
-    before = np.zeros(len(every) + 1, np.int64)
     for own in ranked[len(held) :]:
         mask[own] = True
-        np.cumsum(mask, out=before[1:])
-        out.append(tree.similar(mask, before, len(own), percent))
+        out.append(tree.similar(mask, own, percent))
         mask[own] = False
     return out
 
 
 def _joined(sets: DataFrame, percent: int) -> DataFrame:
-    """sets (cell, kind, copies, probe, held, shingles) as kind, root (the least kind it is connected with in its cell) and
+    """sets (cell, kind, copies, probe, held, sign, shingles) as kind, root (the least kind it is connected with in its cell) and
     links (documents of other kinds that link to it, for probes)."""
     schema = pa.schema([("kind", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        one = np.unique(rows["kind"].to_numpy(), return_index=True)[1]  # repeated rows of a document brought its kind again
+        one = np.unique(rows["sign"].to_numpy(), return_index=True)[1]  # repeated rows of a document may bring its kind again
         rows = rows.take(pa.array(one))
-        kind, copies = rows["kind"].to_numpy(), rows["copies"].to_numpy()
+        sign, kind, copies = rows["sign"].to_numpy(), rows["kind"].to_numpy(), rows["copies"].to_numpy()
         probe, held = (np.flatnonzero(rows[k].to_numpy()) for k in ("probe", "held"))
         shingles = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
         root, links = kind.copy(), np.zeros(len(kind), np.int64)
         if len(kind) > 1 and len(held):
             for i, hit in zip(probe.tolist(), links_of([shingles[i] for i in probe], [shingles[i] for i in held], percent), strict=True):
                 hit = held[hit]
-                hit = hit[kind[hit] != kind[i]]
+                hit = hit[sign[hit] != sign[i]]
                 links[i] = copies[hit].sum()
                 old = np.unique(np.append(root[hit], root[i]))
                 if len(old) > 1:
@@ -237,56 +248,64 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     commonest shingle first, share their overlaps with a probe along the tree, and subtrees go when what is left of
     both can't reach the threshold. Groups over TREE_SHINGLES are joined block against block, so that no task holds more.
 
-    Repeated rows are documents like others (rows of one id are one document in components); a null id links, but names
-    no component and gets its own (null) if it is alone. An empty table gives no rows; other columns are ignored.
+    Repeated rows are documents like others, also those of one id with unlike texts (sets whose least id is one and the
+    same are one in components); a document with a null id links and connects others, but names no component: it gets the least id of its own, null if
+    it is linked with null ids alone. An empty table gives no rows; other columns are ignored.
     """
     sets = written(_sets(docs, n))
-    kinds = written(sets.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("kind"), F.count(F.lit(1)).alias("copies")).where("kind IS NOT NULL"))
+    # a kind's node is its least id, or, of null ids alone, its signature
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
+    kinds = sets.where("size > 0").groupBy("s1", "s2", "size").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
+    kinds = written(kinds.select("s1", "s2", "size", "copies", F.coalesce("f.doc_id", "s1").alias("kind"), F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag")))
     edges = _candidates(_prefixes(docs, n, percent), kinds.select("s1", "size"), percent)
     groups = components(edges).withColumnRenamed("node", "s1").withColumnRenamed("root", "group")
     members = written(groups.join(kinds, "s1"))
     weight = members.groupBy("group").agg(F.ceil(F.sum("size") / TREE_SHINGLES).cast("int").alias("parts"))
-    cells = members.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("kind"), F.col("parts")).cast("int"))
+    cells = members.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
     # (probe part, held part) cells; with one part, both roles are one row
     either = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("other"))))
     cells = cells.select("*", either.alias("x")).select("*", F.col("x.other").alias("other"))
-    roles = cells.select("kind", "copies", "s1", "s2", F.xxhash64("group", "part", "other").alias("cell"), F.lit(True).alias("probe"), (F.col("part") == F.col("other")).alias("held"))
-    roles = roles.unionByName(cells.where("part != other").select("kind", "copies", "s1", "s2", F.xxhash64("group", "other", "part").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("held")))
+    names = ["kind", "doc_id", "tag", "copies", "s1"]
+    roles = cells.select(*names, F.xxhash64("group", "part", "other").alias("cell"), F.lit(True).alias("probe"), (F.col("part") == F.col("other")).alias("held"))
+    roles = roles.unionByName(cells.where("part != other").select(*names, F.xxhash64("group", "other", "part").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("held")))
     linked = written(_joined(_with_shingles(docs, roles, n), percent))
-    roots = components(linked.select(F.col("kind").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "kind")
+    roots = written(components(linked.select(F.col("kind").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "kind"))
+    called = roots.join(kinds.where("doc_id IS NOT NULL").select("kind").distinct(), "kind").groupBy("root").agg(F.min("kind").alias("component"))
+    roots = roots.join(called, "root", "left").select("kind", F.lit(True).alias("linked"), "component")
     degree = linked.groupBy("kind").agg(F.sum("links").alias("links"))
-    found = kinds.select("kind", "copies", "s1", "s2", F.col("size").alias("of")).join(roots, "kind", "left").join(degree, "kind", "left")
+    found = kinds.select("kind", F.col("doc_id").alias("own"), "copies", "s1", "s2", F.col("size").alias("of")).join(roots, "kind", "left").join(degree, "kind", "left")
     return (
         sets.select("doc_id", "size", "s1", "s2")
         .join(found, (sets.s1 == found.s1) & (sets.s2 == found.s2) & (sets.size == found.of), "left")
         .select(
             "doc_id",
             F.col("size").alias("n_shingles"),
-            F.coalesce("root", "kind", "doc_id").alias("component_id"),
+            F.when(F.col("linked"), F.col("component")).otherwise(F.coalesce("own", "doc_id")).alias("component_id"),
             F.when(F.col("size") == 0, 0).otherwise(F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
         )
     )
 
 
 def _with_shingles(docs: DataFrame, roles: DataFrame, n: int) -> DataFrame:
-    """roles with the shingles of their kind's document, as bytes of unsigned longs."""
+    """roles with the shingles of their kind, read from one of its documents, as bytes of unsigned longs."""
     names = ["cell", "kind", "copies", "probe", "held"]
-    schema = pa.schema([("cell", pa.int64()), ("kind", pa.int64()), ("copies", pa.int64()), ("probe", pa.bool_()), ("held", pa.bool_()), ("shingles", pa.binary())])
+    schema = pa.schema([("cell", pa.int64()), ("kind", pa.int64()), ("copies", pa.int64()), ("probe", pa.bool_()), ("held", pa.bool_()), ("sign", pa.int64()), ("shingles", pa.binary())])
     # a kind's cells travel as one list; their number is that of the blocks of its group
-    wanted = roles.groupBy("kind").agg(F.first("s1").alias("s1"), F.collect_list(F.struct(*names)).alias("roles"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("kind"), "text")
-    joined = wanted.join(texts, "kind").select("kind", "text", "s1", "roles")
+    wanted = roles.groupBy("s1").agg(F.first("doc_id").alias("of"), F.first("tag").alias("of_tag"), F.collect_list(F.struct(*names)).alias("roles"))
+    texts = tagged(docs.select("doc_id", "text"))
+    joined = wanted.join(texts, texts.doc_id.eqNullSafe(wanted.of) & (texts.tag == wanted.of_tag)).select("text", "s1", "roles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
         for batch in batches:
-            sign, roles_ = batch.column(2).to_numpy(), batch.column(3)
+            sign, roles_ = batch.column(1).to_numpy(), batch.column(2)
             for i, j, data, offsets in blocks.texts(batch):
                 hashes, bounds = shingle_sets(data, offsets, n)
-                signs, rows = _signs(hashes, bounds, _SALTS[0]), []
+                rows = []
                 for k in range(j - i):
-                    own = hashes[bounds[k] : bounds[k + 1]]
-                    if signs[k] == sign[i + k]:
-                        rows += [(*(r[x] for x in names), own.tobytes()) for r in roles_[i + k].as_py()]
+                    if sign[i + k] != done:  # repeated rows of a document bring it again
+                        done, own = sign[i + k], hashes[bounds[k] : bounds[k + 1]].tobytes()
+                        rows += [(*(r[x] for x in names), done, own) for r in roles_[i + k].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return joined.mapInArrow(run, "cell long, kind long, copies long, probe boolean, held boolean, shingles binary")
+    return joined.mapInArrow(run, "cell long, kind long, copies long, probe boolean, held boolean, sign long, shingles binary")

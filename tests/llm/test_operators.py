@@ -174,6 +174,30 @@ def test_jaccard_join(docs, empty, texts, n, percent, held, monkeypatch):
     assert jaccard_join.similar_components(empty).count() == 0
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    chain = [" ".join(base[k : k + 108]) for k in (0, 5, 10)]
+    other = " ".join(reversed(base))
+    rows = [(7, chain[0]), (None, chain[1]), (4, chain[2]), (None, other), (None, other), (5, "one two"), (5, "three four five six"), (2, "three four five six"), (None, ""), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id, r.n_links) for r in jaccard_join.similar_components(table, 3, 90).collect())
+    want = [(7, 4, 1), (None, 4, 2), (4, 4, 1), (None, None, 1), (None, None, 1), (5, 5, 0), (5, 2, 1), (2, 2, 1), (None, None, 0), (None, None, 0)]
+    assert got == Counter(want)
+
+
+def test_prefix_tree_finds_every_link():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        pool = rng.integers(0, 1 << 60, 80).astype(np.uint64)
+        base = [rng.choice(pool, rng.integers(1, 70), replace=False) for _ in range(4)]
+        sets = [np.unique(np.append(b[rng.random(len(b)) < 0.95], pool[rng.integers(0, 80, 2)])) for b in base for _ in range(5)]
+        sets = [np.array(x, np.uint64) for x in {tuple(s.tolist()) for s in sets}]
+        for percent in (50, 80, 90):
+            want = [[j for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))] for a in sets]
+            assert [sorted(x.tolist()) for x in jaccard_join.links_of(sets, sets, percent)] == want
+
+
 def test_secret_scan(docs, empty, texts):
     got = {r.doc_id: r for r in secret_scan.spans(secret_scan.scan(docs)).collect()}
     last = len(texts) - 1

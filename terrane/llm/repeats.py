@@ -133,14 +133,16 @@ def window_hashes(docs: DataFrame, kinds: DataFrame, window: int, by_word: bool)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """Of window_hashes' rows, those whose hash occurs more than once."""
-    same = Window.partitionBy("h", "g")
-    return rows.withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1").select("doc_id", "tag", "at")
+    """Of window_hashes' rows, those whose hash occurs more than once: doc_id, tag, at. Hashes are counted where they are
+    made before they are shuffled."""
+    often = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return rows.join(often, ["h", "g"]).select("doc_id", "tag", "at")
 
 
 def spans_of(found: DataFrame, twins: DataFrame, window: int) -> DataFrame:
-    """doc_id, tag, spans (at, size): all that is repeated."""
-    both = found.select("doc_id", "tag", "at", F.lit(window).alias("size")).unionByName(
+    """doc_id, tag, spans (at, size): all that is repeated. found: starts of windows, or of spans with a size."""
+    size = F.col("size") if "size" in found.columns else F.lit(window)
+    both = found.select("doc_id", "tag", "at", size.alias("size")).unionByName(
         twins.select("doc_id", "tag", F.col("first").alias("at"), (F.col("count") + F.lit(window - 1)).alias("size"))
     )
     return both.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "size")).alias("spans"))

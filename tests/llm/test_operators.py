@@ -142,7 +142,9 @@ def test_suffix_array_is_sorted():
         assert suffix_dedup.suffix_array(text, np.full(len(text), 1000)).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
-def test_substring_dedup(docs, empty, texts):
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_substring_dedup(docs, empty, texts, crowd, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     data = [(t or "").encode().split() for t in texts]
     times = Counter(tuple(w[i : i + 35]) for w in data for i in range(len(w) - 34))
     for r in substring_dedup.remove_repeats(docs, 35).collect():
@@ -328,6 +330,21 @@ def test_pipeline_keeps_columns(spark):
         assert docs.columns == corpus_pipeline.COLUMNS and docs.count() > 100
 
 
+def test_substring_dedup_of_mixed_passages(spark):
+    rng = random.Random(31)
+    pool = ["".join(rng.choice("abcd") for _ in range(2)) for _ in range(6)]
+    parts = [[rng.choice(pool) for _ in range(rng.randint(4, 60))] for _ in range(12)]
+    data = [sum((rng.choice(parts) for _ in range(rng.randint(1, 6))), []) for _ in range(80)]
+    data += [["x"] * 300, ["x", "y"] * 90, ["x"] * 34]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(data)], "doc_id long, text string").repartition(3)
+    for width, gram in ((35, 12), (9, 4), (5, 5)):
+        times = Counter(tuple(w[i : i + width]) for w in data for i in range(len(w) - width + 1))
+        for r in substring_dedup.remove_repeats(table, width, gram).collect():
+            w = data[r.doc_id]
+            gone = _kept(w, width, [i for i in range(len(w) - width + 1) if times[tuple(w[i : i + width])] > 1])
+            assert r.kept_text == " ".join(x for x, g in zip(w, gone) if not g), (width, r.doc_id)
+
+
 def test_null_ids_keep_their_own_repeats(spark):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (one machine, as in tests), a folder of its own."""
+    """The folder in spark.checkpoint.dir; only where that is unset on one machine, as in tests, a folder of its own. On a
+    cluster without it this fails: executors would write to disks that others cannot read."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="terrane-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

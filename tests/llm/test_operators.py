@@ -210,6 +210,39 @@ def test_secret_scan(docs, empty, texts):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secret_scan_against_plain_patterns(spark):
+    import re
+
+    rng = random.Random(17)
+    bits = ["password", "PassWd", "secret", "api_key", "apikey", "token", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef", "0123456789abcdef", "x", "é", "\n", "hunter2+/_.=-", "abc", "日"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(250)] + [None, "", "a" * 24, "A" * 3000 + "AKIA" + "Z" * 16]
+    rows = [(i % 240 if i % 9 else None, t, f"s{i % 4}" if i % 5 else None, "kind", i) for i, t in enumerate(texts)]
+    rows += rows[5:8]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string, start int").repartition(3)
+    patterns = {"assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 0, 20), "hex": ("[0-9a-f]+", 0, 0, 24)}
+    found = []
+    for doc_id, text, source, _, _ in rows:
+        spans = [(m.start(), order, m.end(), kind, m[group]) for order, (kind, (p, flags, group, least)) in enumerate(patterns.items()) for m in re.finditer(p, text or "", flags) if len(m[group]) >= least]
+        found.append((doc_id, text, source, sorted(spans)))
+    have = defaultdict(set)
+    for doc_id, text, source, spans in found:
+        for *_, value in spans:
+            have[value].add((source, doc_id if doc_id is not None else f"null {text}"))
+    want = []
+    for doc_id, _, _, spans in found:
+        base = [(a, o, b, k) for a, o, b, k, _ in spans]
+        live = []
+        for a, _, b, _, value in spans:
+            owners, repositories = len({s for s, _ in have[value]}), len(have[value])
+            if owners == 1 and repositories <= 3 and secret_scan.looks_random(value):
+                live.append((a, 3, b, "live"))
+        join = lambda x: ",".join(f"{k}:{a}:{b}" for a, _, b, k in x)
+        count = Counter(k for *_, k in base)
+        want.append((doc_id, count["assign"], count["access"], count["hex"], hashlib.sha256(join(base).encode()).hexdigest(), join(sorted(base + live))))
+    got = secret_scan.spans(secret_scan.scan(table)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    assert Counter(map(tuple, got)) == Counter(want) and sum("live" in w[-1] for w in want) > 20
+
+
 def test_copied_secrets_are_examples(spark):
     rows = [(i, "password=hunter2abc", f"owner{i}") for i in range(4)] + [(9, "password=lonely99xyz", "owner9")]
     got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -268,16 +301,35 @@ def test_packing_is_best_fit_decreasing(spark, docs, monkeypatch):
     assert {r.offset for r in rows if r.length == 64} == {0}
 
 
-def test_vector_search(spark):
+@pytest.mark.parametrize("block", [1 << 20, 64])
+def test_vector_search(spark, block, monkeypatch):
+    monkeypatch.setattr(vector_search, "QUERY_CELLS", block)
+    monkeypatch.setattr(vector_search, "CANDIDATE_CELLS", 4 * block)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8) / 3]) for i in range(120)]
+    rows += [(k, [1000.0 * x for x in rows[k - 300][1]]) for k in (300, 301)] + [(310, [0.25, -0.5]), (350, [])]
     rows += [(120, None), (121, [float("nan")] * 8), (122, [None] + [0.1] * 7), (150, rows[0][1]), (None, [0.5] * 8)]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
-    sound = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows if i is not None and v and None not in v and not np.isnan(v).any()}
-    want = [(q, k + 1, x, s) for q in sound if q % 50 == 0 for k, (s, x) in enumerate(sorted(((int(sound[q] @ v), i) for i, v in sound.items() if i != q), key=lambda p: (-p[0], p[1]))[:5])]
+    df = spark.createDataFrame([(i, v, 1, 2.0, "z") for i, v in rows], "vec_id long, embedding array<float>, label int, score double, row string")
+    sound = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()}
+    dot = lambda a, b: int(a[: len(b)] @ b[: len(a)])
+    want = [(q, k + 1, x, s) for q in sound if q % 50 == 0 for k, (s, x) in enumerate(sorted(((dot(sound[q], v), i) for i, v in sound.items() if i != q), key=lambda p: (-p[0], p[1]))[:5])]
     got = [tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0).collect()]
     assert sorted(got) == sorted(want)
     assert vector_search.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    few = df.where("vec_id IN (0, 3, 50)")
+    assert vector_search.top_k(few, F.col("vec_id") % 50 == 0).count() == 4
+
+
+def test_bounds_hold_and_set_aside():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-300, 300, (2000, 16))
+    shift = np.full(2000, 2)
+    q, ids = x[:20].astype(np.float64), np.arange(2000)
+    exact = x[:20] @ x.T
+    for i, (rows, low, high) in enumerate(vector_search.bounds(q, ids[:20], x >> 2, shift, ids, 5)):
+        assert (low <= exact[i, rows]).all() and (high >= exact[i, rows]).all() and len(rows) < 100
+        best = np.argsort(-np.where(ids == i, -(1 << 40), exact[i]))[:5]
+        assert set(best.tolist()) <= set(rows.tolist())
 
 
 def test_language_id(spark, docs, empty):
@@ -345,6 +397,86 @@ def test_substring_dedup_of_mixed_passages(spark):
             assert r.kept_text == " ".join(x for x, g in zip(w, gone) if not g), (width, r.doc_id)
 
 
+def _plain_run(rows, model_of):
+    """The pipeline's first four stages in plain Python: rows (doc_id, text, source), model_of(texts) -> rejected."""
+    rows = [r for r, rejected in zip(rows, model_of([t for _, t, _ in rows])) if not rejected]
+    one = {}
+    for i, t, s in rows:
+        one[i, t] = min(one.get((i, t), s), s)
+    rows = [(i, t, s) for (i, t), s in one.items()]
+    shingles = []
+    for _, t, _ in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in t).encode().split()
+        shingles.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if shingles[a] and shingles[b] and 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    rows = [min((rows[k] for k in range(len(rows)) if group[k] == g), key=lambda r: r[0]) for g in sorted(set(group))]
+    data = [t.encode() for _, t, _ in rows]
+    times = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
+    kept = []
+    for (i, _, s), d in zip(rows, data):
+        gone = _kept(d, 200, [k for k in range(len(d) - 199) if times[d[k : k + 200]] > 1])
+        text = np.frombuffer(d, np.uint8)[~gone].tobytes().decode(errors="ignore")
+        if not gone.any() or text.strip(" \t\n\r\x0b\x0c"):
+            kept.append((i, text, s))
+    have = defaultdict(set)
+    for i, t, s in kept:
+        for _, _, _, value in secret_scan.candidates(t):
+            have[value].add((s, i))
+    out = []
+    for i, t, s in kept:
+        done, text = 0, ""
+        for _, a, b, value in secret_scan.candidates(t):
+            if len({o for o, _ in have[value]}) == 1 and len(have[value]) <= 3 and secret_scan.looks_random(value):
+                if a >= done:
+                    text += t[done:a] + "[secret]"
+                done = max(done, b)
+        out.append((i, text + t[done:]))
+    return out
+
+
+def test_pipeline_run_against_a_plain_version(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND doc_id < 400")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table.collect()]
+    clean = [r for r in rows if len(r[1]) > 900][:12]
+    blank = clean[3][1].encode()[:260].decode(errors="ignore")
+    rows += [
+        *clean[:2], (5000, clean[0][1], "en", "a", 1), (5001, clean[1][1] + " closing words", "en", None, None),  # repeats and near copies
+        (5002, f"{clean[2][1][:300]} some other words of this one", "en", "b", 9), (5003, f"\n\t {blank}\n", None, "b", None), (5004, f"{blank} and then", "x", "b", 1),
+        (5005, f"{clean[4][1][:200]} password = lonely99xyz, api_key:both77abc", "en", "one", 5), (5006, f"{clean[5][1][:250]} token=both77abc", "en", "two", 5),
+        (5007, None, "en", "b", None), (5008, "", "en", None, 0), (5009, " \n ", None, None, 3), (5010, "12345 67 89", "en", "b", 1), (5011, "qxjzkvqxjzkv" * 40, "en", "b", 1),
+    ]
+    made = spark.createDataFrame([(*r, "extra", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, left int")
+    made.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def model_of(texts):
+        model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+        given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return [r.rejected for r in language_id.predict(given, model).orderBy("doc_id").collect()]
+
+    want = _plain_run([(r[0], r[1], r[3] or "") for r in rows], model_of)
+    library, pieces = Tokenizer.from_file(JSON), defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    assert sorted(pieces) == sorted(i for i, _ in want) and len(want) > 100
+    for i, text in want:
+        ids, at = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc in sorted(pieces[i]):
+            assert start == at and crc == zlib.crc32(ids[at : at + length].tobytes()), (i, text[:80])
+            at += length
+        assert at == len(ids)
+    assert spark.createDataFrame([], docs.schema).transform(lambda e: corpus_pipeline.secrets(spark, corpus_pipeline.near_duplicates(spark, corpus_pipeline.identify(spark, e, ""), ""), "")).count() == 0
+
+
 def test_null_ids_keep_their_own_repeats(spark):
     import corpus_pipeline
 

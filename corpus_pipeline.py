@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, packed token windows out, through five stages of terrane.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs has the columns of documents (doc_id, text, lang,
-source, n_chars), and so has what every stage but the last returns.
+source, n_chars), and so has what every stage but the last returns. Other columns of docs are left out first, whatever
+their names. All stages take an empty table (and return one), nulls in any column, texts of any length and repeated rows;
+what each does with them is said there.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go; lang becomes what it says."""
+    """Documents that the language model rejects go, null and empty texts and those without letters among them; lang becomes
+    what it says. Null ids and repeated rows are judged like others."""
+    docs = docs.select(*COLUMNS)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict(docs, model, keep=COLUMNS)
     return found.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -28,8 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     (similarity 0.8 or more), the one with the least doc_id.
 
     Documents are told apart by `row`, a 64-bit hash of doc_id and text: null ids are one document for each text, and
-    come last in their group; of one id's linked texts the one of least hash stays.
+    come last in their group; of one id's linked texts the one of least hash stays. Null and empty texts link to nothing:
+    one stays of each id. Ties of the least source go by n_chars, lang.
     """
+    docs = docs.select(*COLUMNS)
     same = docs.groupBy(F.xxhash64("doc_id", "text").alias("row")).agg(F.min(F.struct("source", "n_chars", "lang", "doc_id", "text")).alias("d"))
     rows = written(same.select("row", *(F.col(f"d.{c}") for c in COLUMNS)))
     linked = jaccard_join.similar_components(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "component_id")
@@ -39,16 +45,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 bytes or more that occur twice are cut; texts of which nothing but white space is left go."""
+    """Byte strings of 200 bytes or more that also start elsewhere are cut wherever they stand, no copy stays; a text that
+    is cut goes if nothing but ASCII white space is left of it. Texts without such strings stay as they are, null ones too.
+    """
+    docs = docs.select(*COLUMNS)
     found = suffix_dedup.remove_repeats(docs, 200, keep=COLUMNS[1:])
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.where(~cut | (F.trim("kept_text") != "")).select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    return found.where(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials that look live, which one owner alone has, are masked; the rest of the text stays."""
+    """Credentials that look live, which one owner alone has, are masked; the rest of the text stays, and so does every
+    row. Null texts stay null; overlapping credentials are masked as one."""
+    docs = docs.select(*COLUMNS)
     live = secret_scan.scan(docs).select(F.col("doc_id").alias("of"), F.col("tag"), F.filter("found", lambda c: c["verdict"] == "live").alias("live")).where(F.size("live") > 0)
     live = live.dropDuplicates(["of", "tag"])
     joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("tag")), "left")
@@ -69,18 +80,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of 2048."""
+    """Token windows of 2048: a row for each piece of each document; a null text is the end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language ID", identify), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("secret scans", secrets), ("packing", windows)]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the stages; a test holds what run() returns against a plain version of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next."""
+    """All stages over the whole of documents, each written before the next; an empty table gives no rows."""
     docs = load(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

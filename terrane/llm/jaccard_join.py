@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
@@ -20,6 +20,9 @@ _LOWER[65:91] += 32
 TREE_SHINGLES = 1 << 20
 #: Shingles that a step down a tree reads at most before bounds are looked at.
 LABEL = 16
+#: A shingle is hot if steps in which at least HOT_LEAST sets and a share of 1 / HOT_STEP have it count, together, a share
+#: of 1 / HOT_ALL of all documents; so there are at most HOT_ALL times the mean prefix of them.
+HOT_LEAST, HOT_STEP, HOT_ALL = 16, 64, 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,37 +61,55 @@ def _signs(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, tag (a hash of the text), size of the shingle set, and two signatures of it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+def _prefix(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, signature of each one's set): the long prefixes (see _candidates) of the sets, of those that repeat one."""
+    sign, one = np.unique(_signs(hashes, bounds, _SALTS[0]), return_index=True)
+    size = np.diff(bounds)[one]
+    length = np.minimum(size, _spare(size, percent) + _shared(size, percent))
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[one] - (ends - length), length)
+    return hashes[at].view(np.int64), np.repeat(sign, length)
+
+
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, tag (a hash of the text), size of the shingle set, two signatures of it, and, in one row of each step of a
+    task, the tokens that many sets of the step have in their prefixes (often: token, times)."""
+    many = pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("often", many)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks.texts(batch):
                 hashes, bounds = shingle_sets(data, offsets, n)
                 signs = [pa.array(_signs(hashes, bounds, salt)) for salt in _SALTS]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(bounds)), *signs], schema=schema)
+                token, times = np.unique(_prefix(hashes, bounds, percent)[0], return_counts=True)
+                hot = times >= max(HOT_LEAST, (j - i) / HOT_STEP)
+                often = [[{"token": t, "times": x} for t, x in zip(token[hot].tolist(), times[hot].tolist(), strict=True)], *[None] * (j - i - 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(bounds)), *signs, pa.array(often, many)], schema=schema)
+
+    return tagged(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, tag long, size long, s1 long, s2 long, often array<struct<token:long,times:long>>")
 
-    return tagged(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, tag long, size long, s1 long, s2 long")
 
+def _hot(sets: DataFrame) -> np.ndarray:
+    """The hot tokens, in order: a list of bounded length, which the driver holds."""
+    found = sets.where("often IS NOT NULL").select(F.explode("often").alias("o")).groupBy("o.token").agg(F.sum("o.times").alias("times"))
+    return np.sort(np.array([r.token for r in found.where(F.col("times") >= sets.count() / HOT_ALL).select("token").collect()], np.int64))
 
-def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """token, s1: the long prefix of each set, its shingles of least hash (see _candidates); sets that repeat within one
+
+def _prefixes(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """token, s1, hot: the long prefix of each set, its shingles of least hash (see _candidates); sets that repeat within one
     step of a task come once."""
-    schema = pa.schema([("token", pa.int64()), ("s1", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("s1", pa.int64()), ("hot", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in blocks.texts(batch):
-                hashes, bounds = shingle_sets(data, offsets, n)
-                sign, one = np.unique(_signs(hashes, bounds, _SALTS[0]), return_index=True)
-                size = np.diff(bounds)[one]
-                length = np.minimum(size, _spare(size, percent) + _shared(size, percent))
-                ends = np.cumsum(length)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[one] - (ends - length), length)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(np.repeat(sign, length))], schema=schema)
+                token, sign = _prefix(*shingle_sets(data, offsets, n), percent)
+                at = np.searchsorted(hot, token)
+                is_hot = hot[np.minimum(at, len(hot) - 1)] == token if len(hot) else np.zeros(len(token), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sign), pa.array(is_hot)], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "token long, s1 long")
+    return docs.select("text").mapInArrow(run, "token long, s1 long, hot boolean")
 
 
 def _candidates(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -107,10 +128,13 @@ def _candidates(prefixes: DataFrame, sizes: DataFrame, percent: int) -> DataFram
     def shared(x):
         return F.greatest(F.lit(1), spare(x))
 
-    # counted where they are made, then joined back: a shingle that a third of all sets have is no single task's
-    counted = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("s1").alias("low"), F.max("s1").alias("high"))
-    shared_ones = counted.where("low != high").select("token", "df")
-    common = prefixes.join(shared_ones, "token").groupBy("s1").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("common"))
+    # rows meet by token to learn how many sets have it; a hot one is known to be shared, is the last in order, and meets
+    # nowhere: its rows are spread by their sets
+    by_token = Window.partitionBy("token", "salt")
+    tokens = prefixes.withColumn("salt", F.when(F.col("hot"), F.col("s1")).otherwise(0))
+    tokens = tokens.select("*", F.count(F.lit(1)).over(by_token).alias("n"), F.min("s1").over(by_token).alias("low"), F.max("s1").over(by_token).alias("high"))
+    df = F.when(F.col("hot"), F.lit(1 << 60)).otherwise(F.col("n"))
+    common = tokens.where("hot OR low != high").groupBy("s1").agg(F.sort_array(F.collect_set(F.struct(df.alias("df"), "token"))).alias("common"))
     width = F.least(size, spare(size) + shared(size))
     needed = F.least(shared(F.ceil(size * percent / 100)), width)
     rare = width - F.size("common")
@@ -252,12 +276,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     same are one in components); a document with a null id links and connects others, but names no component: it gets the least id of its own, null if
     it is linked with null ids alone. An empty table gives no rows; other columns are ignored.
     """
-    sets = written(_sets(docs, n))
+    sets = written(_sets(docs, n, percent))
     # a kind's node is its least id, or, of null ids alone, its signature
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
     kinds = sets.where("size > 0").groupBy("s1", "s2", "size").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
     kinds = written(kinds.select("s1", "s2", "size", "copies", F.coalesce("f.doc_id", "s1").alias("kind"), F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag")))
-    edges = _candidates(_prefixes(docs, n, percent), kinds.select("s1", "size"), percent)
+    edges = _candidates(_prefixes(docs, n, percent, _hot(sets)), kinds.select("s1", "size"), percent)
     groups = components(edges).withColumnRenamed("node", "s1").withColumnRenamed("root", "group")
     members = written(groups.join(kinds, "s1"))
     weight = members.groupBy("group").agg(F.ceil(F.sum("size") / TREE_SHINGLES).cast("int").alias("parts"))

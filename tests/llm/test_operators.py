@@ -155,10 +155,11 @@ def test_substring_dedup(docs, empty, texts, crowd, monkeypatch):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("held", [1 << 20, 200])
+@pytest.mark.parametrize(("held", "hot"), [(1 << 20, 16), (200, 2)])
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(docs, empty, texts, n, percent, held, monkeypatch):
+def test_jaccard_join(docs, empty, texts, n, percent, held, hot, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TREE_SHINGLES", held)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", hot)
     sets, parent = [], list(range(len(texts)))
     for t in texts:
         w = (t or "").encode().lower().split()

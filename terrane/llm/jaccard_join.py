@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrane.llm import blocks
 from terrane.llm.components import components
 from terrane.llm.repeats import tagged
-from terrane.llm.tables import written
+from terrane.llm.tables import spread, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -257,7 +257,7 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
         for rows in blocks.groups(batches, "cell"):
             yield solve(rows)
 
-    return sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "kind long, root long, links long")
+    return spread(sets, "cell").sortWithinPartitions("cell").mapInArrow(run, "kind long, root long, links long")
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

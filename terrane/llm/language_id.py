@@ -28,7 +28,7 @@ LEAST_CHECKED, LEAST_HELD = 50, 20
 
 @functools.cache
 def _lower() -> np.ndarray:
-    return np.array([ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x110000)], np.uint32)
+    return np.fromiter((ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
 
 
 def counts(codes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,8 @@ _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 @functools.cache
 def _classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], SIGN) if unicodedata.category(chr(c)) != "Cn" else 255 for c in range(0x110000)], np.uint8)
+    found = (kinds.get(unicodedata.category(chr(c))[0], SIGN) if unicodedata.category(chr(c)) != "Cn" else 255 for c in range(0x110000))
+    out = np.fromiter(found, np.uint8, 0x110000)
     out[_WHITE] = WHITE
     return out
 
@@ -136,9 +137,9 @@ STEP_BYTES = 1 << 19
 
 
 class Cache(dict):
-    """What `make` gives for a piece, kept until there are too many: at `most`, some 300 bytes each, about 90 MB."""
+    """What `make` gives for a piece, kept until there are too many: at `most`, some 300 bytes each, about 45 MB."""
 
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
+    def __init__(self, make, most: int = 150_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import blocks
 from terrane.llm.repeats import covered, repeated_windows, seeds, spans_of, units, window_hashes, with_text
+from terrane.llm.tables import spread
 
 #: Rows that are extended at a time; the rows of one anchor stay together.
 ROWS = 1 << 14
@@ -117,7 +118,7 @@ def _extend(rows: DataFrame, window: int, gram: int) -> DataFrame:
         if held:
             yield solve(pa.concat_tables(held).combine_chunks())
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tag long, at int, size int")
+    return spread(rows, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tag long, at int, size int")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 35, gram: int = 12, keep_text: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import blocks
 from terrane.llm.repeats import covered, repeated_windows, seeds, spans_of, window_hashes, with_text
+from terrane.llm.tables import spread
 
 #: Ends a segment in a sorted text; UTF-8 never has this byte.
 END = 255
@@ -174,7 +175,7 @@ def _sorted_repeats(segments: DataFrame, window: int) -> DataFrame:
         if held:
             yield solve(pa.concat_tables(held))
 
-    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tag long, at int")
+    return spread(segments, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tag long, at int")
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_text: bool = True, keep: list[str] | None = None) -> DataFrame:

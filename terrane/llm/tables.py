@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -25,9 +26,39 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths of the tables that written() has made within a scope, by the scope's name.
+_made: dict[str, list[str]] = {}
+_scope: list[str] = []
+
+
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables written within are kept in mind under this name, until dropped(name)."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def dropped(spark: SparkSession, name: str) -> None:
+    """Removes the tables of a scope; nothing that reads them may be in use any more."""
+    for path in _made.pop(name, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it outlives lost executors and is computed once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/terrane-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scope:
+        _made.setdefault(_scope[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key to as many tasks as shuffles have: what a task does grows faster than its bytes, so that small
+    partitions must not be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -475,7 +475,10 @@ def test_pipeline_run_against_a_plain_version(spark, tmp_path):
             assert start == at and crc == zlib.crc32(ids[at : at + length].tobytes()), (i, text[:80])
             at += length
         assert at == len(ids)
-    assert spark.createDataFrame([], docs.schema).transform(lambda e: corpus_pipeline.secrets(spark, corpus_pipeline.near_duplicates(spark, corpus_pipeline.identify(spark, e, ""), ""), "")).count() == 0
+    nothing = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = corpus_pipeline.written(stage(spark, nothing, str(tmp_path)))
+        assert nothing.count() == 0
 
 
 def test_null_ids_keep_their_own_repeats(spark):

@@ -8,25 +8,41 @@ what each does with them is said there.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import jaccard_join, language_id, packing, secret_scan, suffix_dedup
-from terrane.llm.tables import load, written
+from terrane.llm.tables import dropped, load, scope, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def stage(f):
+    """A stage that first removes the tables which the stage before has written on its way: its result, this one's docs,
+    is written by now."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(spark, "pipeline")
+        with scope("pipeline"):
+            return f(spark, docs.select(*COLUMNS), sf_dir)
+
+    return run
+
+
+@stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go, null and empty texts and those without letters among them; lang becomes
     what it says. Null ids and repeated rows are judged like others."""
-    docs = docs.select(*COLUMNS)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict(docs, model, keep=COLUMNS)
     return found.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with one doc_id and one text, one stays, by least source; of documents linked by five-word shingles
     (similarity 0.8 or more), the one with the least doc_id.
@@ -35,7 +51,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     come last in their group; of one id's linked texts the one of least hash stays. Null and empty texts link to nothing:
     one stays of each id. Ties of the least source go by n_chars, lang.
     """
-    docs = docs.select(*COLUMNS)
     same = docs.groupBy(F.xxhash64("doc_id", "text").alias("row")).agg(F.min(F.struct("source", "n_chars", "lang", "doc_id", "text")).alias("d"))
     rows = written(same.select("row", *(F.col(f"d.{c}") for c in COLUMNS)))
     linked = jaccard_join.similar_components(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "component_id")
@@ -44,11 +59,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 bytes or more that also start elsewhere are cut wherever they stand, no copy stays; a text that
     is cut goes if nothing but ASCII white space is left of it. Texts without such strings stay as they are, null ones too.
     """
-    docs = docs.select(*COLUMNS)
     found = suffix_dedup.remove_repeats(docs, 200, keep=COLUMNS[1:])
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
@@ -56,10 +71,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials that look live, which one owner alone has, are masked; the rest of the text stays, and so does every
     row. Null texts stay null; overlapping credentials are masked as one."""
-    docs = docs.select(*COLUMNS)
     live = secret_scan.scan(docs).select(F.col("doc_id").alias("of"), F.col("tag"), F.filter("found", lambda c: c["verdict"] == "live").alias("live")).where(F.size("live") > 0)
     live = live.dropDuplicates(["of", "tag"])
     joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("tag")), "left")
@@ -81,7 +96,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048: a row for each piece of each document; a null text is the end id alone."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    dropped(spark, "pipeline")
+    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language ID", identify), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("secret scans", secrets), ("packing", windows)]
@@ -92,7 +108,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents, each written before the next; an empty table gives no rows."""
-    docs = load(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    docs = load(spark, sf_dir, "documents")
+    for _, f in STAGES[:-1]:
+        docs = written(f(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,13 +25,14 @@ def merged(horizons: DataFrame, how: str) -> DataFrame:
     return horizons.groupBy("pos").agg({"average": F.avg, "top": F.min, "base": F.max}[how]("z").alias("z"))
 
 
-def curvature(grid: DataFrame) -> DataFrame:
-    """Mean and Gaussian curvature and dip of the quadric through the nine z values around a cell of unit spacing; undefined
+def curvature(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """For each surface of grid (inl, crl, z; `by` tells surfaces apart): mean and Gaussian curvature and dip of the quadric through the nine z values around a cell of unit spacing; undefined
     if one of the nine is."""
     at = [(i, c) for i in (-1, 0, 1) for c in (-1, 0, 1)]
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in at]))
-    moved = grid.where("z IS NOT NULL").select(F.col("inl"), F.col("crl"), "z", shift.alias("s")).select((F.col("inl") - F.col("s.i")).alias("inl"), (F.col("crl") - F.col("s.c")).alias("crl"), "s", "z")
-    nine = moved.groupBy("inl", "crl").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when((F.col("s.i") == i) & (F.col("s.c") == c), F.col("z"))).alias(f"z{k}") for k, (i, c) in enumerate(at)]).where("n = 9")
+    by = by or []
+    moved = grid.where("z IS NOT NULL").select(*by, "inl", "crl", "z", shift.alias("s")).select(*by, (F.col("inl") - F.col("s.i")).alias("inl"), (F.col("crl") - F.col("s.c")).alias("crl"), "s", "z")
+    nine = moved.groupBy(*by, "inl", "crl").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when((F.col("s.i") == i) & (F.col("s.c") == c), F.col("z"))).alias(f"z{k}") for k, (i, c) in enumerate(at)]).where("n = 9")
     z = [F.col(f"z{k}") for k in range(9)]
     a = (z[0] + z[1] + z[2] + z[6] + z[7] + z[8]) / 6 - (z[3] + z[4] + z[5]) / 3
     b = (z[0] + z[2] + z[3] + z[5] + z[6] + z[8]) / 6 - (z[1] + z[4] + z[7]) / 3
@@ -41,7 +42,7 @@ def curvature(grid: DataFrame) -> DataFrame:
     s = 1 + d * d + e * e
     mean = (a * (1 + e * e) + b * (1 + d * d) - c * d * e) / F.pow(s, 1.5)
     gauss = (4 * a * b - c * c) / (s * s)
-    return nine.select("inl", "crl", mean.alias("mean_curvature"), gauss.alias("gauss_curvature"), F.atan(F.sqrt(d * d + e * e)).alias("dip"))
+    return nine.select(*by, "inl", "crl", mean.alias("mean_curvature"), gauss.alias("gauss_curvature"), F.atan(F.sqrt(d * d + e * e)).alias("dip"))
 
 
 def dix(functions: DataFrame, order: str = "t") -> DataFrame:
@@ -93,10 +94,10 @@ def at_depth(log: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Both are laid in one order by depth; the samples before and after come by window, so nothing is paired."""
     rows = log.where("val IS NOT NULL").select("well", F.col("dah").cast("double").alias("d"), "val", F.lit(0).alias("q")).unionByName(wanted.select("well", F.col("at").cast("double").alias("d"), F.lit(None).cast("double").alias("val"), F.lit(1).alias("q")))
-    w = Window.partitionBy("well").orderBy("d", "q")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("well")
+    back, ahead = (w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("d", "q"), (F.desc("d"), F.desc("q"))))
     sample = F.when(F.col("q") == 0, F.struct("d", "val"))
-    rows = rows.withColumns({"lo": F.last(sample, True).over(back), "hi": F.first(sample, True).over(ahead)}).where("q = 1")
+    rows = rows.withColumns({"lo": F.last(sample, True).over(back), "hi": F.last(sample, True).over(ahead)}).where("q = 1")
     lo, hi, d = F.col("lo"), F.col("hi"), F.col("d")
     lerp = lo["val"] + (hi["val"] - lo["val"]) * (d - lo["d"]) / F.nullif(hi["d"] - lo["d"], F.lit(0.0))
     return rows.select("well", d.alias("at"), F.when(d == lo["d"], lo["val"]).when(d == hi["d"], hi["val"]).otherwise(lerp).alias("val"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from terrane.functions import stats
 from terrane.functions.formula import formula, recursive
 from terrane.operators import earth, graph, points, traces
-from terrane.plans import signals, stores, values, volumes  # noqa: F401  (they register their queries)
+from terrane.operators import signals as sig
+from terrane.plans import positions, signals, stores, values, volumes  # noqa: F401  (they register their queries)
 from terrane.plans.registry import QUERIES, SQL, query, r  # noqa: F401
 from terrane.plans.views import G, H, L, T, grid, horizons, load, logs
 from terrane.plans.views import traces as trace_view
@@ -160,13 +161,13 @@ def q_convolve_kernel(spark, sf):
     return traces.convolved(trace_view(spark, sf), [1, 2, 4, 2, 1]).select("trace", "z_idx", r("convolved", 5).alias("convolved"))
 
 
-@query(f"""WITH {T}, i AS (SELECT trace, z_idx, val, lead(val) OVER w - lag(val) OVER w AS im FROM t WINDOW w AS (PARTITION BY trace ORDER BY z_idx)),
+@query(f"""WITH {T}, i AS (SELECT a.trace, a.z_idx, any_value(a.val) AS val, sum(b.val * CASE WHEN (b.z_idx - a.z_idx) % 2 <> 0 THEN -2 / (pi() * (b.z_idx - a.z_idx)) * (0.54 + 0.46 * cos(pi() * (b.z_idx - a.z_idx) / 16)) ELSE 0 END) AS im FROM t a JOIN t b ON a.trace = b.trace AND abs(b.z_idx - a.z_idx) <= 15 GROUP BY ALL),
 p AS (SELECT trace, z_idx, sqrt(val * val + im * im) AS amp, atan2(im, val) AS ph FROM i),
 q AS (SELECT *, lead(ph) OVER w - lag(ph) OVER w AS d FROM p WINDOW w AS (PARTITION BY trace ORDER BY z_idx)),
 f AS (SELECT *, (CASE WHEN d < 0 THEN d + 2 * pi() ELSE d END) / (4 * pi()) AS fr FROM q)
 SELECT trace, z_idx, round(amp, 5) AS amplitude, round(ph, 6) AS phase, round(fr, 6) AS frequency, round(CASE WHEN fr > 0 THEN amp / sqrt(fr) WHEN fr IS NOT NULL THEN 0 END, 4) AS sweetness FROM f""")
 def q_instantaneous(spark, sf):
-    rows = trace_view(spark, sf).withColumn("imag", F.lead("val").over(traces.along()) - F.lag("val").over(traces.along()))
+    rows = trace_view(spark, sf).select("trace", "z_idx", "val", sig.kernel_sum(sig.hilbert_kernel(15)).alias("imag"))
     return traces.instantaneous(rows).select("trace", "z_idx", r("amplitude", 5).alias("amplitude"), r("phase").alias("phase"), r("frequency").alias("frequency"), r("sweetness", 4).alias("sweetness"))
 
 
@@ -287,10 +288,10 @@ def q_anti_selection(spark, sf):
     return load(spark, sf, "orders").join(rich, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size > 10 AND p_retailprice > 2 * p_size + 900 AND p_size < 40")
+@query("WITH e(x1, y1, x2, y2) AS (VALUES (5.0, 905.0, 44.0, 930.0), (44.0, 930.0, 30.0, 985.0), (30.0, 985.0, 22.0, 940.0), (22.0, 940.0, 5.0, 905.0)), p AS (SELECT p_partkey, p_size AS x, 900 + p_partkey % 97 AS y FROM part) SELECT p_partkey FROM p WHERE (SELECT count(*) FROM e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1")
 def q_sel_polygon(spark, sf):
-    corners = [(10.0, 920.0), (40.0, 980.0), (40.0, 1e6), (10.0, 1e6)]
-    return load(spark, sf, "part").where(points.in_polygon(F.col("p_size").cast("double"), F.col("p_retailprice"), corners) & (F.col("p_size") > 10) & (F.col("p_retailprice") > 2 * F.col("p_size") + 900)).select("p_partkey")
+    corners = [(5.0, 905.0), (44.0, 930.0), (30.0, 985.0), (22.0, 940.0)]
+    return load(spark, sf, "part").where(points.in_polygon(F.col("p_size").cast("double"), (900 + F.col("p_partkey") % 97).cast("double"), corners)).select("p_partkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 200")
@@ -407,10 +408,12 @@ def q_prestack_lsq(spark, sf):
     return got.where("n >= 5")
 
 
-@query(f"WITH {G}, a AS (SELECT inl, crl, val AS z FROM g WHERE z = 1995), n AS (SELECT c.inl, c.crl, b.inl - c.inl AS i, b.crl - c.crl AS k, b.z FROM a c JOIN a b ON abs(b.inl - c.inl) <= 1 AND abs(b.crl - c.crl) <= 1), p AS (SELECT inl, crl, sum(z * i) / 6 AS d, sum(z * k) / 6 AS e FROM n GROUP BY ALL HAVING count(*) = 9) SELECT inl, crl, round(atan(sqrt(d * d + e * e)), 5) AS dip FROM p")
+@query(f"""WITH {G}, n AS (SELECT c.z AS year, c.inl, c.crl, b.inl - c.inl AS i, b.crl - c.crl AS k, b.val AS z FROM g c JOIN g b ON b.z = c.z AND abs(b.inl - c.inl) <= 1 AND abs(b.crl - c.crl) <= 1),
+p AS (SELECT year, inl, crl, sum(CASE WHEN i = 0 THEN -z / 3 ELSE z / 6 END) AS a, sum(CASE WHEN k = 0 THEN -z / 3 ELSE z / 6 END) AS b, sum(z * i * k) / 4 AS c, sum(z * i) / 6 AS d, sum(z * k) / 6 AS e FROM n GROUP BY ALL HAVING count(*) = 9)
+SELECT year, inl, crl, round((a * (1 + e * e) + b * (1 + d * d) - c * d * e) / power(1 + d * d + e * e, 1.5), 6) AS mean, round((4 * a * b - c * c) / power(1 + d * d + e * e, 2), 6) AS gauss, round(atan(sqrt(d * d + e * e)), 6) AS dip FROM p""")
 def q_curvature_dip(spark, sf):
-    g = grid(spark, sf).where("z = 1995").select("inl", "crl", F.col("val").alias("z"))
-    return earth.curvature(g).select("inl", "crl", r("dip", 5).alias("dip"))
+    g = grid(spark, sf).select(F.col("z").alias("year"), "inl", "crl", F.col("val").alias("z"))
+    return earth.curvature(g, ["year"]).select("year", "inl", "crl", r("mean_curvature").alias("mean"), r("gauss_curvature").alias("gauss"), r("dip").alias("dip"))
 
 
 @query(f"WITH {T}, f AS (SELECT trace AS key, z_idx, (z_idx + 1) / 10.0 AS t, 1500 + 20 * z_idx + val AS vrms FROM t), n AS (SELECT *, vrms * vrms * t AS e, lag(vrms * vrms * t, 1, 0) OVER w AS eb, lag(t, 1, 0) OVER w AS tb FROM f WINDOW w AS (PARTITION BY key ORDER BY t)) SELECT key, z_idx, CASE WHEN (e - eb) / (t - tb) >= 0 THEN round(sqrt((e - eb) / (t - tb)), 3) END AS vint FROM n")
@@ -419,10 +422,10 @@ def q_dix(spark, sf):
     return earth.dix(f).select("key", "z_idx", r("vint", 3).alias("vint"))
 
 
-@query(f"WITH {T}, f AS (SELECT trace AS key, z_idx, (z_idx + 1) / 10.0 AS t, 1500 + val * 1.0000137 AS v FROM t), n AS (SELECT *, t - lag(t, 1, 0) OVER (PARTITION BY key ORDER BY t) AS dt FROM f) SELECT key, z_idx, round(sqrt(sum(v * v * dt) OVER w / t), 5) AS vrms, round(sum(v * dt) OVER w / t, 5) AS vavg, round(sum(v * dt / 2) OVER w, 5) AS depth FROM n WINDOW w AS (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING)")
+@query(f"WITH {T}, f AS (SELECT trace AS key, z_idx, (z_idx + 1) / 10.0 AS t, 1500 + val AS v FROM t), n AS (SELECT *, t - lag(t, 1, 0) OVER (PARTITION BY key ORDER BY t) AS dt FROM f) SELECT key, z_idx, round(sqrt(sum(v * v * dt) OVER w / t), 8) AS vrms, round(sum(v * dt) OVER w / t, 8) AS vavg, round(sum(v * dt / 2) OVER w, 8) AS depth FROM n WINDOW w AS (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def q_vrms(spark, sf):
-    f = trace_view(spark, sf).select(F.col("trace").alias("key"), ((F.col("z_idx") + 1) / 10.0).cast("double").alias("t"), (1500 + F.col("val") * 1.0000137).alias("vint"))
-    return earth.rms_velocity(f).select("key", (F.round(F.col("t") * 10) - 1).cast("int").alias("z_idx"), *[r(c, 5).alias(c) for c in ("vrms", "vavg", "depth")])
+    f = trace_view(spark, sf).select(F.col("trace").alias("key"), ((F.col("z_idx") + 1) / 10.0).cast("double").alias("t"), (1500 + F.col("val")).alias("vint"))
+    return earth.rms_velocity(f).select("key", (F.round(F.col("t") * 10) - 1).cast("int").alias("z_idx"), *[r(c, 8).alias(c) for c in ("vrms", "vavg", "depth")])
 
 
 @query("SELECT p_partkey, round(2000 * (exp(0.6 * (p_size / 10.0) / 2) - 1) / 0.6, 4) AS depth, round(sqrt((p_size / 10.0) * (p_size / 10.0) + 1000.0 * 1000.0 / (2000.0 * 2000.0)), 6) AS moveout FROM part")

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only where that is unset (one machine, as in tests), in a folder of its own."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir; only where that is unset on one machine, as in tests, in a folder of its own."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+    return f"{(at or tempfile.mkdtemp(prefix='terrane-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a scratch path and read again: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession, "terrane")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ _LOWER[65:91] += 32
 #: Shingles of the sets that one tree holds; a larger group of candidates is joined block by block.
 TREE_SHINGLES = 1 << 20
 #: Shingles that a step down a tree reads at most before bounds are looked at.
-LABEL = 16
+LABEL = 64
 #: A shingle is hot if steps in which at least HOT_LEAST sets and a share of 1 / HOT_STEP have it count, together, a share
 #: of 1 / HOT_ALL of all documents; so there are at most HOT_ALL times the mean prefix of them.
 HOT_LEAST, HOT_STEP, HOT_ALL = 16, 64, 1024

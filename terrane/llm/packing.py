@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
-from terrane.llm.pretokens import STEP_BYTES, Cache, pieces, text_heads
+from terrane.llm.pretokens import STEP_BYTES, Cache, pieces
 from terrane.llm.tables import written
-from terrane.llm.token_counts import byte_letters, vocabulary
+from terrane.llm.token_counts import encoder, vocabulary
 
 #: Pieces of one length are numbered in parts of about so many rows, so that a length that many documents share is no
 #: single task; and in so many parts at least.
 PART_ROWS, PARTS = 1 << 16, 64
+#: Bytes of the longest text that is encoded as a whole.
+WHOLE = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -93,20 +96,22 @@ def best_fit(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int,
 
 
 @functools.cache
-def _coder(tokenizer: str) -> tuple[dict[str, bytes], Cache]:
-    """The special tokens, and the ids of any piece, as bytes; a worker keeps them from task to task."""
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(tokenizer).model
+def _coder(tokenizer: str):
+    """The ids of a UTF-8 text, as bytes: whole texts by the engine that token counts use, whose ids are those of the
+    tokenizers library (tests hold both against each other); texts over WHOLE bytes piece by piece, which takes white
+    space of any length."""
     special = {text: np.uint32(i).tobytes() for text, i in vocabulary(tokenizer)[1].items()}
-    letter = {b: c for c, b in byte_letters().items()}
+    encode, _, merge = encoder(tokenizer)
+    cache = Cache(lambda piece: special.get(piece) or array("I", merge(piece)).tobytes())
 
-    def code(piece: str) -> bytes:
-        if piece in special:
-            return special[piece]
-        return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letter))], "<u4").tobytes()
+    def code(data: bytes) -> bytes:
+        text = data.decode()
+        if len(data) <= WHOLE:
+            return array("I", encode(text)).tobytes()
+        found, _ = pieces(text, np.zeros(1, np.int64), _spans(text, special))
+        return b"".join([cache[p] for p in found])
 
-    return special, Cache(code)
+    return code
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
@@ -114,17 +119,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> D
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, cache = _coder(tokenizer)
+        code = _coder(tokenizer)
         last = np.uint32(end_id).tobytes()
         for batch in batches:
             for i, j, data, offsets in blocks.texts(batch, limit=STEP_BYTES):
-                text, heads = data.tobytes().decode(), text_heads(data, offsets)
-                found, at = pieces(text, heads[:-1], _spans(text, special, heads))
-                got = [cache[p] for p in found]
-                bounds = np.searchsorted(at, heads).tolist()
-                rows = []
-                for doc, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    ids = b"".join([*got[a:b], last])
+                rows, raw = [], data.tobytes()
+                for doc, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    ids = code(raw[a:b]) + last
                     for k in range(0, len(ids), 4 * window):
                         part = ids[k : k + 4 * window]
                         rows.append((doc, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
@@ -134,17 +135,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> D
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def _spans(text: str, special: dict[str, bytes], heads: np.ndarray) -> list[tuple[int, int]]:
-    """Where special strings stand, in one text each."""
+def _spans(text: str, special: dict[str, bytes]) -> list[tuple[int, int]]:
+    """Where special strings stand."""
     out = []
     for token in special:
         at = text.find(token)
         while at >= 0:
-            if np.searchsorted(heads, at, "right") == np.searchsorted(heads, at + len(token) - 1, "right"):
-                out.append((at, at + len(token)))
-                at = text.find(token, at + len(token))
-            else:
-                at = text.find(token, at + 1)
+            out.append((at, at + len(token)))
+            at = text.find(token, at + len(token))
     return sorted(out)
 
 

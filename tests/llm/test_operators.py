@@ -67,7 +67,7 @@ def test_token_counts_of_huge_texts(spark, kind):
 def test_splices_of_small_chunks():
     from tokenizers import Tokenizer
 
-    library, (encode, size) = Tokenizer.from_file(JSON), token_counts.encoder(JSON)
+    library, (encode, size, _) = Tokenizer.from_file(JSON), token_counts.encoder(JSON)
     rng, special = random.Random(2), [b"<|endoftext|>"]
     parts = ["a", "b", "é", "日", "本", "1", "22", " ", "  ", "\n", "\t", "'s", "'", "'ll", "!", "?", "...", "<|endoftext|>", "word ", "　", "ß", "hello"]
     for _ in range(300):
@@ -250,9 +250,12 @@ def test_copied_secrets_are_examples(spark):
     assert {r.doc_id: r.found[0].verdict for r in got} == {0: "example", 1: "example", 2: "example", 3: "example", 9: "live"}
 
 
-def test_packing(docs, empty, texts):
+@pytest.mark.parametrize("whole", [1 << 16, 10])
+def test_packing(docs, empty, texts, whole, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "WHOLE", whole)
+    packing._coder.cache_clear()
     library, sequences, pieces = Tokenizer.from_file(JSON), defaultdict(list), defaultdict(list)
     for r in packing.pack(docs, JSON, window=256).collect():
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -273,6 +276,17 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, JSON).count() == 0
 
 
+def test_pieces_of_both_engines():
+    from tokenizers import Tokenizer
+
+    model, merge = Tokenizer.from_file(JSON).model, token_counts.encoder(JSON)[2]
+    letter, rng = {b: c for c, b in token_counts.byte_letters().items()}, random.Random(5)
+    for _ in range(4000):
+        sign = lambda: rng.choice("etaoinshrdlu ETAé日本!?.,'-=") if rng.random() < 0.8 else chr(rng.choice([rng.randint(160, 0x2FFF), rng.randint(0x4E00, 0x9FFF), rng.randint(0x1F300, 0x1F9FF)]))
+        piece = "".join(sign() for _ in range(rng.randint(1, 14)))
+        assert merge(piece) == [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letter))], piece
+
+
 def test_packing_is_best_fit_decreasing(spark, docs, monkeypatch):
     rng = random.Random(12)
     for window in (1, 2, 7, 64, 200):

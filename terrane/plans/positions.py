@@ -229,26 +229,26 @@ def q_random_line(spark, sf):
     return at.join(grid(spark, sf), ["inl", "crl"]).select("trc", "z", "val")
 
 
-_LAYERS = "y AS (SELECT l_orderkey AS model, l_linenumber AS layer, max(l_returnflag) AS unit, max(l_linestatus) AS lith, sum(l_quantity) AS th, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(th) OVER (PARTITION BY model ORDER BY layer) AS base FROM y)"
+_LAYERS = "y AS (SELECT l_orderkey AS model, l_linenumber AS layer, max(l_returnflag) AS unit, max(l_linestatus) AS lith, sum(l_quantity) AS th, sqrt(max(l_extendedprice)) AS v FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(th) OVER (PARTITION BY model ORDER BY layer) AS base FROM y)"
 
 
 def _layers(spark, sf):
     of = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("model"), F.col("l_linenumber").alias("layer"))
-    return of.agg(F.max("l_returnflag").alias("unit"), F.max("l_linestatus").alias("lith"), F.sum("l_quantity").alias("thickness"), F.max("l_extendedprice").alias("v"))
+    return of.agg(F.max("l_returnflag").alias("unit"), F.max("l_linestatus").alias("lith"), F.sum("l_quantity").alias("thickness"), F.sqrt(F.max("l_extendedprice")).alias("v"))
 
 
-@query(f"WITH {_LAYERS} SELECT model, round(sum(th * v) / sum(th), 9) AS mean, round(sum(th) / sum(th / v), 6) AS velocity, coalesce(sum(th), 0) AS thickness, count(th) AS n FROM (SELECT model, CASE WHEN unit IN ('A', 'R') AND lith = 'F' THEN th END AS th, v FROM y) GROUP BY model")
+@query(f"WITH {_LAYERS} SELECT model, round(sum(th * v) / sum(th), 6) AS mean, round(sum(th) / sum(th / v), 6) AS velocity, coalesce(sum(th), 0) AS thickness, count(th) AS n FROM (SELECT model, CASE WHEN unit IN ('A', 'R') AND lith = 'F' THEN th END AS th, v FROM y) GROUP BY model")
 def q_layer_attrib_global(spark, sf):
     use = F.col("unit").isin("A", "R") & (F.col("lith") == "F")
     th = F.when(use, F.col("thickness"))
-    return _layers(spark, sf).groupBy("model").agg(r(positions.layer_mean(F.col("v"), th), 9).alias("mean"), r(positions.layer_mean(F.col("v"), th, slowness=True), 6).alias("velocity"), F.coalesce(F.sum(th), F.lit(0.0)).alias("thickness"), F.count(th).alias("n"))
+    return _layers(spark, sf).groupBy("model").agg(r(positions.layer_mean(F.col("v"), th), 6).alias("mean"), r(positions.layer_mean(F.col("v"), th, slowness=True), 6).alias("velocity"), F.coalesce(F.sum(th), F.lit(0.0)).alias("thickness"), F.count(th).alias("n"))
 
 
-@query(f"WITH {_LAYERS}, c AS (SELECT model, v, greatest(0, least(base, 60) - greatest(base - th, 25)) AS w FROM t) SELECT model, round(sum(w * v) FILTER (w >= 1e-5) / sum(w) FILTER (w >= 1e-5), 9) AS mean, round(sum(w), 6) AS inside FROM c GROUP BY model")
+@query(f"WITH {_LAYERS}, c AS (SELECT model, v, greatest(0, least(base, 60) - greatest(base - th, 25)) AS w FROM t) SELECT model, round(sum(w * v) FILTER (w >= 1e-5) / sum(w) FILTER (w >= 1e-5), 6) AS mean, round(sum(w), 6) AS inside FROM c GROUP BY model")
 def q_layer_attrib_local(spark, sf):
     tops = earth.layer_tops(_layers(spark, sf))
     w = positions.in_gate(F.col("ztop"), F.col("zbase"), F.lit(25.0), F.lit(60.0))
-    return tops.withColumn("w", w).groupBy("model").agg(r(positions.layer_mean(F.col("v"), F.col("w")), 9).alias("mean"), r(F.sum("w")).alias("inside"))
+    return tops.withColumn("w", w).groupBy("model").agg(r(positions.layer_mean(F.col("v"), F.col("w")), 6).alias("mean"), r(F.sum("w")).alias("inside"))
 
 
 @query("SELECT p_partkey, round(power(p_retailprice, 1.5), 4) AS pow, round(ln(p_retailprice) / ln(2), 6) AS log, round(power(1.05, p_size), 6) AS exp FROM part")

@@ -114,3 +114,27 @@ def insert_statements(table: str, columns: list[str], constants: dict[str, str]
     values = [value(F.col(c)) for c in columns] + [value(F.lit(v)) for v in constants.values()]
     listed = reduce(lambda a, b: F.concat(a, F.lit(", "), b), values)
     return F.concat(F.lit(f"INSERT INTO {table} ({', '.join([*columns, *constants])}) VALUES ("), listed, F.lit(");"))
+
+
+# ---- tables of described columns
+
+
+def read_columns(spark: SparkSession, path: str, fields: dict[str, tuple[int, str, float]], comment: str = "#", undefined: float = 1e30) -> DataFrame:
+    """Lines of columns split by white space, as horizons, faults, pick sets, wells and velocity functions come in plain text.
+
+    fields: for each name its column (from 1), its type, and a factor to the unit wanted (numbers other than 1.0 only).
+    Lines that are blank or start with comment are left out; a column that is missing, no number or undefined is null.
+    """
+    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
+    rows = rows.where((F.col("line") != "") & ~F.col("line").startswith(comment)).select(F.split("line", " ").alias("c"))
+
+    def field(name: str) -> Column:
+        column, kind, factor = fields[name]
+        raw = F.get("c", F.lit(column - 1))
+        if kind == "string":
+            return raw.alias(name)
+        number = raw.try_cast("double")
+        value = raw.try_cast(kind) if factor == 1.0 else (number * factor).cast(kind)
+        return F.when(number != undefined, value).alias(name)
+
+    return rows.select(*map(field, fields))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from terrane.llm import (
     byte_bpe,
+    exact_dedup,
     jaccard_join,
     language_id,
     packing,
+    periodic_runs,
     secret_scan,
     substring_dedup,
     suffix_dedup,
@@ -66,15 +68,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), 200, keep_text=False).drop("kept_text")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(load(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_byte_bpe, op3_transport_stream, op4_substring_dedup, op5_language_id,
         op6_vector_search, op7_secret_scan, op8_packing, op9_jaccard_join, op10_suffix_dedup,
+        op12_exact_dedup, op13_periodic_runs,
     )
 }
 
 SQL: dict[str, str] = {
+    "op12_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+            FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
+            row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM d
+        WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id)
+    """,
     "op6_vector_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x

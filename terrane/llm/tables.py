@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt out by key to as many tasks as shuffles have: what a task does grows faster than its bytes, so that small
     partitions must not be put together."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+#: A group with more than this part of all rows is hot.
+HOT_PARTS = 1000
+
+
+def joined_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Each of rows with its group (inner join by key, which is not null; `size`: rows of the group, `total`: of all).
+
+    Groups of over total / HOT_PARTS rows, HOT_PARTS at most, are broadcast, so that no task gets all rows of a hot key;
+    the others meet their rows by a shuffle.
+    """
+    hot = groups.where(F.col(size) * HOT_PARTS > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) * HOT_PARTS <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -18,6 +18,7 @@ from terrane.llm import (
     secret_scan,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
     token_counts,
     transport_stream,
     vector_search,
@@ -68,6 +69,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), 200, keep_text=False).drop("kept_text")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep_groups=False)
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(load(spark, sf_dir, "documents"))
 
@@ -81,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_byte_bpe, op3_transport_stream, op4_substring_dedup, op5_language_id,
         op6_vector_search, op7_secret_scan, op8_packing, op9_jaccard_join, op10_suffix_dedup,
-        op12_exact_dedup, op13_periodic_runs,
+        op11_token_alignment, op12_exact_dedup, op13_periodic_runs,
     )
 }
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm import bloom
+from terrane.llm.bloom import WORDS
 from terrane.llm.tables import joined_groups, written
 
-#: 64-bit words of the filter at most, and so rows that are broadcast at most (16 bytes each).
-WORDS = 1 << 20
 #: What normalised texts lack.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -17,20 +17,13 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def _signature(words: int) -> list[Column]:
-    """The word of the filter that a hash belongs to, and four bits of it."""
-    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(sha, 1), {6 * k}) & 63 as int))" for k in range(4))
-    return [F.pmod(F.xxhash64("sha"), F.lit(words)).alias("word"), F.expr(bits).alias("bits")]
-
-
 def repeated_filter(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """(word, filter): the Bloom filter of all hashes that may occur twice among rows (sha), `words` rows at most.
 
     The first pass. Each hash has a signature, one word and four bits in it. Signatures are counted, with most of the
     counting before the shuffle; those found twice set their bits. Equal hashes have equal signatures, so none is missed.
     """
-    twice = rows.select(*_signature(words)).groupBy("word", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy("word").agg(F.bit_or("bits").alias("filter"))
+    return bloom.made(rows.select(*bloom.signature("sha", words)).groupBy("word", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def mark(docs: DataFrame, keep: list[str] = (), words: int = WORDS) -> DataFrame:
@@ -50,15 +43,14 @@ def mark(docs: DataFrame, keep: list[str] = (), words: int = WORDS) -> DataFrame
     kept = [F.col(f"`{c}`").alias(f"kept {k}") for k, c in enumerate(keep)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("size"), F.unhex(F.sha2(normal(F.col("text")), 256)).alias("sha"), *kept)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    tested = rows.select("*", *_signature(words)).join(F.broadcast(repeated_filter(rows, words)), "word", "left")
-    tested = tested.withColumn("known", F.coalesce(F.col("filter").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False))).drop("word", "bits", "filter")
+    tested = bloom.tested(rows, repeated_filter(rows, words), "sha", words)
     first = F.min(F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    met = tested.where("known")
+    met = tested.where(F.col(bloom.KNOWN))
     groups = written(met.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
     groups = groups.select("sha", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
     shape = [*(F.col(f"kept {k}").alias(c) for k, c in enumerate(keep))]
     sha = F.lower(F.hex("sha")).alias("text_sha256")
-    alone = tested.where(~F.col("known")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha, *shape)
+    alone = tested.where(~F.col(bloom.KNOWN)).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha, *shape)
     together = joined_groups(met, groups, "sha", "group_size", rows.count())
     together = together.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), sha, *shape)
     return alone.unionByName(together)

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm import blocks
+from terrane.llm import blocks, bloom
 from terrane.llm.components import components
 from terrane.llm.repeats import tagged
-from terrane.llm.tables import spread, written
+from terrane.llm.tables import scratch, spread, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -276,38 +276,40 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     same are one in components); a document with a null id links and connects others, but names no component: it gets the least id of its own, null if
     it is linked with null ids alone. An empty table gives no rows; other columns are ignored.
     """
-    sets = written(_sets(docs, n, percent))
-    # a kind's node is its least id, or, of null ids alone, its signature
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
-    kinds = sets.where("size > 0").groupBy("s1", "s2", "size").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
-    kinds = written(kinds.select("s1", "s2", "size", "copies", F.coalesce("f.doc_id", "s1").alias("kind"), F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag")))
-    edges = _candidates(_prefixes(docs, n, percent, _hot(sets)), kinds.select("s1", "size"), percent)
-    groups = components(edges).withColumnRenamed("node", "s1").withColumnRenamed("root", "group")
-    members = written(groups.join(kinds, "s1"))
-    weight = members.groupBy("group").agg(F.ceil(F.sum("size") / TREE_SHINGLES).cast("int").alias("parts"))
-    cells = members.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
-    # (probe part, held part) cells; with one part, both roles are one row
-    either = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("other"))))
-    cells = cells.select("*", either.alias("x")).select("*", F.col("x.other").alias("other"))
-    names = ["kind", "doc_id", "tag", "copies", "s1"]
-    roles = cells.select(*names, F.xxhash64("group", "part", "other").alias("cell"), F.lit(True).alias("probe"), (F.col("part") == F.col("other")).alias("held"))
-    roles = roles.unionByName(cells.where("part != other").select(*names, F.xxhash64("group", "other", "part").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("held")))
-    linked = written(_joined(_with_shingles(docs, roles, n), percent))
-    roots = written(components(linked.select(F.col("kind").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "kind"))
-    called = roots.join(kinds.where("doc_id IS NOT NULL").select("kind").distinct(), "kind").groupBy("root").agg(F.min("kind").alias("component"))
-    roots = roots.join(called, "root", "left").select("kind", F.lit(True).alias("linked"), "component")
-    degree = linked.groupBy("kind").agg(F.sum("links").alias("links"))
-    found = kinds.select("kind", F.col("doc_id").alias("own"), "copies", "s1", "s2", F.col("size").alias("of")).join(roots, "kind", "left").join(degree, "kind", "left")
-    return (
-        sets.select("doc_id", "size", "s1", "s2")
-        .join(found, (sets.s1 == found.s1) & (sets.s2 == found.s2) & (sets.size == found.of), "left")
-        .select(
-            "doc_id",
-            F.col("size").alias("n_shingles"),
-            F.when(F.col("linked"), F.col("component")).otherwise(F.coalesce("own", "doc_id")).alias("component_id"),
-            F.when(F.col("size") == 0, 0).otherwise(F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+    with scratch(docs.sparkSession) as outlives:
+        sets = written(_sets(docs, n, percent))
+        # a kind's node is its least id, or, of null ids alone, its signature
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
+        kinds = sets.where("size > 0").groupBy("s1", "s2", "size").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
+        kinds = written(kinds.select("s1", "s2", "size", "copies", F.coalesce("f.doc_id", "s1").alias("kind"), F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag")))
+        edges = _candidates(_prefixes(docs, n, percent, _hot(sets)), kinds.select("s1", "size"), percent)
+        groups = components(edges).withColumnRenamed("node", "s1").withColumnRenamed("root", "group")
+        members = written(groups.join(kinds, "s1"))
+        weight = members.groupBy("group").agg(F.ceil(F.sum("size") / TREE_SHINGLES).cast("int").alias("parts"))
+        cells = members.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
+        # (probe part, held part) cells; with one part, both roles are one row
+        either = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("other"))))
+        cells = cells.select("*", either.alias("x")).select("*", F.col("x.other").alias("other"))
+        names = ["kind", "doc_id", "tag", "copies", "s1"]
+        roles = cells.select(*names, F.xxhash64("group", "part", "other").alias("cell"), F.lit(True).alias("probe"), (F.col("part") == F.col("other")).alias("held"))
+        roles = roles.unionByName(cells.where("part != other").select(*names, F.xxhash64("group", "other", "part").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("held")))
+        linked = written(_joined(_with_shingles(docs, roles, n), percent))
+        roots = written(components(linked.select(F.col("kind").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "kind"))
+        called = roots.join(kinds.where("doc_id IS NOT NULL").select("kind").distinct(), "kind").groupBy("root").agg(F.min("kind").alias("component"))
+        roots = roots.join(called, "root", "left").select("kind", F.lit(True).alias("linked"), "component")
+        degree = linked.groupBy("kind").agg(F.sum("links").alias("links"))
+        found = kinds.select("kind", F.col("doc_id").alias("own"), "copies", "s1", "s2", F.col("size").alias("of")).join(roots, "kind", "left").join(degree, "kind", "left")
+        result = (
+            sets.select("doc_id", "size", "s1", "s2")
+            .join(found, (sets.s1 == found.s1) & (sets.s2 == found.s2) & (sets.size == found.of), "left")
+            .select(
+                "doc_id",
+                F.col("size").alias("n_shingles"),
+                F.when(F.col("linked"), F.col("component")).otherwise(F.coalesce("own", "doc_id")).alias("component_id"),
+                F.when(F.col("size") == 0, 0).otherwise(F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+            )
         )
-    )
+        return outlives(result)
 
 
 def _with_shingles(docs: DataFrame, roles: DataFrame, n: int) -> DataFrame:
@@ -317,7 +319,8 @@ def _with_shingles(docs: DataFrame, roles: DataFrame, n: int) -> DataFrame:
     # a kind's cells travel as one list; their number is that of the blocks of its group
     wanted = roles.groupBy("s1").agg(F.first("doc_id").alias("of"), F.first("tag").alias("of_tag"), F.collect_list(F.struct(*names)).alias("roles"))
     texts = tagged(docs.select("doc_id", "text"))
-    joined = wanted.join(texts, texts.doc_id.eqNullSafe(wanted.of) & (texts.tag == wanted.of_tag)).select("text", "s1", "roles")
+    on = texts.doc_id.eqNullSafe(wanted.of) & (texts.tag == wanted.of_tag)
+    joined = bloom.beside(texts, wanted, "xxhash64(doc_id, tag)", "xxhash64(of, of_tag)", on, "inner").select("text", "s1", "roles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = None

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import blocks
@@ -118,24 +118,34 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
 
 
+def sampled(labelled: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame]:
+    """How many texts each language has, and lang, key, text of per_language different rows of each at most: those of least
+    hash of doc_id and text (key), about. Copies of a row are one before the rows of a language meet."""
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    times = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not times:
+        return times, rows.select("lang", F.lit(0).cast("long").alias("key"), "text").limit(0)
+    part = F.pmod("key", F.lit(1 << 30))
+    bound = F.create_map(*[F.lit(x) for lang, n in sorted(times.items()) for x in (lang, int(min(1.0, 1.25 * per_language / n) * (1 << 30)))])
+    few = rows.withColumn("key", F.xxhash64("doc_id", "text")).where(part < bound[F.col("lang")]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    return times, few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(part, "key"))).where(F.col("rank") <= per_language).drop("rank")
+
+
 def fit(labelled: DataFrame, per_language: int = 600, centroids: int = 4, below: float = 0.01) -> Model:
     """A model of labelled texts (doc_id, text, lang), which holds up to `centroids` centroids for each language (see _clusters).
 
-    It is fitted on about `per_language` rows of each language, those of least hash of doc_id: their cell counts, at most
-    CELLS pairs of numbers (24 KB) a row, come to the driver, where one language's rows are made dense at a time. A quarter of them is held back: the cosines of those texts, whole and cut to
+    It is fitted on `per_language` different rows of each language at most, those of least hash of doc_id and text, whatever
+    share of the ids is null or repeated: their cell counts, at most CELLS pairs of numbers (24 KB) a row, come to the
+    driver (for held-back rows also those of their cuts), where one language's rows are made dense at a time. A quarter of them is held back: the cosines of those texts, whole and cut to
     CUTS, to their nearest centroids give the floors. A text is rejected later if its cosine is below that of all but
     the share `below` of the held-back texts that have as many distinct cells (a long text that says one word again and
     again is held against short ones). A language with fewer than LEAST_HELD texts learns from and checks all of them.
     """
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    times = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = {lang: min(1.0, per_language / n) for lang, n in times.items()}
-    if not share:
+    times, sample = sampled(labelled, per_language)
+    if not times:
         return Model([], np.zeros((0, CELLS), np.float32), np.ones(CELLS, np.float32), np.zeros(1))
-    bound = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, int(s * (1 << 30)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound[F.col("lang")])
     few = F.col("lang").isin([lang for lang, n in sorted(times.items()) if n < LEAST_HELD])
-    held = F.pmod(F.xxhash64("doc_id", F.lit("held back")), F.lit(4)) == 0
+    held = F.pmod(F.xxhash64("key", F.lit("held back")), F.lit(4)) == 0
     # role 0: learn from; 1: check, whole or cut
     sizes = F.filter(F.array(*map(F.lit, CUTS)), lambda k: k < F.length("text"))
     parts = F.when(held | few, F.transform(F.concat(sizes, F.array(F.length("text"))), lambda k: F.struct(F.lit(1).alias("role"), k.alias("size")))).otherwise(F.array().cast("array<struct<role:int,size:int>>"))

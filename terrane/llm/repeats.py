@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm import blocks
+from terrane.llm import blocks, bloom
 from terrane.llm.tables import written
 
 ANCHORS = "doc_id long, tag long, first int, count int, anchor long, around long, settled boolean, sure boolean, meet long"
@@ -88,10 +88,12 @@ def seeds(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
 
 
 def with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """rows (doc_id, tag, spans: a list of structs, bounded by the document's own length) beside the text of their document."""
+    """rows (doc_id, tag, spans: a list of structs, bounded by the document's own length) beside the text of their document.
+    Texts that rows has nothing of are not shuffled."""
     d = tagged(docs)
     r = rows.withColumnRenamed("doc_id", "of").withColumnRenamed("tag", "of_tag")
-    return d.join(r, d.doc_id.eqNullSafe(r.of) & (d.tag == r.of_tag), how).drop("of", "of_tag")
+    on = d.doc_id.eqNullSafe(r.of) & (d.tag == r.of_tag)
+    return bloom.beside(d, r, "xxhash64(doc_id, tag)", "xxhash64(of, of_tag)", on, how).drop("of", "of_tag")
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import blocks
 from terrane.llm.repeats import covered, repeated_windows, seeds, spans_of, units, window_hashes, with_text
-from terrane.llm.tables import spread
+from terrane.llm.tables import scratch, spread
 
 #: Rows that are extended at a time; the rows of one anchor stay together.
 ROWS = 1 << 14
@@ -136,11 +136,12 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, gram: int = 12, keep_te
     are documents like others: rows are told apart by doc_id and a 64-bit hash of the text. An empty table gives no
     rows; other columns are ignored.
     """
-    found = seeds(docs, min_words, gram, True)
-    kinds = found.where("kind")
-    extended_ = _extend(_seed_rows(docs, kinds.where(F.col("kinds") <= CROWD), min_words, gram), min_words, gram)
-    crowded = repeated_windows(window_hashes(docs, kinds.where(F.col("kinds") > CROWD), min_words, True))
-    spans = spans_of(extended_.unionByName(crowded.withColumn("size", F.lit(min_words))), found.where("twin"), min_words)
+    with scratch(docs.sparkSession) as outlives:
+        found = seeds(docs, min_words, gram, True)
+        kinds = found.where("kind")
+        extended_ = _extend(_seed_rows(docs, kinds.where(F.col("kinds") <= CROWD), min_words, gram), min_words, gram)
+        crowded = repeated_windows(window_hashes(docs, kinds.where(F.col("kinds") > CROWD), min_words, True))
+        spans = outlives(spans_of(extended_.unionByName(crowded.withColumn("size", F.lit(min_words))), found.where("twin"), min_words))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import blocks
 from terrane.llm.repeats import covered, repeated_windows, seeds, spans_of, window_hashes, with_text
-from terrane.llm.tables import spread
+from terrane.llm.tables import scratch, spread
 
 #: Ends a segment in a sorted text; UTF-8 never has this byte.
 END = 255
@@ -192,11 +192,12 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = 72, keep_t
     apart by doc_id and a 64-bit hash of the text. An empty table gives no rows; other columns are ignored.
     """
     names = keep or []
-    found = seeds(docs, min_bytes, gram, False)
-    kinds = found.where("kind")
-    sorted_ = _sorted_repeats(_segments(docs, kinds.where(F.col("kinds") <= CROWD), min_bytes), min_bytes)
-    crowded = repeated_windows(window_hashes(docs, kinds.where(F.col("kinds") > CROWD), min_bytes, False))
-    spans = spans_of(sorted_.unionByName(crowded), found.where("twin"), min_bytes)
+    with scratch(docs.sparkSession) as outlives:
+        found = seeds(docs, min_bytes, gram, False)
+        kinds = found.where("kind")
+        sorted_ = _sorted_repeats(_segments(docs, kinds.where(F.col("kinds") <= CROWD), min_bytes), min_bytes)
+        crowded = repeated_windows(window_hashes(docs, kinds.where(F.col("kinds") > CROWD), min_bytes, False))
+        spans = outlives(spans_of(sorted_.unionByName(crowded), found.where("twin"), min_bytes))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

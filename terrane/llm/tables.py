@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -27,35 +28,47 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Paths of the tables that written() has made within a scope, by the scope's name.
-_made: dict[str, list[str]] = {}
-_scope: list[str] = []
+#: Paths of the tables that written() has made in the innermost scratch() of this thread.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables; nothing that reads them may be in use any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
-def scope(name: str):
-    """Tables written within are kept in mind under this name, until dropped(name)."""
-    _scope.append(name)
+def scratch(spark: SparkSession):
+    """Tables written within are removed at the end, so no DataFrame made within may be used after it, but for what the
+    function that it gives, outlives(df), has written: that belongs to the scratch around, if there is one."""
+    around = _made.get()
+    own: list[str] = []
+
+    def outlives(df: DataFrame) -> DataFrame:
+        inner = _made.set(around)
+        try:
+            return written(df)
+        finally:
+            _made.reset(inner)
+
+    token = _made.set(own)
     try:
-        yield
+        yield outlives
     finally:
-        _scope.pop()
-
-
-def dropped(spark: SparkSession, name: str) -> None:
-    """Removes the tables of a scope; nothing that reads them may be in use any more."""
-    for path in _made.pop(name, []):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.reset(token)
+        removed(spark, own)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it outlives lost executors and is computed once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/terrane-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
-    if _scope:
-        _made.setdefault(_scope[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

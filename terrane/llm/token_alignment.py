@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import blocks
 from terrane.llm.pretokens import WHITE, classes_of, text_heads
-from terrane.llm.tables import joined_groups, spread, written
+from terrane.llm.tables import joined_groups, scratch, spread, written
 from terrane.llm.token_counts import vocabulary
 
 #: Bytes of text whose segments are told apart together, within a task; a longer document is a chunk of its own.
@@ -223,9 +223,10 @@ def align(docs: DataFrame, a: str, b: str, keep_groups: bool = True) -> DataFram
     found = written(_segmented(docs, a, b))
     coded = found.where("code IS NOT NULL").select("chunk", "code", "segment", "times")
     distinct = spread(coded, "segment").groupBy("segment").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("chunks"))
-    aligned = written(_aligned(distinct, a, b))
-    told = written(aligned.select("seg", "segment", "chunks", "n_a", "n_b", "groups").join(_scored(aligned), "seg").drop("seg"))
-    total = aligned.agg(F.sum("chunks")).first()[0] or 0
+    with scratch(docs.sparkSession) as outlives:
+        aligned = written(_aligned(distinct, a, b))
+        told = outlives(aligned.select("seg", "segment", "chunks", "n_a", "n_b", "groups").join(_scored(aligned), "seg").drop("seg"))
+        total = aligned.agg(F.sum("chunks")).first()[0] or 0
     placed = joined_groups(coded.drop("times"), told, "segment", "chunks", total).drop("segment", "chunks")
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names), ("groups_sha256", pa.string()), *([("groups", pa.string())] if keep_groups else [])])

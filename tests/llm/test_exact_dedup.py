@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import exact_dedup, tables
+from terrane.llm import bloom, exact_dedup, tables
 
 TEXTS = [None, "", " \n", "a b", "ab", "a  b", "c", "ç", "ç", "\x0bab\x0c", "a b", "日本 語", "日本語", "x" * 300_000, "x " * 300_000, "alone"] + ["hot copy"] * 60
 ROWS = [(k if k % 7 else None, t, k) for k, t in enumerate(TEXTS)] + [(4, "ab", 0), (4, "ab", 1), (3, "a b", 5)]
@@ -41,7 +41,7 @@ def test_mark(spark, monkeypatch, words, hot):
 def test_unique_rows_pass_the_filter_by(spark):
     rows = spark.range(20_000).select(F.unhex(F.sha2(F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") % 10).cast("string"), 256)).alias("sha"))
     known = exact_dedup.repeated_filter(rows).withColumnRenamed("word", "w")
-    word, bits = exact_dedup._signature(exact_dedup.WORDS)
+    word, bits = bloom.signature("sha")
     met = rows.select("sha", word, bits).join(known, F.expr("w = word AND (bits & filter) = bits"))
     assert 1010 <= met.count() <= 1030  # the 1000 copies, the ten they are copies of, and hardly any other
     assert known.count() <= 30

@@ -61,14 +61,24 @@ def scratch(spark: SparkSession):
         removed(spark, own)
 
 
+#: Whether Spark removes the files of a query's shuffles when it has ended, not at some later garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it outlives lost executors and is computed once."""
+    """df written as Parquet in the shared folder and read again: it outlives lost executors and is computed once. The files
+    of the shuffles that made it go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/terrane-{uuid.uuid4().hex}"
     made = _made.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,19 @@ def texts(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    give_back()
+
+
+@functools.cache
+def _trim():
+    """The C library's own way to give memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Memory that a batch has used and let go, to the system: workers live on, and stages that follow need it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:

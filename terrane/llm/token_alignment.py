@@ -108,7 +108,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> tuple[pa
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]), counts
 
 
-def _segmented(docs: DataFrame, a: str, b: str) -> DataFrame:
+def _segmented(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
     """Rows of two kinds: for each chunk of documents one with their ids, numbers of segments (-1: has no tokens) and
     segment codes in order; and one for each code of the chunk with the segment and its times there."""
     schema = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("code", pa.int32()), ("segment", pa.binary()), ("times", pa.int64())])
@@ -133,12 +133,12 @@ def _segmented(docs: DataFrame, a: str, b: str) -> DataFrame:
             plain = pa.RecordBatch.from_arrays([text.filter(pa.array(sound))], names=["text"])
             whole, done = np.full(len(sound), -1), np.flatnonzero(sound)
             ready = 0
-            for i, j, data, offsets in blocks.texts(plain):
+            for i, j, data, offsets in blocks.texts(plain, limit=min(blocks.STEP_BYTES, chunk)):
                 got, counts = segments(data, offsets, cut)
                 found.append(got)
                 held += len(data)
                 whole[done[i:j]] = counts
-                if held >= CHUNK:
+                if held >= chunk:
                     upto = done[j - 1] + 1
                     ids.append(batch.column(0).slice(ready, upto - ready))
                     sizes.append(whole[ready:upto])
@@ -203,7 +203,7 @@ def _scored(aligned: DataFrame) -> DataFrame:
     return joined_groups(links.select("seg", "link"), counts, "link", "segs", total).groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
-def align(docs: DataFrame, a: str, b: str, keep_groups: bool = True) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, keep_groups: bool = True, chunk: int = CHUNK) -> DataFrame:
     """How the tokens of tokenizer.json `a` (of a space and the text) and of sentencepiece model `b` (which adds the space)
     lie over each other, for every whole text.
 
@@ -220,14 +220,15 @@ def align(docs: DataFrame, a: str, b: str, keep_groups: bool = True) -> DataFram
     These are joined to the chunks' codes (a segment has one row for each chunk it occurs in), and each chunk puts its
     documents together. No step holds more than a chunk, and no text but segments is shuffled.
     """
-    found = written(_segmented(docs, a, b))
+    found = written(_segmented(docs, a, b, chunk))
     coded = found.where("code IS NOT NULL").select("chunk", "code", "segment", "times")
     distinct = spread(coded, "segment").groupBy("segment").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("chunks"))
     with scratch(docs.sparkSession) as outlives:
-        aligned = written(_aligned(distinct, a, b))
-        told = outlives(aligned.select("seg", "segment", "chunks", "n_a", "n_b", "groups").join(_scored(aligned), "seg").drop("seg"))
-        total = aligned.agg(F.sum("chunks")).first()[0] or 0
-    placed = joined_groups(coded.drop("times"), told, "segment", "chunks", total).drop("segment", "chunks")
+        with scratch(docs.sparkSession) as told_outlives:
+            aligned = written(_aligned(distinct, a, b))
+            told = told_outlives(aligned.select("seg", "segment", "chunks", "n_a", "n_b", "groups").join(_scored(aligned), "seg").drop("seg"))
+            total = aligned.agg(F.sum("chunks")).first()[0] or 0
+        placed = outlives(joined_groups(coded.drop("times"), told, "segment", "chunks", total).drop("segment", "chunks"))
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names), ("groups_sha256", pa.string()), *([("groups", pa.string())] if keep_groups else [])])
 
@@ -237,18 +238,21 @@ def align(docs: DataFrame, a: str, b: str, keep_groups: bool = True) -> DataFram
         placed = placed.take(pc.sort_indices(placed, [("code", "ascending")]))
         texts = placed.column("groups").to_pylist()
         n_groups = pc.add(pc.count_substring(placed.column("groups"), ";"), 1).to_numpy().astype(np.int64)
-        numbers = [placed.column("n_a").to_numpy(), placed.column("n_b").to_numpy(), n_groups, n_groups, placed.column("n_best").to_numpy(), placed.column("count_sum").to_numpy()]
+        numbers = [placed.column("n_a").to_numpy(), placed.column("n_b").to_numpy(), n_groups, placed.column("n_best").to_numpy(), placed.column("count_sum").to_numpy()]
         total = int(np.maximum(sizes, 0).sum())
         codes = np.frombuffer(pa.decompress(row["codes"][0], 4 * total, "zstd", asbytes=True), np.int32) if total else np.zeros(0, np.int32)
         bounds = np.append(0, np.cumsum(np.maximum(sizes, 0)))
-        sums = [np.append(0, np.cumsum(x.astype(np.int64)[codes] if total else codes.astype(np.int64))) for x in numbers]
+        sums = []
+        for x in numbers:
+            upto = np.append(0, np.cumsum(x.astype(np.int64)[codes] if total else codes.astype(np.int64)))
+            sums.append(pa.array(upto[bounds[1:]] - upto[bounds[:-1]]))
         out, hashes = [], []
         for k, size in enumerate(sizes.tolist()):
             text = ";".join([texts[c] for c in codes[bounds[k] : bounds[k + 1]].tolist()]) if size > 0 else ""
             hashes.append(hashlib.sha256(text.encode()).hexdigest() if size > 0 else "")
             if keep_groups:
                 out.append(text)
-        columns = [pa.array(ids, pa.int64()), *(pa.array(s[bounds[1:]] - s[bounds[:-1]]) for s in sums), pa.array(hashes, pa.string())]
+        columns = [pa.array(ids, pa.int64()), *sums[:3], *sums[2:], pa.array(hashes, pa.string())]
         return pa.Table.from_arrays(columns + ([pa.array(out, pa.string())] if keep_groups else []), schema=schema)
 
     chunks = found.where("code IS NULL").select(F.col("chunk").alias("of"), "docs", "sizes", "codes")

@@ -60,12 +60,11 @@ def odd_texts():
 
 @pytest.mark.parametrize(("chunk", "hot"), [(token_alignment.CHUNK, 1000), (50, 1000), (300, 3)])
 def test_align(spark, monkeypatch, chunk, hot):
-    monkeypatch.setattr(token_alignment, "CHUNK", chunk)
     monkeypatch.setattr(tables, "HOT_PARTS", hot)
     rows = list(enumerate(odd_texts()))
     rows += [rows[20], rows[21], rows[21], (None, "the same the"), (None, "the other the"), (None, None)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, segment string, chunk int").repartition(3)
-    got = token_alignment.align(docs, A, B)
+    got = token_alignment.align(docs, A, B, chunk=chunk)
     assert got.columns == "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256 groups".split()
     assert sorted(map(tuple, got.collect()), key=repr) == plain(rows)
 

@@ -17,15 +17,21 @@ from pyspark.sql import functions as F
 
 from terrane.llm import bloom, jaccard_join, language_id, packing, secret_scan, suffix_dedup
 from terrane.llm.repeats import with_text
-from terrane.llm.tables import load, removed, scratch, shared_folder, written
+from terrane.llm.tables import load, removed, scratch, shared_folder, small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What a stage reads of docs; texts come to Python in small batches."""
+    small_batches(spark)
+    return docs.select(*COLUMNS)
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go, null and empty texts and those without letters among them; lang becomes
     what it says. Null ids and repeated rows are judged like others."""
-    docs = docs.select(*COLUMNS)
+    docs = columns(spark, docs)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict(docs, model, keep=COLUMNS)
     return found.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -39,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     come last in their group; of one id's linked texts the one of least hash stays. Null and empty texts link to nothing:
     one stays of each id. Ties of the least source go by n_chars, lang.
     """
-    docs = docs.select(*COLUMNS)
+    docs = columns(spark, docs)
     row = F.xxhash64("doc_id", "text").alias("row")
     with scratch(spark) as outlives:
         linked = jaccard_join.similar_components(docs.select(row.alias("doc_id"), "text"), 5, 80)
@@ -60,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Byte strings of 200 bytes or more that also start elsewhere are cut wherever they stand, no copy stays; a text that
     is cut goes if nothing but ASCII white space is left of it. Texts without such strings stay as they are, null ones too.
     """
-    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), 200, keep=COLUMNS[1:])
+    found = suffix_dedup.remove_repeats(columns(spark, docs), 200, keep=COLUMNS[1:])
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -70,7 +76,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials that look live, which one owner alone has, are masked; the rest of the text stays, and so does every
     row. Null texts stay null; overlapping credentials are masked as one."""
-    docs = docs.select(*COLUMNS)
+    docs = columns(spark, docs)
     with scratch(spark) as outlives:
         live = secret_scan.scan(docs).select("doc_id", "tag", F.filter("found", lambda c: c["verdict"] == "live").alias("live")).where(F.size("live") > 0)
         live = outlives(live.dropDuplicates(["doc_id", "tag"]))
@@ -93,7 +99,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048: a row for each piece of each document; a null text is the end id alone."""
-    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(columns(spark, docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language ID", identify), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("secret scans", secrets), ("packing", windows)]

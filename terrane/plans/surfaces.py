@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import triangles
+from terrane.operators import curvature_grid, triangles
 from terrane.plans.registry import query, r
 from terrane.plans.views import load
 
@@ -27,3 +27,11 @@ def q_triangulated_gridding(spark, sf):
     known = _points(spark, sf).join(mean, "c_custkey")
     targets = orders.select("o_orderkey", (F.col("o_totalprice") / 50).alias("x"), F.col("o_custkey").cast("double").alias("y"))
     return triangles.interpolate(known, targets).select("o_orderkey", r("val", 4).alias("val"))
+
+
+@query()
+def q_curvature_gridding(spark, sf):
+    """Mean order prices by tens of customers and day of year: days without orders are filled by minimum curvature."""
+    orders = load(spark, sf, "orders")
+    nodes = orders.groupBy(F.floor(F.col("o_custkey") / 10).alias("inl"), F.dayofyear("o_orderdate").alias("crl")).agg((F.avg("o_totalprice") / 1000).alias("val"))
+    return curvature_grid.fill(nodes, 0.25, 1e-7).select("inl", "crl", r("val", 3).alias("val"), "known")

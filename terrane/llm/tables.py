@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that come to a Python worker at a time: Spark's own limit holds ten times the memory at a time.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES, _SPARKS_OWN = 4 << 20, 64 << 20
+BATCH_BYTES, _UNSET = 4 << 20, (64 << 20) + 1
 
 
 def small_batches(spark: SparkSession) -> None:
     """Sets BATCH to BATCH_BYTES for this session, unless it has a limit of its own."""
-    if int(spark.conf.get(BATCH, str(_SPARKS_OWN))) == _SPARKS_OWN:
+    if spark.conf.get(BATCH, str(_UNSET)) == str(_UNSET):
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 

@@ -9,7 +9,7 @@ from terrane.functions import stats
 from terrane.functions.formula import formula, recursive
 from terrane.operators import earth, graph, points, traces
 from terrane.operators import signals as sig
-from terrane.plans import models, positions, signals, stores, surfaces, values, volumes  # noqa: F401  (they register their queries)
+from terrane.plans import cubes, models, positions, signals, stores, surfaces, ties, values, volumes  # noqa: F401  (they register their queries)
 from terrane.plans.registry import QUERIES, SQL, query, r  # noqa: F401
 from terrane.plans.views import G, H, L, T, grid, horizons, load, logs
 from terrane.plans.views import traces as trace_view

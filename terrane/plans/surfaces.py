@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import curvature_grid, triangles
+from terrane.operators import bending, contours, curvature_grid, triangles
 from terrane.plans.registry import query, r
 from terrane.plans.views import load
 
@@ -35,3 +35,20 @@ def q_curvature_gridding(spark, sf):
     orders = load(spark, sf, "orders")
     nodes = orders.groupBy(F.floor(F.col("o_custkey") / 10).alias("inl"), F.dayofyear("o_orderdate").alias("crl")).agg((F.avg("o_totalprice") / 1000).alias("val"))
     return curvature_grid.fill(nodes, 0.25, 1e-7).select("inl", "crl", r("val", 3).alias("val"), "known")
+
+
+@query()
+def q_contour_lines(spark, sf):
+    """Mean prices by supplier and line, where they cross the middle."""
+    li = load(spark, sf, "lineitem")
+    grid = li.groupBy(F.col("l_suppkey").alias("inl"), F.col("l_linenumber").alias("crl")).agg((F.avg("l_extendedprice") / 1000).alias("val"))
+    return contours.contour_lines(grid, 37.5).select("line", "closed", "seq", r("inl").alias("inl"), r("crl").alias("crl"))
+
+
+@query()
+def q_fault_surfaces(spark, sf):
+    """Customers' orders as sticks of a fault for each nation and segment: a stick a customer, its points by date."""
+    customer = load(spark, sf, "customer").select(F.concat_ws(" ", "c_nationkey", "c_mktsegment").alias("fault"), F.col("c_custkey").alias("stick"), "c_acctbal")
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("stick"), F.col("o_orderkey").alias("seq"), F.unix_seconds("o_orderdate").alias("at"), "o_totalprice")
+    points = customer.join(orders, "stick").select("fault", "stick", "seq", F.col("stick").cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"), (F.col("at") / 86400).alias("z"))
+    return bending.fault_surfaces(points)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrane.operators import wavelets
+from terrane.operators import bending, wavelets
 from terrane.plans.registry import query, r
 from terrane.plans.views import T, load
 from terrane.plans.views import traces as trace_view
@@ -61,3 +61,16 @@ _KERNEL = np.exp(-((np.arange(-6, 7) / 3.0) ** 2))
 @query(f"WITH {T} SELECT a.trace, a.z_idx, round(sum(coalesce(b.val, 0) * exp(-power((a.z_idx - b.z_idx) / 3.0, 2))), 6) AS filtered FROM t a JOIN t b ON a.trace = b.trace AND b.z_idx BETWEEN a.z_idx - 6 AND a.z_idx + 6 GROUP BY ALL")
 def q_convolve_blocks(spark, sf):
     return wavelets.convolve_blocks(trace_view(spark, sf).select("trace", "z_idx", "val"), _KERNEL).select("trace", "z_idx", r("filtered").alias("filtered"))
+
+
+@query()
+def q_empirical_modes(spark, sf):
+    modes = bending.empirical_modes(_traces(spark, sf), 3, 0.05, 10)
+    return modes.select("trace", "mode", F.posexplode("samples").alias("z_idx", "v")).select("trace", "mode", "z_idx", r(F.col("v"), 4).alias("val"))
+
+
+@query()
+def q_bending_rays(spark, sf):
+    q = F.max("l_quantity")
+    layers = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("model"), F.col("l_linenumber").alias("layer")).agg(F.sum("l_quantity").alias("thickness"), (1500 + 30.0 * q).alias("vp"))
+    return bending.bending_rays(layers, [0.0, 50.0, 400.0]).select("model", "layer", "offset", r("p", 10).alias("p"), r("twt", 8).alias("twt"), r("angle").alias("angle"))

@@ -111,12 +111,13 @@ def ordering(positions: DataFrame, line: str, place: str, order: list[str]) -> D
 
 
 def closed(pairs: DataFrame) -> DataFrame:
-    """above, below: all that follows from pairs by going on; each round doubles the reach, and sees the names alone."""
-    out, before = written(pairs.distinct()), -1
-    while (n := out.count()) != before:
-        before = n
-        longer = out.select("above", F.col("below").alias("mid")).join(out.select(F.col("above").alias("mid"), "below"), "mid").select("above", "below")
-        out = written(out.union(longer).distinct())
+    """above, below: all that follows from pairs by going on. Each round doubles the reach, and joins only what the round
+    before has found to the rest; names that are null follow nothing."""
+    out = fresh = written(pairs.select("above", "below").where("above IS NOT NULL AND below IS NOT NULL").distinct())
+    while not fresh.isEmpty():
+        on = lambda a, b: a.select("above", F.col("below").alias("mid")).join(b.select(F.col("above").alias("mid"), "below"), "mid").select("above", "below")
+        fresh = written(on(out, fresh).union(on(fresh, out)).distinct().join(out, ["above", "below"], "left_anti"))
+        out = out.union(fresh)
     return out
 
 
@@ -162,11 +163,28 @@ def gained(z: Column, gates: list[float], factors: list[float]) -> Column:
 
 
 def weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """The least value up to which half the weight lies."""
-    each = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(key, value).agg(F.sum(weight).alias("w"))
-    up_to = F.sum("w").over(Window.partitionBy(key).orderBy(value))
-    whole = each.groupBy(key).agg((F.sum("w") / 2).alias("half"))
-    return each.withColumn("up_to", up_to).join(whole, key).where("up_to >= half").groupBy(key).agg(F.min(value).alias("median"))
+    """median: the element n / 2 of a key's n values in order, which weights do not move; balance: the least value up to which
+    half the weight lies. Null values and weights that are null or not above 0 are left out; values that repeat are one
+    row before a key's rows are ordered."""
+    each = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(key, value).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(key).orderBy(value)
+    whole = each.groupBy(key).agg((F.sum("w") / 2).alias("half"), F.floor(F.sum("n") / 2).alias("middle"))
+    ranked = each.withColumn("up_to", F.sum("w").over(order)).withColumn("before", F.sum("n").over(order)).join(whole, key)
+    return ranked.groupBy(key).agg(F.min(F.when(F.col("before") > F.col("middle"), F.col(value))).alias("median"), F.min(F.when(F.col("up_to") >= F.col("half"), F.col(value))).alias("balance"))
+
+
+def find_exact(points: DataFrame, table: DataFrame, keys: list[str], z: str, found: str, tolerance: float = 1e-6) -> DataFrame:
+    """points with `found`: the least of table's rows at the same keys whose z differs by less than tolerance, or null. Null
+    keys or z find nothing.
+
+    Rows meet by cells of twice the tolerance: a point looks in its own and those beside it."""
+    cell = F.floor(F.col(z) / (2 * tolerance))
+    held = table.select(*keys, F.col(z).alias("held z"), cell.alias("cell"), F.col(found).alias("held id"))
+    asked = points.withColumn("point", F.monotonically_increasing_id())
+    asked = written(asked)
+    near = asked.select("point", *keys, F.col(z).alias("z"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).join(held, [*keys, "cell"])
+    best = near.where(F.abs(F.col("z") - F.col("held z")) < tolerance).groupBy("point").agg(F.min("held id").alias(found))
+    return asked.join(best, "point", "left").drop("point")
 
 
 # ---- volumes

@@ -18,6 +18,19 @@ def scaled(kind: str, v: Column, a: float = 0.0, b: float = 1.0) -> Column:
     }[kind]
 
 
+def squeezed(v: Column, low: float | None, high: float | None, keep_low: float | None = None, keep_high: float | None = None) -> Column:
+    """v brought between low and high (either may be missing): cut off there, or, from keep_low down and keep_high up, bent
+    smoothly towards them. What is kept must lie inside; undefined values stay so."""
+    out = v
+    if low is not None:
+        w = None if keep_low is None or keep_low <= low else low - keep_low
+        out = F.greatest(out, F.lit(low)) if w is None else F.when(out < keep_low, low - w * w / (out + w - keep_low)).otherwise(out)
+    if high is not None:
+        w = None if keep_high is None or keep_high >= high else high - keep_high
+        out = F.least(out, F.lit(high)) if w is None else F.when(out > keep_high, high - w * w / (out + w - keep_high)).otherwise(out)
+    return F.when(v.isNotNull(), out)
+
+
 def wrapped(angle: Column, period: float, start: float = 0.0) -> Column:
     """angle brought into [start, start + period)."""
     return F.pmod(angle - start, F.lit(period)) + start

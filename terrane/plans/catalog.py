@@ -9,7 +9,9 @@ from terrane.functions import stats
 from terrane.functions.formula import formula, recursive
 from terrane.operators import earth, graph, points, traces
 from terrane.operators import signals as sig
-from terrane.plans import cubes, models, positions, signals, stores, surfaces, ties, values, volumes  # noqa: F401  (they register their queries)
+from terrane.operators import values
+from terrane.plans import values as _values  # noqa: F401
+from terrane.plans import cubes, models, positions, signals, stores, surfaces, ties, volumes  # noqa: F401  (they register their queries)
 from terrane.plans.registry import QUERIES, SQL, query, r  # noqa: F401
 from terrane.plans.views import G, H, L, T, grid, horizons, load, logs
 from terrane.plans.views import traces as trace_view
@@ -238,11 +240,10 @@ def q_formula_recursive(spark, sf):
     return trace_view(spark, sf).groupBy("trace").agg(series.alias("series")).select("trace", F.posexplode(out).alias("z_idx", "out")).select("trace", "z_idx", r("out").alias("out"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_totalprice < 50000 THEN 50000 - 1e8 / (o_totalprice + 10000 - 50000 + 0) WHEN o_totalprice > 150000 THEN 150000 ELSE o_totalprice END, 2) AS squeezed FROM orders WHERE o_totalprice > 60000 OR o_totalprice > 40001")
+@query("SELECT o_orderkey, round(CASE WHEN o_totalprice < 50000 THEN 40000 - 1e8 / (o_totalprice - 60000) WHEN o_totalprice > 150000 THEN 180000 - 9e8 / (o_totalprice - 120000) ELSE o_totalprice END, 2) AS squeezed, CASE WHEN o_totalprice > 150000 THEN 150000 ELSE o_totalprice END AS clipped FROM orders")
 def q_data_squeezer(spark, sf):
     p = F.col("o_totalprice")
-    low = F.lit(50000) - F.lit(1e8) / (p + 10000 - 50000)
-    return load(spark, sf, "orders").where(p > 40001).select("o_orderkey", r(F.when(p < 50000, low).when(p > 150000, 150000.0).otherwise(p), 2).alias("squeezed"))
+    return load(spark, sf, "orders").select("o_orderkey", r(values.squeezed(p, 40000.0, 180000.0, 50000.0, 150000.0), 2).alias("squeezed"), values.squeezed(p, None, 150000.0).alias("clipped"))
 
 
 @query("SELECT p_partkey, regexp_matches(p_name, '^.*[aeiou].$') AS a, p_brand LIKE 'Brand_1_' AS b FROM part")

@@ -39,15 +39,13 @@ def q_segy_scan(spark, sf):
     )
 
 
-_CURVES = ["click", "view", "purchase"]
-
-
-@query(f"WITH {L} SELECT well, log, dah, val FROM l WHERE log IN ('click', 'view', 'purchase')")
+@query(f"WITH {L} SELECT well, log, dah, val FROM l WHERE val IS NOT NULL")
 def q_las_logs(spark, sf):
-    rows = logs(spark, sf).where(F.col("log").isin(_CURVES))
-    wide = rows.select("well", "dah", *[F.when(F.col("log") == c, F.col("val")).alias(c) for c in _CURVES])
+    rows = logs(spark, sf)
+    curves = [row.log for row in rows.select("log").distinct().orderBy("log").collect()]
+    wide = rows.select("well", "dah", *[F.when(F.col("log") == c, F.col("val")).alias(c) for c in curves])
     path = scratch(spark, "las")
-    text.write_las(wide, path, _CURVES)
+    text.write_las(wide, path, curves)
     return text.read_las(spark, path).select(F.regexp_extract("path", r"well=(\d+)", 1).cast("long").alias("well"), "log", "dah", "val")
 
 

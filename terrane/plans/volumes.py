@@ -161,8 +161,7 @@ def q_sampling_boxes(spark, sf):
 
 @query("WITH RECURSIVE u AS (SELECT n_nationkey AS code, CAST(n_name AS VARCHAR) AS path, 1 AS depth FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, u.path || '.' || n.n_name, u.depth + 1 FROM nation n JOIN u ON (n.n_nationkey - 1) // 3 = u.code AND n.n_nationkey > 0) SELECT CAST(code AS BIGINT) AS code, path, CAST(depth AS INTEGER) AS depth FROM u")
 def q_unit_tree(spark, sf):
-    load(spark, sf, "nation").createOrReplaceTempView("terrane_units")
-    return spark.sql("WITH RECURSIVE u AS (SELECT CAST(n_nationkey AS BIGINT) AS code, n_name AS path, 1 AS depth FROM terrane_units WHERE n_nationkey = 0 UNION ALL SELECT CAST(n.n_nationkey AS BIGINT), concat(u.path, '.', n.n_name), u.depth + 1 FROM terrane_units n JOIN u ON (n.n_nationkey - 1) DIV 3 = u.code AND n.n_nationkey > 0) SELECT code, path, depth FROM u")
+    return spark.sql("WITH RECURSIVE u AS (SELECT CAST(n_nationkey AS BIGINT) AS code, n_name AS path, 1 AS depth FROM {units} WHERE n_nationkey = 0 UNION ALL SELECT CAST(n.n_nationkey AS BIGINT), concat(u.path, '.', n.n_name), u.depth + 1 FROM {units} n JOIN u ON (n.n_nationkey - 1) DIV 3 = u.code AND n.n_nationkey > 0) SELECT code, path, depth FROM u", units=load(spark, sf, "nation"))
 
 
 @query("WITH t AS (SELECT o_custkey, o_orderdate AS d, o_totalprice AS v FROM orders) SELECT o_custkey, count(*) AS n, round(sum((v + p) / 2 * datediff('day', q, d)), 3) AS volume FROM (SELECT *, lag(v) OVER w AS p, lag(d) OVER w AS q FROM t WINDOW w AS (PARTITION BY o_custkey ORDER BY d, v)) GROUP BY 1")

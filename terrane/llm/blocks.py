@@ -117,6 +117,8 @@ def anchored(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
     that the row's windows cover, and of where the anchor lies in it).
     """
     width, n = window - gram + 1, len(values)
+    if n > 1 << _PLACE:
+        raise ValueError(f"a text of over {1 << _PLACE} units is too long to be anchored")
     if n < window:
         return {k: np.zeros(0, np.int64) for k in ("doc", "first", "count", "anchor", "around", "start")}
     span = Spans(values)

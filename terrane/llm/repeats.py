@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from terrane.llm import blocks, bloom
 from terrane.llm.tables import written
 
+#: Bytes of text in one step where units are words, and where they are bytes, each of which takes arrays of its own.
+STEP_WORDS, STEP_BYTES = blocks.STEP_BYTES, 1 << 20
+
 ANCHORS = "doc_id long, tag long, first int, count int, anchor long, around long, settled boolean, sure boolean, meet long"
 
 
@@ -49,7 +52,7 @@ def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column(0), batch.column(1)
-            for i, j, data, offsets in blocks.texts(batch):
+            for i, j, data, offsets in blocks.texts(batch, limit=STEP_WORDS if by_word else STEP_BYTES):
                 got = blocks.anchored(*units(data, offsets, by_word), window, gram)
                 n = len(got["doc"])
                 if not n:
@@ -115,7 +118,7 @@ def window_hashes(docs: DataFrame, kinds: DataFrame, window: int, by_word: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags, spans = batch.column(0), batch.column(1), batch.column(3)
-            for i, j, data, offsets in blocks.texts(batch):
+            for i, j, data, offsets in blocks.texts(batch, limit=STEP_WORDS if by_word else STEP_BYTES):
                 values, bounds = units(data, offsets, by_word)
                 lists = spans.slice(i, j - i)
                 flat = lists.flatten()

@@ -74,8 +74,11 @@ def mux(payload: bytes) -> bytes:
 
 
 def _read_section(packet: bytes) -> tuple[int, int, bytes] | None:
-    """(table, extension, body) of the section that a packet holds; None if its sum is wrong."""
-    start = 5 + packet[4]
+    """(table, extension, body) of the section that a packet holds; None if its sum is wrong or it is not whole."""
+    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
+    start = at + 1 + packet[at] if at < PACKET else PACKET
+    if start + 3 > PACKET:
+        return None
     length = struct.unpack_from(">H", packet, start + 1)[0] & 0x0FFF
     whole = packet[start : start + 3 + length]
     if len(whole) < 12 or section_crc(whole[:-4]) != struct.unpack(">I", whole[-4:])[0]:
@@ -85,41 +88,58 @@ def _read_section(packet: bytes) -> tuple[int, int, bytes] | None:
 
 def demux(media: bytes) -> dict:
     """What a stream holds: payload, packets, tables found sound, elementary packets with their time stamps and places, which
-    of them are random-access points, continuity errors (counters that don't follow), and packets without the sync byte."""
-    found = {"payload": b"", "packets": len(media) // PACKET, "tables_ok": False, "program": None, "stream_type": None, "cc_errors": 0, "sync_errors": 0, "points": []}
+    of them are random-access points, continuity errors (counters that don't follow), and packets without the sync byte.
+
+    Damaged streams give what is sound. The first sound section of each table counts. A packet that is sent twice counts
+    once; one without payload, or that announces a jump, is no continuity error. An elementary packet without a whole header
+    is left out, of one that is cut short what is there is kept, both are `damaged`; one of length 0 goes on to the next. What
+    comes before the first elementary packet, and a last packet that is not whole, are left out."""
+    found = {"payload": b"", "packets": len(media) // PACKET, "tables_ok": False, "program": None, "stream_type": None, "cc_errors": 0, "sync_errors": 0, "points": [], "damaged": 0}
     grid = np.frombuffer(media, np.uint8)[: found["packets"] * PACKET].reshape(-1, PACKET)
     good = grid[:, 0] == SYNC
     found["sync_errors"] = int((~good).sum())
     pid = (grid[:, 1] & 0x1F).astype(np.int32) << 8 | grid[:, 2]
     pid[~good] = 0x1FFF
-    pats = np.flatnonzero(pid == PAT_PID)
-    pat = _read_section(grid[pats[0]].tobytes()) if len(pats) else None
-    if pat is None or pat[0] != 0 or len(pat[2]) < 4:
+
+
+    def section(of: int, sound) -> tuple[int, int, bytes] | None:
+        got = (_read_section(grid[k].tobytes()) for k in np.flatnonzero(pid == of).tolist())
+        return next((s for s in got if s and sound(s)), None)
+
+    pat = section(PAT_PID, lambda s: s[0] == 0 and len(s[2]) >= 4)
+    if pat is None:
         return found
     found["program"], pmt_pid = struct.unpack(">HH", pat[2][:4])
-    pmts = np.flatnonzero(pid == (pmt_pid & 0x1FFF))
-    pmt = _read_section(grid[pmts[0]].tobytes()) if len(pmts) else None
-    if pmt is None or pmt[0] != 2 or pmt[1] != found["program"]:
+    pmt = section(pmt_pid & 0x1FFF, lambda s: s[0] == 2 and s[1] == found["program"] and len(s[2]) >= 9)
+    skip = 4 + (struct.unpack_from(">H", pmt[2], 2)[0] & 0x0FFF) if pmt else 0
+    if pmt is None or skip + 3 > len(pmt[2]):
         return found
-    skip = 4 + (struct.unpack_from(">H", pmt[2], 2)[0] & 0x0FFF)
     found["stream_type"], data_pid = struct.unpack_from(">BH", pmt[2], skip)
     found["tables_ok"] = True
     rows = grid[pid == (data_pid & 0x1FFF)]
-    counters = rows[:, 3] & 15
-    found["cc_errors"] = int((((counters[:-1] + 1) & 15) != counters[1:]).sum())
-    adapted = (rows[:, 3] & 0x20) > 0
+    rows = rows[(rows[:, 3] & 0x10) > 0]
+    again = np.zeros(len(rows), bool)
+    again[1:] = (rows[1:] == rows[:-1]).all(1)
+    rows = rows[~again]
+    counters, adapted = rows[:, 3] & 15, (rows[:, 3] & 0x20) > 0
+    jump = adapted & (rows[:, 4] > 0) & ((rows[:, 5] & 0x80) > 0)
+    found["cc_errors"] = int(((((counters[:-1] + 1) & 15) != counters[1:]) & ~jump[1:]).sum())
     start = np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4)
     opens, keyed = (rows[:, 1] & 0x40) > 0, adapted & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) > 0)
     flat, first = rows.tobytes(), np.flatnonzero(opens).tolist()
     done, parts = 0, []
-    for a, b in zip(first, [*first[1:], len(rows)], strict=True):
+    for a, b in zip(first, [*first[1:], len(rows)][: len(first)], strict=True):
         packet = b"".join([flat[k * PACKET + s : (k + 1) * PACKET] for k, s in zip(range(a, b), start[a:b].tolist(), strict=True)])
-        code, length, _, flags, extra = struct.unpack_from(">IHBBB", packet)
+        if len(packet) < 9 or packet[:3] != b"\0\0\1" or len(packet) < 9 + packet[8]:
+            found["damaged"] += 1
+            continue
+        _, length, _, flags, extra = struct.unpack_from(">IHBBB", packet)
         pts = None
-        if flags & 0x80:
+        if flags & 0x80 and extra >= 5:
             x, y, z = struct.unpack_from(">BHH", packet, 9)
             pts = (x & 0x0E) << 29 | (y & 0xFFFE) << 14 | z >> 1
-        body = packet[9 + extra : 6 + length]
+        found["damaged"] += bool(length and len(packet) < 6 + length)
+        body = packet[9 + extra : 6 + length] if length else packet[9 + extra :]
         found["points"].append((pts, done, bool(keyed[a])))
         parts.append(body)
         done += len(body)
@@ -144,14 +164,15 @@ def store(docs: DataFrame, block: int = 192) -> DataFrame:
 
 READ = (
     "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, program int, stream_type int, packets long, "
-    "tables_ok boolean, cc_errors long, sync_errors long, points array<struct<pts:long,place:long,random_access:boolean>>"
+    "tables_ok boolean, cc_errors long, sync_errors long, points array<struct<pts:long,place:long,random_access:boolean>>, damaged long"
 )
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """The streams of a `media` column, demultiplexed: payload, tables, errors and the points of access."""
+    """The streams of a `media` column, demultiplexed (see demux): payload, tables, errors and the points of access. A null
+    stream is an empty one."""
     point = pa.struct([("pts", pa.int64()), ("place", pa.int64()), ("random_access", pa.bool_())])
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(point)]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(point), pa.int64()]
     schema = pa.schema([(part.split()[0], kind) for part, kind in zip(READ.replace(",pl", "_pl").replace(",ra", "_ra").split(", "), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +183,7 @@ def read(stored: DataFrame) -> DataFrame:
                     media = media.as_py() or b""
                     f = demux(media)
                     points = [dict(zip(("pts", "place", "random_access"), p, strict=True)) for p in f["points"]]
-                    rows.append((f["payload"], len(media), hashlib.sha256(media).hexdigest(), f["program"], f["stream_type"], f["packets"], f["tables_ok"], f["cc_errors"], f["sync_errors"], points))
+                    rows.append((f["payload"], len(media), hashlib.sha256(media).hexdigest(), f["program"], f["stream_type"], f["packets"], f["tables_ok"], f["cc_errors"], f["sync_errors"], points, f["damaged"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[2:], strict=True))], schema=schema)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)

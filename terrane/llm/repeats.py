@@ -40,6 +40,20 @@ def units(data: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndar
     return blocks.Spans(blocks.byte_values(data))(starts, ends), bounds
 
 
+def anchored(data: np.ndarray, offsets: np.ndarray, window: int, gram: int, by_word: bool) -> Iterator[dict[str, np.ndarray]]:
+    """blocks.anchored of a step of texts; of one text longer than a step, window by window of its parts, so that memory is
+    that of a step (a row may then end where a part does: equal windows still meet at their anchor)."""
+    step = STEP_WORDS if by_word else STEP_BYTES
+    if len(offsets) > 2 or len(data) <= 2 * step:
+        yield blocks.anchored(*units(data, offsets, by_word), window, gram)
+        return
+    values = units(data, offsets, True)[0] if by_word else data
+    for a in range(0, len(values) - window + 1, step // 8 if by_word else step):
+        part = values[a : a + (step // 8 if by_word else step) + window - 1]
+        got = blocks.anchored(part if by_word else blocks.byte_values(part), np.array([0, len(part)]), window, gram)
+        yield got | {"first": got["first"] + a}
+
+
 def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
     """docs (doc_id, text) as rows of ANCHORS.
 
@@ -53,20 +67,20 @@ def anchors(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
         for batch in batches:
             ids, tags = batch.column(0), batch.column(1)
             for i, j, data, offsets in blocks.texts(batch, limit=STEP_WORDS if by_word else STEP_BYTES):
-                got = blocks.anchored(*units(data, offsets, by_word), window, gram)
-                n = len(got["doc"])
-                if not n:
-                    continue
-                order = np.lexsort((got["around"], got["anchor"]))
-                same = np.zeros(n + 1, bool)
-                same[1:-1] = (got["anchor"][order][1:] == got["anchor"][order][:-1]) & (got["around"][order][1:] == got["around"][order][:-1])
-                settled, sure = np.empty(n, bool), np.empty(n, bool)
-                settled[order], sure[order] = same[:-1], same[1:] & ~same[:-1]
-                spread = blocks.mix(got["around"].view(np.uint64) ^ (got["doc"] << 32 | got["first"]).astype(np.uint64)).view(np.int64)
-                meet = np.where(settled, spread, got["anchor"])
-                of = pa.array(got["doc"])
-                columns = [ids.slice(i, j - i).take(of), tags.slice(i, j - i).take(of), pa.array(got["first"].astype(np.int32)), pa.array(got["count"].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in (got["anchor"], got["around"], settled, sure, meet))], schema=schema)
+                for got in anchored(data, offsets, window, gram, by_word):
+                    n = len(got["doc"])
+                    if not n:
+                        continue
+                    order = np.lexsort((got["around"], got["anchor"]))
+                    same = np.zeros(n + 1, bool)
+                    same[1:-1] = (got["anchor"][order][1:] == got["anchor"][order][:-1]) & (got["around"][order][1:] == got["around"][order][:-1])
+                    settled, sure = np.empty(n, bool), np.empty(n, bool)
+                    settled[order], sure[order] = same[:-1], same[1:] & ~same[:-1]
+                    spread = blocks.mix(got["around"].view(np.uint64) ^ (got["doc"] << 32 | got["first"]).astype(np.uint64)).view(np.int64)
+                    meet = np.where(settled, spread, got["anchor"])
+                    of = pa.array(got["doc"])
+                    columns = [ids.slice(i, j - i).take(of), tags.slice(i, j - i).take(of), pa.array(got["first"].astype(np.int32)), pa.array(got["count"].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in (got["anchor"], got["around"], settled, sure, meet))], schema=schema)
 
     return tagged(docs.select("doc_id", "text")).mapInArrow(run, ANCHORS)
 

@@ -13,7 +13,7 @@ from terrane.streaming import windows
 _YEARS = (1990, 2002)
 
 
-def _segy_store(spark, sf, samples):
+def _segy_written(spark, sf, samples):
     """The grid as traces along z, as a SEG-Y store that was just written."""
     segy.register(spark)
     cells = grid(spark, sf).groupBy("inl", "crl").agg(F.map_from_entries(F.collect_list(F.struct("z", F.floor("val").cast("double")))).alias("m"))
@@ -21,7 +21,11 @@ def _segy_store(spark, sf, samples):
     traces = cells.select(F.lit(1).alias("trace_nr"), F.col("inl").cast("int"), F.col("crl").cast("int"), F.lit(0).alias("offset"), F.lit(4000).alias("dt"), along.alias("samples"))
     path = scratch(spark, "segy")
     traces.write.format("segy").option("samples", samples).mode("append").save(path)
-    return spark.read.format("segy").option("split", 1 << 20).load(path)
+    return spark, path
+
+
+def _segy_store(spark, sf, samples):
+    return spark.read.format("segy").option("split", 1 << 20).load(_segy_written(spark, sf, samples)[1])
 
 
 @query(f"WITH {G}, n AS (SELECT DISTINCT inl, crl FROM g) SELECT CAST(n.inl AS INTEGER) AS inl, CAST(n.crl AS INTEGER) AS crl, z.z AS z, coalesce(floor(g.val), 0) AS val FROM n CROSS JOIN range({_YEARS[0]}, {_YEARS[1]}) z(z) LEFT JOIN g ON g.inl = n.inl AND g.crl = n.crl AND g.z = z.z")
@@ -30,6 +34,17 @@ def q_segy_samples(spark, sf):
     return rows.select("inl", "crl", (F.col("k") + _YEARS[0]).cast("long").alias("z"), F.col("v").cast("double").alias("val"))
 
 
+@query(f"WITH {G}, n AS (SELECT DISTINCT inl, crl FROM g WHERE inl % 7 = 3 AND crl > 4) SELECT CAST(n.inl AS INTEGER) AS inl, CAST(n.crl AS INTEGER) AS crl, coalesce(sum(floor(g.val)) FILTER (g.z >= {_YEARS[0]} AND g.z < {_YEARS[1]}), 0) AS total FROM n LEFT JOIN g ON g.inl = n.inl AND g.crl = n.crl GROUP BY 1, 2")
+def q_segy_index(spark, sf):
+    """Every seventh inline and the last crosslines of a stored cube, by an index of its positions."""
+    _, path = _segy_written(spark, sf, "ieee")
+    index = scratch(spark, "segy_index")
+    segy.write_index(spark, path, index, traces=4)
+    inls = [row.inl for row in load(spark, sf, "lineitem").where("l_suppkey % 7 = 3").select(F.col("l_suppkey").cast("int").alias("inl")).distinct().collect()]
+    rows = spark.read.format("segy").option("index", index).load(path).where(F.col("inl").isin(inls) & (F.col("crl") > 4))
+    return rows.select("inl", "crl", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query(f"WITH {G}, n AS (SELECT inl, crl FROM g GROUP BY ALL) SELECT count(*) AS traces, CAST(min(inl) AS INTEGER) AS first_inl, CAST(max(inl) AS INTEGER) AS last_inl, count(DISTINCT crl) AS crls, CAST(0 AS BIGINT) AS repeats, 12 AS samples, 4000 AS dt FROM n")
 def q_segy_scan(spark, sf):
     heads = _segy_store(spark, sf, "ieee").groupBy("inl", "crl").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("samples")).alias("samples"), F.max("dt").alias("dt"))

@@ -4,6 +4,9 @@ A row is a trace: trace_nr, inl, crl, offset (ints), dt (sample interval in micr
 split by byte ranges: a task reads the traces that begin in its range, so one huge file is read by many tasks, and a task
 holds one block of traces at a time. Writing, every task writes files of its own, which get their names when the job commits:
 what a lost executor or a second attempt left behind is never read.
+
+write_index makes a table of the positions that each block of traces spans. With option("index", its path) and filters on inl,
+crl, offset or trace_nr, only byte ranges of blocks that can hold such traces are read.
 """
 
 from __future__ import annotations
@@ -15,9 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 SCHEMA = "trace_nr int, inl int, crl int, offset int, dt int, samples array<float>"
@@ -68,11 +85,58 @@ class Range(InputPartition):
     high: int
 
 
+#: What an index has for each block of traces: where it lies, and the least and greatest of each position.
+INDEX = "path string, low long, high long, traces int, " + ", ".join(f"{n}_min int, {n}_max int" for n in TRACE_FIELDS)
+
+
+def blocks_that_may(filters: list[Filter]):
+    """The condition on an index's rows that a block must meet to hold traces that all filters accept; None if any may."""
+    out = None
+    for f in filters:
+        name = f.attribute[0]
+        low, high = pads.field(f"{name}_min"), pads.field(f"{name}_max")
+        if isinstance(f, In):
+            one = None
+            for v in f.value:
+                hit = (low <= v) & (high >= v)
+                one = hit if one is None else one | hit
+        elif isinstance(f, EqualTo):
+            one = (low <= f.value) & (high >= f.value)
+        else:
+            one = high > f.value if isinstance(f, GreaterThan) else high >= f.value if isinstance(f, GreaterThanOrEqual) else low < f.value if isinstance(f, LessThan) else low <= f.value
+        out = one if out is None or one is None else out & one
+    return out
+
+
 class SegyReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, index: str | None = None):
+        self.path, self.split, self.index, self.filters = path, split, index, []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of positions with values choose blocks; Spark still holds every filter against the traces."""
+        kinds = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
+        for f in filters:
+            if self.index and isinstance(f, kinds) and f.attribute[0] in TRACE_FIELDS and (f.value if isinstance(f, In) else f.value is not None):
+                self.filters.append(f)
+            yield f
 
     def partitions(self) -> list[Range]:
+        wanted = blocks_that_may(self.filters)
+        return self.whole() if wanted is None else self.indexed(wanted)
+
+    def indexed(self, wanted) -> list[Range]:
+        """The wanted blocks, those that touch as one range of the size of a split at most."""
+        fs, path = _filesystem(self.index)
+        got = pads.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=False).to_table(["path", "low", "high"], filter=wanted).sort_by([("path", "ascending"), ("low", "ascending")])
+        out: list[Range] = []
+        for path, low, high in zip(*(got[c].to_pylist() for c in ("path", "low", "high"))):
+            if out and out[-1].path == path and out[-1].high == low and high - out[-1].low <= self.split:
+                out[-1].high = high
+            else:
+                out.append(Range(path, low, high))
+        return out or [Range("", 0, 0)]
+
+    def whole(self) -> list[Range]:
         fs, path = _filesystem(self.path)
         at = fs.get_file_info(path)
         files = [at] if at.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(path, recursive=True))
@@ -193,12 +257,61 @@ class Segy(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> SegyReader:
-        return SegyReader(self.options["path"], int(self.options.get("split", 64 << 20)))
+        return SegyReader(self.options["path"], int(self.options.get("split", 64 << 20)), self.options.get("index"))
 
     def writer(self, schema: StructType, overwrite: bool) -> SegyWriter:
         code = {"hexadecimal": 1, "ieee": 5}[self.options.get("samples", "hexadecimal")]
         return SegyWriter(self.options["path"], code, overwrite)
 
 
+class SegyIndexReader(SegyReader):
+    def __init__(self, path: str, split: int, traces: int):
+        super().__init__(path, split)
+        self.traces = traces
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        with _filesystem(self.path)[0].open_input_file(partition.path) as f:
+            header = f.read_at(BINARY_SIZE, TEXT_SIZE)
+            _, ns, code = (int.from_bytes(header[at : at + 2], "big") for at in BINARY_FIELDS.values())
+            size = _record(ns, SAMPLE_TYPES[code]).itemsize
+            at = START + -(-(partition.low - START) // size) * size
+            rows = []
+            for batch in _traces(f, partition.low, partition.high):
+                heads = {n: batch.column(n).to_numpy() for n in TRACE_FIELDS}
+                for k in range(0, batch.num_rows, self.traces):
+                    n = min(self.traces, batch.num_rows - k)
+                    rows.append((partition.path, at, at + n * size, n, *(int(g(heads[c][k : k + n])) for c in TRACE_FIELDS for g in (np.min, np.max))))
+                    at += n * size
+            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * (1 + 2 * len(TRACE_FIELDS))]
+            names = [part.split()[0] for part in INDEX.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+
+
+class SegyIndex(Segy):
+    """Options: path; split; traces (of a block, 64)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "segy_index"
+
+    def schema(self) -> str:
+        return INDEX
+
+    def reader(self, schema: StructType) -> SegyIndexReader:
+        return SegyIndexReader(self.options["path"], int(self.options.get("split", 64 << 20)), int(self.options.get("traces", 64)))
+
+
 def register(spark: SparkSession) -> None:
+    """Both sources, and filters that reach them."""
     spark.dataSource.register(Segy)
+    spark.dataSource.register(SegyIndex)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def write_index(spark: SparkSession, path: str, index: str, traces: int = 64, split: int = 64 << 20) -> None:
+    """The index of the files in path, as a Parquet table: a row for each block of `traces` traces, in their order in the file.
+    It is made in one pass, task by task; files that come later are not in it."""
+    register(spark)
+    spark.read.format("segy_index").option("traces", traces).option("split", split).load(path).write.parquet(index)

@@ -74,3 +74,47 @@ def test_live_statistics_over_several_batches(spark, tmp_path):
         want = np.array([v for i, v in enumerate(x) if i % 3 == k and i % 7])
         assert got[k]["n"] == len(want) and abs(got[k]["variance"] - want.var(ddof=1)) < 1e-8 and got[k]["low"] == want.min()
     assert got[9]["n"] == 0 and got[9]["average"] is None
+
+
+def test_segy_index_reads_what_is_asked_for(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    segy.register(spark)
+    path, index = str(tmp_path / "cube"), str(tmp_path / "index")
+    rows = [(0, i, j, 0, 4000, [float(i), float(j)] * 20) for i in range(60) for j in range(50)]
+    spark.createDataFrame(rows, segy.SCHEMA).repartitionByRange(4, "inl").sortWithinPartitions("inl", "crl").write.format("segy").mode("append").save(path)
+    segy.write_index(spark, path, index, traces=10, split=30_000)
+    assert spark.read.parquet(index).selectExpr("sum(traces)").first()[0] == 3000
+    read = lambda: spark.read.format("segy").option("index", index).load(path)
+    want = lambda keep: sorted((i, j) for _, i, j, *_ in rows if keep(i, j))
+    for sql, keep in (("inl = 7", lambda i, j: i == 7), ("inl in (3, 40) and crl > 44", lambda i, j: i in (3, 40) and j > 44), ("inl > 57 or crl = 2", lambda i, j: i > 57 or j == 2), ("inl = 99", lambda i, j: False), ("offset = 0", lambda i, j: True), ("inl is null", lambda i, j: False), ("size(samples) = 40 and inl <= 1", lambda i, j: i <= 1)):
+        got = read().where(sql).select("inl", "crl", "samples").collect()
+        assert sorted((r.inl, r.crl) for r in got) == want(keep), sql
+        assert all(r.samples == [float(r.inl), float(r.crl)] * 20 for r in got)
+    size = lambda *filters: sum(r.high - r.low for r in reader(filters).partitions())
+
+    def reader(filters):
+        made = segy.SegyReader(path, 1 << 20, index)
+        assert list(made.pushFilters(list(filters))) == list(filters)
+        return made
+
+    trace = 240 + 160
+    assert size() >= 3000 * trace
+    # whole blocks of ten, which begin where splits do
+    assert 50 * trace <= size(EqualTo(("inl",), 7)) <= 70 * trace
+    assert 10 * trace <= size(In(("inl",), (3, 40)), GreaterThan(("crl",), 44)) <= 50 * trace
+    assert size(EqualTo(("inl",), 99)) == 0 and size(EqualTo(("samples",), 3)) >= 3000 * trace
+
+
+def test_segy_index_prunes_a_query(spark, tmp_path):
+    """Files that the index does not need are not opened."""
+    segy.register(spark)
+    path, index = tmp_path / "cube", str(tmp_path / "index")
+    rows = [(0, i, j, 0, 4000, [1.0]) for i in range(8) for j in range(5)]
+    spark.createDataFrame(rows, segy.SCHEMA).repartitionByRange(8, "inl").write.format("segy").mode("append").save(str(path))
+    segy.write_index(spark, str(path), index)
+    kept = spark.read.parquet(index).where("inl_min <= 3 and inl_max >= 3").first().path
+    for f in path.iterdir():
+        if f.is_file() and str(f) != kept:
+            f.write_bytes(b"broken")
+    assert spark.read.format("segy").option("index", index).load(str(path)).where("inl = 3").count() == 5

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import bricks, tracking
 from terrane.plans.registry import query, r
-from terrane.plans.views import load
+from terrane.plans.views import T, load
 
 
 def volume(spark, sf):
@@ -35,7 +35,9 @@ def q_eigen_coherency(spark, sf):
     return _samples(bricks.eigen_coherency(volume(spark, sf), 1, 3, 0), "coherency")
 
 
-@query()
+@query(f"""WITH {T}, v AS (SELECT trace // 25 AS inl, trace % 25 AS crl, z_idx AS z, val FROM t),
+o AS (SELECT i, j, k, CASE WHEN i = 0 AND j = 0 THEN CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END ELSE 0.5 - 0.5 * cos(pi() * greatest(0, least(1, (1 - abs(k) / sqrt(i * i + j * j)) / 0.2))) END AS w FROM range(-1, 2) a(i), range(-1, 2) b(j), range(-1, 2) c(k))
+SELECT v.inl, v.crl, v.z, round(sum(w * coalesce(n.val, 0)) / (SELECT sum(w) FROM o), 6) AS filtered FROM v CROSS JOIN o JOIN v n ON n.inl = v.inl + i AND n.crl = v.crl + j AND n.z = v.z + k GROUP BY 1, 2, 3""")
 def q_dip_filter(spark, sf):
     return _samples(bricks.dip_filter(volume(spark, sf), 3, None, 1.0, 0.2), "filtered")
 

@@ -40,7 +40,12 @@ def q_well_tie(spark, sf):
     return wavelets.tie(rows.withColumnRenamed("trace", "well"), (1 - 2 * t * t) * np.exp(-t * t), 8, [0.9, 1.0, 1.1])
 
 
-@query()
+_SPECTRA = f"""{T}, n AS (SELECT trace, count(*) AS n FROM t GROUP BY 1), k AS (SELECT trace, n, unnest(range(0, n // 2 + 1)) AS k FROM n),
+s AS (SELECT k.trace, k.n, k.k, k.k / CAST(k.n AS DOUBLE) AS f, CASE WHEN k.k = 0 OR 2 * k.k = k.n THEN 1 ELSE 2 END AS sides, sum(coalesce(val, 0) * cos(2 * pi() * k.k * z_idx / k.n)) AS re, -sum(coalesce(val, 0) * sin(2 * pi() * k.k * z_idx / k.n)) AS im FROM k JOIN t ON k.trace = t.trace GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SPECTRA}, w AS (SELECT *, (0.5 - 0.5 * cos(pi() * greatest(0, least(1, (f - 0.02) / 0.04)))) * (0.5 - 0.5 * cos(pi() * greatest(0, least(1, (0.3 - f) / 0.1)))) AS weight FROM s)
+SELECT t.trace, t.z_idx, round(sum(weight * sides * (re * cos(2 * pi() * k * z_idx / n) - im * sin(2 * pi() * k * z_idx / n))) / any_value(n), 6) AS filtered FROM w JOIN t ON w.trace = t.trace GROUP BY 1, 2""")
 def q_fft_filter(spark, sf):
     return _listed(wavelets.fft_filter(_traces(spark, sf), [0.02, 0.06, 0.2, 0.3]), "filtered")
 
@@ -50,7 +55,8 @@ def q_butterworth(spark, sf):
     return _listed(wavelets.butterworth(_traces(spark, sf), 4, 0.12), "filtered")
 
 
-@query()
+@query(f"""WITH {_SPECTRA}, z AS (SELECT trace, CAST(unnest(range(0, 4 * n)) AS INTEGER) AS z_idx FROM n)
+SELECT z.trace, z.z_idx, round(sum(sides * (re * cos(pi() * k * z_idx / (2 * n)) - im * sin(pi() * k * z_idx / (2 * n)))) / any_value(n), 6) AS samples FROM s JOIN z ON s.trace = z.trace GROUP BY 1, 2""")
 def q_fourier_interpolation(spark, sf):
     return _listed(wavelets.interpolate_spectrum(_traces(spark, sf), 4), "samples")
 

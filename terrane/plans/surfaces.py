@@ -39,16 +39,19 @@ def q_curvature_gridding(spark, sf):
 
 @query()
 def q_contour_lines(spark, sf):
-    """Mean prices by supplier and line, where they cross the middle."""
+    """Mean prices by supplier and line, where they cross the mean of all."""
     li = load(spark, sf, "lineitem")
     grid = li.groupBy(F.col("l_suppkey").alias("inl"), F.col("l_linenumber").alias("crl")).agg((F.avg("l_extendedprice") / 1000).alias("val"))
-    return contours.contour_lines(grid, 37.5).select("line", "closed", "seq", r("inl").alias("inl"), r("crl").alias("crl"))
+    level = li.agg(F.avg("l_extendedprice") / 1000).first()[0]
+    if level is None:
+        level = 0.0
+    return contours.contour_lines(grid, level).select("line", "closed", "seq", r("inl").alias("inl"), r("crl").alias("crl"))
 
 
 @query()
 def q_fault_surfaces(spark, sf):
     """Customers' orders as sticks of a fault for each nation and segment: a stick a customer, its points by date."""
     customer = load(spark, sf, "customer").select(F.concat_ws(" ", "c_nationkey", "c_mktsegment").alias("fault"), F.col("c_custkey").alias("stick"), "c_acctbal")
-    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("stick"), F.col("o_orderkey").alias("seq"), F.unix_seconds("o_orderdate").alias("at"), "o_totalprice")
-    points = customer.join(orders, "stick").select("fault", "stick", "seq", F.col("stick").cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"), (F.col("at") / 86400).alias("z"))
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("stick"), F.col("o_orderkey").alias("seq"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("at"), "o_totalprice")
+    points = customer.join(orders, "stick").select("fault", "stick", "seq", F.col("stick").cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"), F.col("at").cast("double").alias("z"))
     return bending.fault_surfaces(points)

@@ -94,5 +94,11 @@ def test_query_over_its_whole_table(spark):
 
     sf = "/root/testdata/sf0.001"
     points = {(r.x, r.y) for r in spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y")).collect()}
-    got = catalog.QUERIES["delaunay_triangles"](spark, sf).collect()
-    assert sorted(tuple(r[c] for c in triangles._CORNERS) for r in got) == sorted(plain(list(points)))
+    t = np.array(sorted(tuple(r[c] for c in triangles._CORNERS) for r in catalog.QUERIES["delaunay_triangles"](spark, sf).collect()))
+    assert {tuple(r) for r in t.tolist()} == local(list(points))
+    # no point lies in a circle, and as many triangles as points and hull allow: so these are all
+    x, y, radius = triangles.circle(t)
+    at = np.array(sorted(points))
+    assert (np.hypot(at[:, :1] - x, at[:, 1:] - y) > radius * (1 - 1e-9)).all()
+    edges = {frozenset((a, b)) for r in t.tolist() for a, b in ((tuple(r[:2]), tuple(r[2:4])), (tuple(r[2:4]), tuple(r[4:])), (tuple(r[4:]), tuple(r[:2])))}
+    assert len(points) - len(edges) + len(t) == 1

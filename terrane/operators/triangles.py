@@ -172,12 +172,12 @@ def layout(points: DataFrame, tile: int = TILE) -> Layout | None:
         return Layout([], [[]], (x0, y0), (x1, y1), n)
     xs = sorted(set(points.agg(F.percentile_approx("x", cuts, 100 * strips)).first()[0]))
     one = Layout(xs, [[] for _ in range(len(xs) + 1)], (x0, y0), (x1, y1), n)
-    rows = _tiled(points, one).groupBy("tile").agg(F.percentile_approx("y", cuts, 100 * strips).alias("cuts")).collect()
+    rows = tiled(points, one).groupBy("tile").agg(F.percentile_approx("y", cuts, 100 * strips).alias("cuts")).collect()
     ys = {r.tile: r.cuts for r in rows}
     return Layout(xs, [ys.get(s, []) for s in range(len(xs) + 1)], (x0, y0), (x1, y1), n)
 
 
-def _tiled(points: DataFrame, tiles: Layout, halo: bool = False) -> DataFrame:
+def tiled(points: DataFrame, tiles: Layout, halo: bool = False) -> DataFrame:
     """points (x, y) with their tile; with halo instead with other tiles that they lie near."""
     others = [c for c in points.columns if c not in ("x", "y")]
     schema = pa.schema([("x", pa.float64()), ("y", pa.float64()), ("tile", pa.int64())])
@@ -294,8 +294,8 @@ def delaunay(points: DataFrame, tile: int = TILE) -> DataFrame:
         frame = [(ax, ay), (bx, by), (far.x, far.y)] if orient((ax, ay), (bx, by), (far.x, far.y)) else []
     if not frame:
         return rows.sparkSession.createDataFrame([], ", ".join(f"{c} double" for c in _CORNERS))
-    own = written(_tiled(rows, tiles))
-    known, todo, done = written(_tiled(rows, tiles, halo=True)), own.select("tile").distinct(), None
+    own = written(tiled(rows, tiles))
+    known, todo, done = written(tiled(rows, tiles, halo=True)), own.select("tile").distinct(), None
     while True:
         work = own.withColumn("own", F.lit(True)).unionByName(known.withColumn("own", F.lit(False))).join(todo, "tile", "left_semi")
         state = written(work.groupBy("tile").applyInArrow(lambda table: _local(table, tiles, frame), _STATE))
@@ -358,5 +358,5 @@ def interpolate(points: DataFrame, targets: DataFrame, tile: int = TILE) -> Data
         return pa.Table.from_arrays([asked["target"].combine_chunks().filter(pa.array(seen)), pa.array(value[seen])], names=["found", "val"])
 
     spread = corners.select(*names).mapInArrow(cells, f"{', '.join(f'{c} double' for c in names)}, tile long")
-    found = spread.groupBy("tile").cogroup(_tiled(placed, tiles).withColumnRenamed("tile", "of").groupBy("of")).applyInArrow(inside, "found long, val double")
+    found = spread.groupBy("tile").cogroup(tiled(placed, tiles).withColumnRenamed("tile", "of").groupBy("of")).applyInArrow(inside, "found long, val double")
     return rows.join(found, rows.target == found.found, "left").drop("target", "found")

@@ -40,8 +40,8 @@ def q_segy_index(spark, sf):
     _, path = _segy_written(spark, sf, "ieee")
     index = scratch(spark, "segy_index")
     segy.write_index(spark, path, index, traces=4)
-    inls = [row.inl for row in load(spark, sf, "lineitem").where("l_suppkey % 7 = 3").select(F.col("l_suppkey").cast("int").alias("inl")).distinct().collect()]
-    rows = spark.read.format("segy").option("index", index).load(path).where(F.col("inl").isin(inls) & (F.col("crl") > 4))
+    inls = load(spark, sf, "lineitem").where("l_suppkey % 7 = 3").select(F.col("l_suppkey").alias("inl"))
+    rows = segy.read_lines(spark, path, index, inls, F.col("crl_max") > 4).where("crl > 4")
     return rows.select("inl", "crl", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 

@@ -6,7 +6,8 @@ holds one block of traces at a time. Writing, every task writes files of its own
 what a lost executor or a second attempt left behind is never read.
 
 write_index makes a table of the positions that each block of traces spans. With option("index", its path) and filters on inl,
-crl, offset or trace_nr, only byte ranges of blocks that can hold such traces are read.
+crl, offset or trace_nr, only byte ranges of blocks that can hold such traces are read. read_lines takes the inlines wanted as a
+table instead, however many: the index meets it in a join.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -85,8 +87,8 @@ class Range(InputPartition):
     high: int
 
 
-#: What an index has for each block of traces: where it lies, and the least and greatest of each position.
-INDEX = "path string, low long, high long, traces int, " + ", ".join(f"{n}_min int, {n}_max int" for n in TRACE_FIELDS)
+#: What an index has for each block of traces: where it lies, the least and greatest of each position, and its inlines.
+INDEX = "path string, low long, high long, traces int, " + ", ".join(f"{n}_min int, {n}_max int" for n in TRACE_FIELDS) + ", inls array<int>"
 
 
 def blocks_that_may(filters: list[Filter]):
@@ -277,16 +279,22 @@ class SegyIndexReader(SegyReader):
             _, ns, code = (int.from_bytes(header[at : at + 2], "big") for at in BINARY_FIELDS.values())
             size = _record(ns, SAMPLE_TYPES[code]).itemsize
             at = START + -(-(partition.low - START) // size) * size
-            rows = []
+            names = [part.split()[0] for part in INDEX.split(", ")]
             for batch in _traces(f, partition.low, partition.high):
                 heads = {n: batch.column(n).to_numpy() for n in TRACE_FIELDS}
-                for k in range(0, batch.num_rows, self.traces):
-                    n = min(self.traces, batch.num_rows - k)
-                    rows.append((partition.path, at, at + n * size, n, *(int(g(heads[c][k : k + n])) for c in TRACE_FIELDS for g in (np.min, np.max))))
-                    at += n * size
-            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * (1 + 2 * len(TRACE_FIELDS))]
-            names = [part.split()[0] for part in INDEX.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+                first = np.arange(0, batch.num_rows, self.traces)
+                traces = np.diff(np.append(first, batch.num_rows))
+                if not len(first):
+                    continue
+                low, block = at + first * size, np.repeat(np.arange(len(first)), traces)
+                order = np.lexsort((heads["inl"], block))
+                inl, block = heads["inl"][order], block[order]
+                new = np.append(True, (np.diff(inl) != 0) | (np.diff(block) != 0))
+                ends = np.append(0, np.cumsum(np.bincount(block[new], minlength=len(first))))
+                spans = [pa.array(g.reduceat(heads[c], first), pa.int32()) for c in TRACE_FIELDS for g in (np.minimum, np.maximum)]
+                inls = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inl[new], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(first)), pa.array(low), pa.array(low + traces * size), pa.array(traces, pa.int32()), *spans, inls], names=names)
+                at += batch.num_rows * size
 
 
 class SegyIndex(Segy):
@@ -315,3 +323,46 @@ def write_index(spark: SparkSession, path: str, index: str, traces: int = 64, sp
     It is made in one pass, task by task; files that come later are not in it."""
     register(spark)
     spark.read.format("segy_index").option("traces", traces).option("split", split).load(path).write.parquet(index)
+
+
+def read_lines(spark: SparkSession, path: str, index: str, wanted: DataFrame, blocks: Column | None = None, split: int = 64 << 20) -> DataFrame:
+    """The traces of path whose inl is among those of wanted (inl), from the blocks that the index knows to hold one;
+    blocks: a condition on the index's rows that they must meet too. Blocks that touch are read as one; a task reads blocks
+    of some `split` bytes of one file."""
+    lines = wanted.select(F.col("inl").cast("int").alias("inl")).distinct()
+    held = spark.read.parquet(index)
+    held = held if blocks is None else held.where(blocks)
+    ranges = held.select("path", "low", "high", F.explode("inls").alias("inl")).join(lines, "inl", "left_semi").select("path", "low", "high").distinct()
+    ranges = ranges.repartition("path", F.floor(F.col("low") / split)).sortWithinPartitions("path", "low")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[Range]:
+        last = None
+        for batch in batches:
+            for where, low, high in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if last and last.path == where and last.high == low:
+                    last.high = high
+                    continue
+                if last:
+                    yield last
+                last = Range(where, low, high)
+        if last:
+            yield last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, f, where, few, held = _filesystem(path)[0], None, None, [], 0
+        for r in joined(batches):
+            if r.path != where:
+                if f:
+                    f.close()
+                f, where = fs.open_input_file(r.path), r.path
+            for batch in _traces(f, r.low, r.high):
+                few.append(batch)
+                held += batch.nbytes
+                if held >= BLOCK or len(few) == 1000:
+                    yield from pa.Table.from_batches(few).combine_chunks().to_batches()
+                    few, held = [], 0
+        if f:
+            f.close()
+        yield from pa.Table.from_batches(few, _ARROW).combine_chunks().to_batches()
+
+    return ranges.mapInArrow(run, SCHEMA).join(lines, "inl", "left_semi")

@@ -118,3 +118,22 @@ def test_segy_index_prunes_a_query(spark, tmp_path):
         if f.is_file() and str(f) != kept:
             f.write_bytes(b"broken")
     assert spark.read.format("segy").option("index", index).load(str(path)).where("inl = 3").count() == 5
+
+
+def test_segy_lines_of_a_table(spark, tmp_path):
+    """The lines wanted come as a table: their blocks are read, exactly, and files without them are not opened."""
+    segy.register(spark)
+    path, index = tmp_path / "cube", str(tmp_path / "index")
+    rows = [(0, i, j, 0, 4000, [float(i), float(j)]) for i in range(40) for j in range(9)]
+    spark.createDataFrame(rows, segy.SCHEMA).repartitionByRange(4, "inl").sortWithinPartitions("inl", "crl").write.format("segy").mode("append").save(str(path))
+    segy.write_index(spark, str(path), index, traces=4, split=3600 + 30 * 248)
+    held = spark.read.parquet(index)
+    assert held.selectExpr("sum(traces)").first()[0] == 360 and {r.traces == len(r.inls) or len(set(r.inls)) == len(r.inls) for r in held.collect()} == {True}
+    wanted = spark.createDataFrame([(i,) for i in (3, 5, 3, 38, 99, None)], "inl long")
+    needed = {r.path for r in held.where("exists(inls, x -> x in (3, 5, 38))").collect()}
+    for f in path.iterdir():
+        if f.is_file() and str(f) not in needed:
+            f.write_bytes(b"broken")
+    got = segy.read_lines(spark, str(path), index, wanted, F.col("crl_max") > 4, split=1000).where("crl > 4").collect()
+    assert sorted((r.inl, r.crl, *r.samples) for r in got) == [(i, j, float(i), float(j)) for i in (3, 5, 38) for j in range(5, 9)]
+    assert segy.read_lines(spark, str(path), index, wanted.limit(0)).count() == 0

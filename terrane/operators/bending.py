@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +15,36 @@ def ray_parameters(thickness: np.ndarray, velocity: np.ndarray, offset: np.ndarr
     """The ray parameter p of each row's ray down through its layers (0 thick: none) and up again over the offset: the root
     of sum(2 h p v / sqrt(1 - p^2 v^2)) = offset, which rises with p.
 
-    With p = sin(a) / v for the fastest layer and t = tan(a), it is bracketed by the offset over that layer alone and halved
-    until neighbouring numbers are reached.
+    With p = sin(a) / v for the fastest layer and t = tan(a), it is bracketed by the offset over that layer alone. What t
+    reaches bends down as t grows, so that Newton's steps rise to the root from below; the bracket is halved where a step
+    does not bring it to neighbouring numbers.
     """
     real = thickness > 0
     fast = np.where(real, velocity, 0).max(1)
     slow = np.where(real, velocity, 1.0) / np.where(fast > 0, fast, 1.0)[:, None]
 
-    def reach(t: np.ndarray) -> np.ndarray:
-        # sin(a) of a layer is slow * t / sqrt(1 + t^2); its tangent without cancellation for steep rays
-        return (2 * thickness * slow * t[:, None] / np.sqrt(1 + t[:, None] ** 2 * (1 - slow) * (1 + slow))).sum(1)
-
+    # sin(a) of a layer is slow * t / sqrt(1 + t^2); its tangent without cancellation for steep rays
     depth = np.where(real & (slow == 1), thickness, 0).sum(1)
     low, high = np.zeros(len(offset)), np.where(depth > 0, offset / (2 * np.where(depth > 0, depth, 1.0)) * (1 + 1e-12), 0.0)
-    for _ in range(200):
-        middle = (low + high) / 2
-        more = reach(middle) < offset
-        low, high = np.where(more, middle, low), np.where(more, high, middle)
-        if np.all((high - low) <= 4e-16 * high):
+    out, left = high.copy(), np.arange(len(offset))
+    t = np.minimum(high, offset / np.maximum((2 * thickness * slow).sum(1), 1e-300))
+    for k in range(200):
+        root = np.sqrt(1 + t[:, None] ** 2 * (1 - slow) * (1 + slow))
+        parts = 2 * thickness * slow / root
+        off = offset - parts.sum(1) * t
+        low, high = np.where(off > 0, t, low), np.where(off > 0, high, np.minimum(t, high))
+        step = t + off / np.maximum((parts / (root * root)).sum(1), 1e-300)
+        # every third trial halves the bracket, as steps may stand still by rounding
+        step = np.where((step > low) & (step < high) & (k % 3 < 2), step, (low + high) / 2)
+        done = (high - low <= 4e-16 * high) | (np.abs(off) <= 1e-15 * offset)
+        out[left[done]] = np.where(np.abs(off) <= 1e-15 * offset, t, high)[done]
+        if done.all():
             break
+        rest = ~done
+        left, t, low, high, offset, slow, thickness = left[rest], step[rest], low[rest], high[rest], offset[rest], slow[rest], thickness[rest]
+    else:
+        out[left] = high
+    high = out
     return high / np.sqrt(1 + high * high) / np.where(fast > 0, fast, np.nan)
 
 
@@ -41,31 +53,68 @@ def bending_rays(layers: DataFrame, offsets: list[float]) -> DataFrame:
     bottom of each layer and comes up at each offset (0 or more), for layers (model, layer: order from the top, thickness, vp).
 
     Snell's law holds at every boundary: sin(angle) / vp is p in all layers of a ray. Layers of null or no thickness, or
-    without a velocity, bend nothing, and have no rays of their own; negative velocities count as none. A model's layers
-    above each one travel as a list (models have few).
+    without a velocity, bend nothing, and have no rays of their own; negative velocities count as none. A task holds one
+    batch of layers, in order, and the model that it ends in; their rays are traced some at a time.
     """
-    upto = Window.partitionBy("model").orderBy("layer").rowsBetween(Window.unboundedPreceding, 0)
     real = layers.select("model", "layer", F.col("thickness").cast("double").alias("h"), F.col("vp").cast("double").alias("v")).where("h > 0 AND v > 0")
-    rows = real.withColumn("hs", F.collect_list("h").over(upto)).withColumn("vs", F.collect_list("v").over(upto))
-    rows = rows.select("model", "layer", F.explode(F.array(*[F.lit(float(x)) for x in offsets])).alias("offset"), "hs", "vs")
+    n = int(layers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = real.repartition(n, "model").sortWithinPartitions("model", "layer")
+    offset = np.array(offsets, float)
+
+    def traced(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, v = (table.column(c).to_numpy() for c in ("h", "v"))
+        first = np.repeat(starts, np.diff(np.append(starts, len(h))))
+        low = 0
+        while low < len(h) and len(offset):
+            # as many layers as make _RAYS numbers with all that lies above them
+            sizes = np.arange(low, min(len(h), low + _RAYS)) - first[low : low + _RAYS] + 1
+            fit = np.maximum.accumulate(sizes) * np.arange(1, len(sizes) + 1) * len(offset) <= _RAYS
+            high = low + max(1, int(fit.sum()))
+            sizes = sizes[: high - low]
+            fill = np.arange(sizes.max()) < sizes[:, None]
+            at = np.where(fill, first[low:high, None] + np.arange(sizes.max()), 0)
+            hs, vs = (np.repeat(np.where(fill, c[at], other), len(offset), 0) for c, other in ((h, 0.0), (v, 1.0)))
+            x, last = np.tile(offset, high - low), np.repeat(sizes - 1, len(offset))
+            p = ray_parameters(hs, vs, x)
+            sine = p[:, None] * vs
+            twt = (2 * hs / (vs * np.sqrt(np.maximum((1 - sine) * (1 + sine), 1e-300)))).sum(1)
+            angle = np.arcsin(np.minimum(sine[np.arange(len(p)), last], 1.0))
+            own = table.take(pa.array(np.repeat(np.arange(low, high), len(offset))))
+            names = [own.column(c).combine_chunks() for c in ("model", "layer")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(x), pa.array(p), pa.array(twt), pa.array(angle)], names=["model", "layer", "offset", "p", "twt", "angle"])
+            low = high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            n = batch.num_rows
-            sizes = batch.column(3).value_lengths().to_numpy() if n else np.zeros(0, np.int64)
-            h, v = np.zeros((n, int(sizes.max(initial=1)))), np.ones((n, int(sizes.max(initial=1))))
-            fill = np.arange(h.shape[1]) < sizes[:, None]
-            h[fill], v[fill] = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
-            p = ray_parameters(h, v, batch.column(2).to_numpy())
-            sine = p[:, None] * v
-            twt = (2 * h / (v * np.sqrt(np.maximum((1 - sine) * (1 + sine), 1e-300)))).sum(1)
-            angle = np.arcsin(np.minimum(sine[np.arange(n), sizes - 1], 1.0)) if n else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p), pa.array(twt), pa.array(angle)], names=["model", "layer", "offset", "p", "twt", "angle"])
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            starts = _starts(table["model"])
+            if not len(starts):
+                continue
+            # the last model may go on
+            rest = table.slice(starts[-1])
+            yield from traced(table.slice(0, starts[-1]), starts[:-1])
+        if rest is not None:
+            yield from traced(rest.combine_chunks(), np.zeros(1, np.int64))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.mapInArrow(run, f"model {kinds['model']}, layer {kinds['layer']}, offset double, p double, twt double, angle double")
 
 
+#: Numbers of the layers above rays that are traced at a time.
+_RAYS = 1 << 18
+
+
+def _starts(keys: pa.ChunkedArray) -> np.ndarray:
+    """Where runs of equal keys, nulls among them, begin."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    a, b = keys.slice(0, len(keys) - 1), keys.slice(1)
+    differ = pa.compute.coalesce(pa.compute.not_equal(a, b), pa.compute.not_equal(a.is_null(), b.is_null()))
+    return np.append(0, np.flatnonzero(differ.to_numpy()) + 1)
+
+
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The natural cubic spline through (x, y) at other places; x rises; a line through two points."""
     h, n = np.diff(x), len(x)

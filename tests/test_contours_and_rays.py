@@ -167,3 +167,44 @@ def test_fault_surfaces(spark):
     whole = np.linalg.norm(np.cross([100.0, 20.0, 0.0], [3.0, -2.0, 50.0]))
     full = [r for r, t in zip(got, corners) if 4 not in {s for s, _ in t}]
     assert abs(sum(map(area, full)) - 6 * 6 * whole) < 1e-6 * whole
+
+
+def test_ray_parameters_take_few_trials(monkeypatch):
+    """The root by bisection of all, and that it takes a few trials, not one for each bit."""
+    rng = np.random.default_rng(5)
+    h, v = rng.integers(0, 51, (400, 7)) * 1.0, 1500 + 30.0 * rng.integers(1, 51, (400, 7))
+    h[:, 0] += 1
+    offset = rng.choice([0.0, 50.0, 400.0, 5000.0], 400)
+    trials, whole = [], np.sqrt
+    monkeypatch.setattr(bending.np, "sqrt", lambda x: trials.append(np.size(x)) or whole(x))
+    p = bending.ray_parameters(h, v, offset)
+    monkeypatch.undo()
+    assert sum(trials) <= 15 * h.size
+    fast = np.where(h > 0, v, 0).max(1)
+    low, high = np.zeros(400), 1 / fast
+    for _ in range(100):
+        m = (low + high) / 2
+        s = m[:, None] * v
+        less = (2 * h * s / np.sqrt(np.maximum((1 - s) * (1 + s), 1e-300))).sum(1) < offset
+        low, high = np.where(less, m, low), np.where(less, high, m)
+    assert np.allclose(p, (low + high) / 2, rtol=1e-12, atol=1e-20)
+
+
+def test_bending_rays_across_batches(spark, monkeypatch):
+    """Models that batches and steps cut, and models that are null, give the rays that they give alone."""
+    rng = np.random.default_rng(6)
+    rows = [(m if m else None, k, float(rng.integers(0, 9)), float(rng.integers(0, 4)) * 700 + 800) for m in range(30) for k in range(int(rng.integers(1, 40)))]
+    monkeypatch.setattr(bending, "_RAYS", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = bending.bending_rays(spark.createDataFrame(rows, "model int, layer int, thickness double, vp double"), [0.0, 30.0]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for m in {r[0] for r in rows}:
+        own = [r for r in sorted((r for r in rows if r[0] == m), key=lambda r: r[1]) if r[2] > 0]
+        for k, r in enumerate(own):
+            h, v = (np.array([[x[c] for x in own[: k + 1]]]) for c in (2, 3))
+            for x in (0.0, 30.0):
+                want[m, r[1], x] = bending.ray_parameters(h, v, np.array([x]))[0]
+    assert len(got) == len(want) and all(abs(g.p - want[g.model, g.layer, g.offset]) <= 1e-13 * g.p for g in got)

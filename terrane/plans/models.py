@@ -12,7 +12,7 @@ from terrane.plans.registry import query, r
 from terrane.plans.views import G, H, L, T, grid, horizons, load, logs
 from terrane.plans.views import traces as trace_view
 from terrane.sources import text
-from terrane.sources.tables import scratch
+from terrane.sources.tables import parts_for, scratch
 
 #: lineitem as elastic layers: the lines of an order, from top to bottom.
 E = "m AS (SELECT l_orderkey AS model, l_linenumber AS layer, sum(l_quantity) AS thickness, 1500 + 30.0 * max(l_quantity) AS vp, 700 + 16.0 * max(l_quantity) AS vs, 2000 + 3000 * max(l_discount) AS rho FROM lineitem GROUP BY ALL)"
@@ -20,8 +20,10 @@ ANGLE = math.radians(20)
 
 
 def _layers(spark, sf):
-    q = F.max("l_quantity")
-    return load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("model"), F.col("l_linenumber").alias("layer")).agg(F.sum("l_quantity").alias("thickness"), (1500 + 30.0 * q).alias("vp"), (700 + 16.0 * q).alias("vs"), (2000 + 3000 * F.max("l_discount")).alias("rho"))
+    """The models' lines are dealt out once, so that a task has a bounded number of them, for all steps by model."""
+    q, li = F.max("l_quantity"), load(spark, sf, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount").repartition(parts_for(spark, li.count()), "l_orderkey")
+    return rows.groupBy(F.col("l_orderkey").alias("model"), F.col("l_linenumber").alias("layer")).agg(F.sum("l_quantity").alias("thickness"), (1500 + 30.0 * q).alias("vp"), (700 + 16.0 * q).alias("vs"), (2000 + 3000 * F.max("l_discount")).alias("rho"))
 
 
 @query(f"""WITH {E}, n AS (SELECT *, lead(vp) OVER w AS vp2, lead(vs) OVER w AS vs2, lead(rho) OVER w AS rho2, {math.sin(ANGLE)!r}::DOUBLE / vp AS p FROM m WINDOW w AS (PARTITION BY model ORDER BY layer)),

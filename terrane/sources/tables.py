@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,24 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "terrane")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task, about, where a step's memory goes with them.
+ROWS = 100_000
+_PARTS = "spark.sql.shuffle.partitions"
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """As many tasks as shuffles have, or more, so that each of them gets ROWS rows or so."""
+    return max(int(spark.conf.get(_PARTS)), -(-rows // ROWS))
+
+
+@contextlib.contextmanager
+def more_parts(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of what is written within have parts_for(rows) parts."""
+    before = spark.conf.get(_PARTS)
+    spark.conf.set(_PARTS, str(parts_for(spark, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTS, before)

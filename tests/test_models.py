@@ -84,3 +84,23 @@ def test_read_columns(spark, tmp_path):
     (tmp_path / "t.txt").write_text("# head\n\n  1  well-A   10.5\n2\twell-B\t1e30\nx well-C\n")
     got = text.read_columns(spark, str(tmp_path / "t.txt"), {"id": (1, "int", 1.0), "name": (2, "string", 1.0), "z": (3, "double", 0.1)})
     assert rows(got) == [(1, "well-A", pytest.approx(1.05)), (2, "well-B", None), (None, "well-C", None)]
+
+
+def test_parts_go_with_rows(spark):
+    """Steps by model have more tasks as rows grow, fixed while they are few; the setting comes back."""
+    from terrane.sources import tables
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.parts_for(spark, 10) == n and tables.parts_for(spark, 100 * n * tables.ROWS + 1) == 100 * n + 1
+    with tables.more_parts(spark, 9 * n * tables.ROWS):
+        assert spark.range(9).groupBy("id").count().repartition("id").count() == 9 and int(spark.conf.get("spark.sql.shuffle.partitions")) == 9 * n
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == n
+
+
+def test_layers_are_dealt_by_rows(spark, monkeypatch):
+    from terrane.plans import models as plans
+    from terrane.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS", 500)
+    layers = plans._layers(spark, "/root/testdata/sf0.001")
+    assert layers.rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)

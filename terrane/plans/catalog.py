@@ -462,7 +462,7 @@ def q_bayes_classify(spark, sf):
 def q_connected_components(spark, sf):
     """Parts and suppliers joined by all rows of lineitem; a recursive SQL query is too slow on whole tables."""
     e = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("u"), (1000000000 + F.col("l_suppkey")).alias("v"))
-    return graph.connected(e.distinct())
+    return graph.connected(e)
 
 
 # ---- traces side by side, gathers and gaps

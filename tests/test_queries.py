@@ -32,3 +32,17 @@ def test_connected_components(spark, con):
         a, b = find(u), find(v)
         root[max(a, b)] = min(a, b)
     assert {tuple(x) for x in QUERIES["connected_components"](spark, SF).select("node", "component").collect()} == {(x, find(x)) for x in list(root)}
+
+
+def test_connected_has_parts_by_edges(spark, monkeypatch):
+    """Shuffles have more parts as edges grow; the result is the same."""
+    from terrane.operators import graph
+    from terrane.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS", 20)
+    seen, whole = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or whole(df))
+    edges = spark.range(100).selectExpr("id + id div 10 AS u", "id + id div 10 + 1 AS v")
+    got = {r.node: r.component for r in graph.connected(edges.union(edges)).collect()}
+    assert got == {n: n // 11 * 11 for n in range(110)} and set(seen) == {20}
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 4

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources.segy import _filesystem
+
 UNDEFINED = "-999.25"
 
 
@@ -16,8 +21,8 @@ UNDEFINED = "-999.25"
 
 
 def write_las(logs: DataFrame, path: str, curves: list[str], depth: str = "dah", key: str = "well") -> None:
-    """One file for each well (folders well=...), of a row for each depth. Lines of a well pass through one task in order;
-    none of them is held."""
+    """One file for each well (folders well=... in one for each task), of a row for each depth. Lines of a well pass through
+    one task in order, which writes and names its files itself; none of them is held."""
     head = [
         "~VERSION INFORMATION", "VERS. 2.0 : LAS", "WRAP. NO : one line for each depth", "~WELL INFORMATION", f"NULL. {UNDEFINED} : undefined",
         "~CURVE INFORMATION", f"DEPT.M : {depth}", *[f"{c}. : {c}" for c in curves], "~ASCII",
@@ -26,18 +31,73 @@ def write_las(logs: DataFrame, path: str, curves: list[str], depth: str = "dah",
     rows = logs.select(key, F.lit(1).alias("part"), F.col(depth).cast("double").alias("at"), F.concat_ws(" ", text(depth), *[text(c) for c in curves]).alias("value"))
     heads = logs.select(key).distinct().select(key, F.lit(0).alias("part"), F.posexplode(F.array(*map(F.lit, head))).alias("at", "value"))
     both = rows.unionByName(heads.withColumn("at", F.col("at").cast("double")))
-    both.repartition(key).sortWithinPartitions(key, "part", "at").select(key, "value").write.partitionBy(key).text(path)
+    n = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = both.repartition(n, key).sortWithinPartitions(key, "part", "at").select(F.col(key).cast("string").alias("key"), "value")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # a file gets its name when it is whole; a second attempt writes the same again
+        fs, base = _filesystem(path)
+        task = TaskContext.get()
+        folder, own = f"{base}/part-{task.partitionId():05d}", f"_writing-{task.taskAttemptId()}"
+        out, name, files, now = None, "", 0, object()
+
+        def close() -> None:
+            out.close()
+            fs.move(f"{folder}/{own}", name)
+
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != now:
+                    if out:
+                        close()
+                    now, files = k, files + 1
+                    well = "__HIVE_DEFAULT_PARTITION__" if k is None else quote(k, safe=" ")
+                    fs.create_dir(f"{folder}/{key}={well}", recursive=True)
+                    name = f"{folder}/{key}={well}/log.txt"
+                    out = fs.open_output_stream(f"{folder}/{own}")
+                out.write(f"{value}\n".encode())
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    lines.mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """path, log, dah, val of every defined value of the files below path. A file is read by one task, line by line."""
+    """path, log, dah, val of every defined value of the files below path. Tasks list the folders in it; a file is read by
+    one task, line by line. Names that begin with _ or . are left out."""
+    fs, base = _filesystem(path)
+    found = fs.get_file_info(pafs.FileSelector(base)) if fs.get_file_info(base).type == pafs.FileType.Directory else [fs.get_file_info(base)]
+    found = [f for f in found if f.type != pafs.FileType.NotFound and (f.path == base or not f.base_name.startswith(("_", ".")))]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs = _filesystem(path)[0]
+        for batch in batches:
+            for at, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                below = fs.get_file_info(pafs.FileSelector(at, recursive=True)) if folder else []
+                files = [f.path for f in below if f.type == pafs.FileType.File and not any(p.startswith(("_", ".")) for p in f.path[len(at) :].split("/"))]
+                yield pa.RecordBatch.from_arrays([pa.array(files if folder else [at], pa.string())], names=["path"])
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs = _filesystem(path)[0]
         for frame in frames:
-            for where, text in zip(frame["path"], frame["value"], strict=True):
-                yield from _las(where, text)
-
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+            few, size = [], 0
+            for where in frame["path"]:
+                with fs.open_input_file(where) as f:
+                    for part in _las(where, f.read().decode()):
+                        few.append(part)
+                        size += len(part)
+                        if size >= 10000:
+                            yield pd.concat(few)
+                            few, size = [], 0
+            if few:
+                yield pd.concat(few)
+
+    top = spark.createDataFrame([(f.path, f.type == pafs.FileType.Directory) for f in found], "path string, folder boolean")
+    files = top.repartition(n).mapInArrow(listed, "path string").repartition(n)
     return files.mapInPandas(parse, "path string, log string, dah double, val double")
 
 

@@ -137,3 +137,15 @@ def test_segy_lines_of_a_table(spark, tmp_path):
     got = segy.read_lines(spark, str(path), index, wanted, F.col("crl_max") > 4, split=1000).where("crl > 4").collect()
     assert sorted((r.inl, r.crl, *r.samples) for r in got) == [(i, j, float(i), float(j)) for i in (3, 5, 38) for j in range(5, 9)]
     assert segy.read_lines(spark, str(path), index, wanted.limit(0)).count() == 0
+
+
+def test_las_files_are_named_by_their_tasks(spark, tmp_path):
+    """A whole file for each well in its task's folder, that the driver neither moves nor lists; unfinished ones are not read."""
+    path = tmp_path / "las"
+    rows = [(w, float(d), float(w * d) if w is not None and d % 3 else None) for w in (1, 2, 30, None) for d in range(5)]
+    text.write_las(spark.createDataFrame(rows, "well long, dah double, gr double"), str(path), ["gr"])
+    files = [f.relative_to(path) for f in path.rglob("*.txt")]
+    assert len(files) == 4 and all(f.parts[0].startswith("part-") and f.parts[1].startswith("well=") for f in files)
+    (path / files[0].parts[0] / "_writing-9").write_text("broken")
+    got = text.read_las(spark, str(path)).selectExpr("cast(regexp_extract(path, 'well=([0-9]+)', 1) as long) AS well", "log", "dah", "val").collect()
+    assert sorted(map(tuple, got)) == sorted((w, "gr", d, v) for w, d, v in rows if v is not None)

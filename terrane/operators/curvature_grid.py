@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.sources.tables import written
+from terrane.sources.tables import parts_for, written
 
 #: Nodes along the side of a block, and how far the part it solves reaches into its neighbours.
 BLOCK, OVERLAP = 64, 24
 _RING = 2  # nodes beyond, that the stencils reach
+#: Steps of conjugate gradients that a block may take, and the share of the pull at which it counts as solved: what comes to
+#: that in so few steps is as exact as elimination.
+STEPS, STILL = 300, 1e-11
 _ROWS = "bi long, bj long, known binary, value binary"
 
 
@@ -78,6 +81,70 @@ def solve(value: np.ndarray, free: np.ndarray, tension: float, ridge: float = 1e
     return out.reshape(h, w)
 
 
+def nearer(value: np.ndarray, free: np.ndarray, tension: float) -> np.ndarray:
+    """What solve gives, by conjugate gradients: where known nodes lie close to all others, these need far less than
+    elimination does. What has not come to STILL of its size in STEPS is solved directly."""
+    if not free.any():
+        return value
+    w, n, held = value.shape[1], value.size, value[~free]
+    loose, middle = free.ravel(), held.mean() if held.size else value.mean()
+    # rows lie one behind another: differences along them have no weight where they would run on into the next row
+    after, pull_of_first = w - 1 - np.arange(n) % w, tension / (1.0 - tension)
+    first_j, second_j, both = (after[: n - 1] > 0) * pull_of_first, (after[: max(n - 2, 0)] > 1) * 1.0, (after[: max(n - 1 - w, 0)] > 0) * 2.0
+    gj, gi, jj, ij, ii = np.zeros(n - 1), np.zeros(n - w), np.zeros(second_j.size), np.zeros(both.size), np.zeros(max(n - 2 * w, 0))
+
+    def pull(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Half the slope of the sum of squares over 1 - tension, from first differences and differences of these."""
+        np.subtract(x[1:], x[:-1], gj)
+        np.subtract(x[w:], x[:-w], gi)
+        np.subtract(gj[1:], gj[:-1], jj)
+        np.subtract(gj[w:], gj[:-w], ij)
+        np.subtract(gi[w:], gi[:-w], ii)
+        for part, weight in ((jj, second_j), (ij, both), (gj, first_j), (gi, pull_of_first)):
+            np.multiply(part, weight, part)
+        for whole, part, by in ((gj, jj, 1), (gj, ij, w), (gi, ii, w)):
+            whole[by:] += part
+            whole[:-by] -= part
+        out[0] = 0.0
+        out[1:] = gj
+        out[:-1] -= gj
+        out[w:] += gi
+        out[:-w] -= gi
+        return out
+
+    size = np.zeros(n)
+    for part, factors, by in ((second_j, (1, 4, 1), 1), (np.ones(ii.size), (1, 4, 1), w), (first_j, (1, 1), 1), (np.full(gi.size, pull_of_first), (1, 1), w)):
+        for k, x in enumerate(factors):
+            size[k * by : k * by + part.size] += x * part
+    for at in (0, 1, w, w + 1):
+        size[at : at + both.size] += both
+    scale = np.zeros(n)
+    np.divide(1.0, size, scale, where=loose & (size > 0))
+    x, bent, step = value.ravel() - middle, np.zeros(n), np.zeros(n)
+    known = pull(np.where(loose, 0.0, x), bent)
+    small = np.vdot(known, known * scale)
+    left = -pull(x, np.zeros(n))
+    np.multiply(left, scale, step)
+    now, way = np.vdot(left, step), step.copy()
+    small = max(STILL**2 * max(now, small), (1e-14 * np.abs(x).max()) ** 2)
+    for _ in range(STEPS):
+        if now <= small:
+            return np.where(free, x.reshape(value.shape) + middle, value)
+        pull(way, bent)
+        along = np.vdot(way, bent)
+        if not along > 0:
+            break
+        np.multiply(way, now / along, step)
+        x += step
+        bent *= now / along
+        left -= bent
+        np.multiply(left, scale, step)
+        before, now = now, np.vdot(left, step)
+        way *= now / before
+        way += step
+    return solve(value, free, tension)
+
+
 class _Grid:
     """A rectangle of nodes in blocks; the last ones of a row or column are partly outside."""
 
@@ -88,54 +155,100 @@ class _Grid:
     def array(self, data: bytes, kind=np.float64) -> np.ndarray:
         return np.frombuffer(data, kind).reshape(self.block, self.block)
 
+    def side(self, step: int, reach: int) -> slice:
+        """Rows (or columns) of a block that lie within `reach` of the one `step` blocks on."""
+        return (slice(0, reach), slice(0, self.block), slice(self.block - reach, self.block))[step + 1]
+
+    def ring(self, di: int, dj: int, reach: int) -> list[tuple[slice, slice]]:
+        """The nodes of a block that the one (di, dj) on holds still: the outermost of those within its reach."""
+        i, j = self.side(di, reach), self.side(dj, reach)
+        last = [slice(s.stop - _RING, s.stop) if d < 0 else slice(s.start, s.start + _RING) for d, s in ((di, i), (dj, j))]
+        return ([(last[0], j)] if di else []) + ([(i, last[1])] if dj else [])
 
-def _dealt(blocks: DataFrame, grid: _Grid) -> DataFrame:
-    """Each block beside each of those that it lies next to, and itself: ti, tj say whose surroundings it is."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
-    out = blocks.select("*", steps).select("bi", "bj", "known", "value", (F.col("bi") + F.col("s.i")).alias("ti"), (F.col("bj") + F.col("s.j")).alias("tj"))
-    return out.where(F.col("ti").between(0, grid.bi - 1) & F.col("tj").between(0, grid.bj - 1))
+
+def _dealt(blocks: DataFrame, todo: DataFrame | None, grid: _Grid, reach: int) -> DataFrame:
+    """Of each block what lies within `reach` nodes of those beside it, and itself: ti, tj say whose surroundings it is; all
+    blocks', or those of todo (bi, bj)."""
+    if todo is None:
+        rows = blocks.withColumn("to", F.array(*(F.lit(k) for k in range(9))))
+    else:
+        steps = F.explode(F.array(*(F.lit(k) for k in range(9)))).alias("k")
+        sent = todo.select("bi", "bj", steps).select((F.col("bi") + 1 - F.floor(F.col("k") / 3)).alias("bi"), (F.col("bj") + 1 - F.col("k") % 3).alias("bj"), "k")
+        rows = blocks.join(sent.groupBy("bi", "bj").agg(F.collect_list("k").alias("to")), ["bi", "bj"])
+    schema = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("known", pa.binary()), ("value", pa.binary()), ("ti", pa.int64()), ("tj", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, k, v, to in zip(*(batch.column(c) for c in range(5))):
+                bi, bj, k, v, out = bi.as_py(), bj.as_py(), grid.array(k.as_py(), np.bool_), grid.array(v.as_py()), []
+                for step in to.as_py():
+                    ti, tj = bi + step // 3 - 1, bj + step % 3 - 1
+                    if 0 <= ti < grid.bi and 0 <= tj < grid.bj:
+                        cut = grid.side(step // 3 - 1, reach), grid.side(step % 3 - 1, reach)
+                        out.append((bi, bj, k[cut].tobytes(), v[cut].tobytes(), ti, tj))
+                columns = list(zip(*out)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    out = rows.select("bi", "bj", "known", "value", "to").mapInArrow(run, f"{_ROWS}, ti long, tj long")
+    # a fixed number of tasks: the work of a block is far more than its bytes, by which Spark would put tasks together
+    n = grid.bi * grid.bj
+    return out.repartition(min(n, parts_for(blocks.sparkSession, n * grid.block**2)), "ti", "tj")
 
 
 def _around(table: pa.Table, grid: _Grid, reach: int) -> tuple[int, int, np.ndarray, np.ndarray, int, int]:
-    """Of the blocks around (ti, tj): row, column, values and known nodes of it and `reach` nodes around it within the grid, and where it begins there."""
+    """Of what was dealt to (ti, tj): row, column, values and known nodes of it and `reach` nodes around it within the grid, and where it begins there."""
     ti, tj, block = table["ti"][0].as_py(), table["tj"][0].as_py(), grid.block
     i0, j0 = max(0, ti * block - reach), max(0, tj * block - reach)
     i1, j1 = min(grid.rows, (ti + 1) * block + reach), min(grid.columns, (tj + 1) * block + reach)
     value, known = np.zeros((i1 - i0, j1 - j0)), np.zeros((i1 - i0, j1 - j0), bool)
     for bi, bj, k, v in zip(*(table[c].to_pylist() for c in ("bi", "bj", "known", "value"))):
-        a, b, c, d = max(i0, bi * block), min(i1, (bi + 1) * block), max(j0, bj * block), min(j1, (bj + 1) * block)
-        if a < b and c < d:
-            cut = (slice(a - bi * block, b - bi * block), slice(c - bj * block, d - bj * block))
-            value[a - i0 : b - i0, c - j0 : d - j0], known[a - i0 : b - i0, c - j0 : d - j0] = grid.array(v)[cut], grid.array(k, np.bool_)[cut]
+        rows, columns = grid.side(ti - bi, reach), grid.side(tj - bj, reach)
+        i, j, shape = bi * block + rows.start - i0, bj * block + columns.start - j0, (rows.stop - rows.start, columns.stop - columns.start)
+        to = value[i : i + shape[0], j : j + shape[1]]
+        to[:] = np.frombuffer(v).reshape(shape)[: to.shape[0], : to.shape[1]]
+        known[i : i + shape[0], j : j + shape[1]] = np.frombuffer(k, np.bool_).reshape(shape)[: to.shape[0], : to.shape[1]]
     return ti, tj, value, known, ti * block - i0, tj * block - j0
 
 
-def _round(blocks: DataFrame, grid: _Grid, tension: float) -> DataFrame:
-    """Every block solved with OVERLAP nodes around it, what lies beyond held as it is; moved: the most that a node moved."""
-    schema = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("known", pa.binary()), ("value", pa.binary()), ("moved", pa.float64())])
+def _round(blocks: DataFrame, todo: DataFrame | None, grid: _Grid, tension: float) -> DataFrame:
+    """The blocks of todo (None: all) solved with OVERLAP nodes around them, what lies beyond held as it is, and the others;
+    moved: for each of the blocks around, the most that a node moved which that one holds."""
+    schema = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("known", pa.binary()), ("value", pa.binary()), ("moved", pa.list_(pa.float64()))])
+    reach = grid.overlap + _RING
 
     def one(table: pa.Table) -> pa.Table:
-        ti, tj, value, known, i, j = _around(table, grid, grid.overlap + _RING)
+        ti, tj, value, known, i, j = _around(table, grid, reach)
         free, h, w = ~known, *value.shape
         # the ring holds still, but for the edge of the whole grid, beyond which there is nothing
-        if ti * grid.block - grid.overlap - _RING >= 0:
+        if ti * grid.block - reach >= 0:
             free[:_RING] = False
-        if tj * grid.block - grid.overlap - _RING >= 0:
+        if tj * grid.block - reach >= 0:
             free[:, :_RING] = False
-        if (ti + 1) * grid.block + grid.overlap + _RING <= grid.rows:
+        if (ti + 1) * grid.block + reach <= grid.rows:
             free[h - _RING :] = False
-        if (tj + 1) * grid.block + grid.overlap + _RING <= grid.columns:
+        if (tj + 1) * grid.block + reach <= grid.columns:
             free[:, w - _RING :] = False
-        after = solve(value, free, tension)
-        own = np.zeros((grid.block, grid.block))
+        after = nearer(value, free, tension)
+        own, change = np.zeros((grid.block, grid.block)), np.zeros((grid.block, grid.block))
         part = after[i : i + grid.block, j : j + grid.block]
         own[: part.shape[0], : part.shape[1]] = part
-        moved = float(np.abs(part - value[i : i + grid.block, j : j + grid.block]).max(initial=0.0))
+        change[: part.shape[0], : part.shape[1]] = np.abs(part - value[i : i + grid.block, j : j + grid.block])
         mask = np.zeros((grid.block, grid.block), bool)
         mask[: part.shape[0], : part.shape[1]] = known[i : i + grid.block, j : j + grid.block]
-        return pa.Table.from_arrays([pa.array([ti]), pa.array([tj]), pa.array([mask.tobytes()]), pa.array([own.tobytes()]), pa.array([moved])], schema=schema)
+        moved = [max(change[a, b].max(initial=0.0) for a, b in grid.ring(k // 3 - 1, k % 3 - 1, reach)) if k != 4 else 0.0 for k in range(9)]
+        return pa.Table.from_arrays([pa.array([ti]), pa.array([tj]), pa.array([mask.tobytes()]), pa.array([own.tobytes()]), pa.array([moved], pa.list_(pa.float64()))], schema=schema)
+
+    solved = _dealt(blocks, todo, grid, reach).groupBy("ti", "tj").applyInArrow(one, f"{_ROWS}, moved array<double>")
+    if todo is None:
+        return solved
+    return solved.unionByName(blocks.join(todo, ["bi", "bj"], "left_anti").withColumn("moved", F.array(*(F.lit(0.0) for _ in range(9)))))
+
 
-    return _dealt(blocks, grid).groupBy("ti", "tj").applyInArrow(one, f"{_ROWS}, moved double")
+def _called(solved: DataFrame, grid: _Grid, enough: float) -> DataFrame:
+    """The blocks (bi, bj) that hold a node which moved by more than `enough`."""
+    far = solved.select("bi", "bj", F.posexplode("moved").alias("k", "most")).where(F.col("most") > enough)
+    out = far.select((F.col("bi") + F.floor(F.col("k") / 3) - 1).alias("bi"), (F.col("bj") + F.col("k") % 3 - 1).alias("bj"))
+    return out.where(F.col("bi").between(0, grid.bi - 1) & F.col("bj").between(0, grid.bj - 1)).distinct()
 
 
 def _start(nodes: DataFrame, grid: _Grid, fill: float) -> DataFrame:
@@ -184,10 +297,11 @@ def fill(nodes: DataFrame, tension: float = 0.0, accuracy: float = 1e-6, most_ro
     1, not 1), least; so the surface is free at the grid's edges. Without any known value all are null; an empty table
     gives no rows; other columns are ignored.
 
-    The grid is cut in blocks. In a round each block is of `block` nodes a side is solved exactly together with `overlap` nodes (less than a block) around it, all beyond
-    held at what the round before left; rounds end when no node moves by more than `accuracy` times the range of known
-    values (RuntimeError after most_rounds). Grids of half as many nodes a side are solved before, down to one block, to
-    start from. A round shuffles each block to its eight neighbours; a task holds one block and those around it.
+    The grid is cut in blocks. In a round each block of `block` nodes a side is solved exactly together with `overlap` nodes (less than a block) around it, all beyond
+    held at what the round before left. A block is solved again while a node that it holds has moved by more than
+    `accuracy` times the range of known values; rounds end when none is (RuntimeError after most_rounds). Grids of half as
+    many nodes a side are solved before, down to one block, to start from. A round shuffles to each block's neighbours what
+    lies within their reach; a task holds one block and its surroundings at a time.
     """
     if not (0 <= tension < 1 and 0 < overlap <= block - _RING):
         raise ValueError("tension is 0 or more and less than 1, the overlap less than a block")
@@ -201,17 +315,21 @@ def fill(nodes: DataFrame, tension: float = 0.0, accuracy: float = 1e-6, most_ro
     grids = [_Grid(i1 - i0 + 1, j1 - j0 + 1, block, overlap)]
     while grids[-1].bi * grids[-1].bj > 1:
         grids.append(_Grid(-(-grids[-1].rows // 2), -(-grids[-1].columns // 2), block, overlap))
+    layers = [at.select("i", "j", F.col("val").alias("s"), F.lit(1).cast("long").alias("n"))]
+    for _ in grids[1:]:
+        half = [F.floor(F.col(c) / 2).alias(c) for c in "ij"]
+        layers.append(written(layers[-1].groupBy(*half).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))))
     blocks, above = None, None
     for level in range(len(grids) - 1, -1, -1):
-        grid, scale = grids[level], 1 << level
-        own = at.groupBy(F.floor(F.col("i") / scale).alias("i"), F.floor(F.col("j") / scale).alias("j")).agg(F.avg("val").alias("val")) if level else at
-        start = _start(own, grid, mean)
+        grid = grids[level]
+        start = _start(layers[level].select("i", "j", (F.col("s") / F.col("n")).alias("val")), grid, mean)
         blocks = written(start if blocks is None else _finer(blocks, start, grid, above))
         enough = max((high - low) * accuracy * (100 if level else 1), 1e-300)
+        todo = None
         for _ in range(most_rounds):
-            solved = written(_round(blocks, grid, tension))
+            solved = written(_round(blocks, todo, grid, tension))
             blocks = solved.drop("moved")
-            if grid.bi * grid.bj == 1 or solved.agg(F.max("moved")).first()[0] <= enough:
+            if grid.bi * grid.bj == 1 or (todo := written(_called(solved, grid, enough))).isEmpty():
                 break
         else:
             raise RuntimeError(f"the surface still moves after {most_rounds} rounds")

@@ -72,3 +72,49 @@ def test_odd_tables(spark):
     assert {(r.inl, r.crl): round(r.val, 6) for r in got}[4, 3] == 8.0 and sum(r.known for r in got) == 3
     with pytest.raises(ValueError):
         curvature_grid.fill(spark.createDataFrame([(0, 0, 1.0)], kind), 1.0)
+
+
+@pytest.mark.parametrize(("shape", "tension"), [((40, 37), 0.0), ((33, 41), 0.3), ((2, 9), 0.2), ((1, 9), 0.2), ((9, 1), 0.0)])
+def test_steps_alone_solve_what_has_known_nodes_near(monkeypatch, shape, tension):
+    rng = np.random.default_rng(4)
+    value, known = rng.normal(size=shape) * 5 + 300, rng.random(shape) < 0.3
+    known[0, 0] = known[0, -1] = known[-1, min(1, shape[1] - 1)] = True
+    monkeypatch.setattr(curvature_grid, "solve", None)  # no block is eliminated
+    got = curvature_grid.nearer(np.where(known, value, 0.0), ~known, tension)
+    assert np.abs(got - dense(value, known, tension)).max() < 1e-7
+    assert np.array_equal(got[known], value[known])
+
+
+def test_what_steps_do_not_settle_is_eliminated():
+    i, j = np.mgrid[:60, :50]
+    value, known = 2.0 + 0.5 * i - 0.25 * j, np.zeros((60, 50), bool)
+    known[0, 0] = known[59, 0] = known[3, 49] = True
+    got, flat = np.where(known, value, 7.0), np.full((6, 5), 3.0)
+    for _ in range(60):
+        got = curvature_grid.nearer(got, ~known, 0.0)
+    assert np.abs(got - value).max() < 1e-4
+    assert np.array_equal(curvature_grid.nearer(flat, np.ones((6, 5), bool), 0.2), flat)
+
+
+def test_only_blocks_that_hold_what_moved_are_solved_again(spark):
+    grid = curvature_grid._Grid(40, 24, 8, 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(rng.normal(size=(40, 24))) if rng.random() < 0.3]
+    blocks = curvature_grid._start(spark.createDataFrame(rows, "i long, j long, val double"), grid, 0.0).localCheckpoint()
+    first = curvature_grid._round(blocks, None, grid, 0.2).localCheckpoint()
+    assert curvature_grid._called(first, grid, 0.0).count() == 15 and curvature_grid._called(first, grid, 1e9).count() == 0
+    todo = spark.createDataFrame([(2, 1)], "bi long, bj long")
+    second = curvature_grid._round(first.drop("moved"), todo, grid, 0.2).localCheckpoint()
+    before, after = ({(r.bi, r.bj): r.value for r in t.collect()} for t in (first, second))
+    assert {at for at in after if after[at] != before[at]} == {(2, 1)} and len(after) == 15
+    # its neighbours hold what moved, others do not
+    called = {(r.bi, r.bj) for r in curvature_grid._called(second, grid, 0.0).collect()}
+    assert called <= {(i, j) for i in (1, 2, 3) for j in (0, 1, 2)} - {(2, 1)} and called
+    whole = curvature_grid._round(first.drop("moved"), None, grid, 0.2)
+    assert {(r.bi, r.bj): r.value for r in whole.collect()}[2, 1] == after[2, 1]
+
+
+def test_blocks_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
+    grid = curvature_grid._Grid(200, 24, 8, 4)
+    blocks = curvature_grid._start(spark.createDataFrame([(0, 0, 1.0)], "i long, j long, val double"), grid, 0.0)
+    assert curvature_grid._dealt(blocks, None, grid, 6).rdd.getNumPartitions() == 4

@@ -8,10 +8,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.sources.tables import written
+from terrane.sources.tables import parts_for, written
 
 #: Points of a tile, about; a task holds a few tiles' worth.
 TILE = 2048
@@ -34,11 +34,12 @@ def orient(a, b, c) -> int:
 def in_circle(a, b, c, d) -> bool:
     """Whether d lies within the circle through a, b, c, which turn left; exact. Of four points on one circle, the least
     (by x, then y) counts as lifted a little: so that each set of points has one triangulation, wherever it is made."""
-    rows = [(p[0] - d[0], p[1] - d[1]) for p in (a, b, c)]
-    lift = [x * x + y * y for x, y in rows]
-    terms = [(rows[1][0] * rows[2][1], rows[1][1] * rows[2][0]), (rows[2][0] * rows[0][1], rows[2][1] * rows[0][0]), (rows[0][0] * rows[1][1], rows[0][1] * rows[1][0])]
-    det = sum(z * (p - q) for z, (p, q) in zip(lift, terms))
-    if abs(det) > 2e-15 * sum(z * (abs(p) + abs(q)) for z, (p, q) in zip(lift, terms)):
+    x, y = d
+    x0, y0, x1, y1, x2, y2 = a[0] - x, a[1] - y, b[0] - x, b[1] - y, c[0] - x, c[1] - y
+    p0, q0, p1, q1, p2, q2 = x1 * y2, y1 * x2, x2 * y0, y2 * x0, x0 * y1, y0 * x1
+    z0, z1, z2 = x0 * x0 + y0 * y0, x1 * x1 + y1 * y1, x2 * x2 + y2 * y2
+    det = z0 * (p0 - q0) + z1 * (p1 - q1) + z2 * (p2 - q2)
+    if abs(det) > 2e-15 * (z0 * (abs(p0) + abs(q0)) + z1 * (abs(p1) + abs(q1)) + z2 * (abs(p2) + abs(q2))):
         return det > 0
     exact = [tuple(map(Fraction, p)) for p in (a, b, c, d)]
     rows = [(x - exact[3][0], y - exact[3][1]) for x, y in exact[:3]]
@@ -148,6 +149,10 @@ class Layout:
             out[own] = self.first[s] + np.searchsorted(self.ys[s], y[own], "right")
         return out
 
+    def parts(self, spark: SparkSession) -> int:
+        """Tasks for work on all tiles: a fixed number, as a tile's work is far more than its bytes, by which Spark would put tasks together."""
+        return int(min(self.first[-1], parts_for(spark, int(self.first[-1]) * TILE)))
+
     def box(self, tile: int) -> tuple[float, float, float, float]:
         s = int(np.searchsorted(self.first, tile, "right")) - 1
         x, y, k = [-math.inf, *self.xs, math.inf], [-math.inf, *self.ys[s], math.inf], tile - int(self.first[s])
@@ -162,17 +167,21 @@ class Layout:
 
 
 def layout(points: DataFrame, tile: int = TILE) -> Layout | None:
-    """Tiles for points (x, y); what the driver gets is one number for each tile."""
-    n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    """Tiles for points (x, y), about as wide as high where most points lie; what the driver gets is one number for each tile."""
+    most = [F.percentile_approx(c, [0.05, 0.95]).alias(f"{c}s") for c in "xy"]
+    n, x0, x1, y0, y1, xs, ys = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y"), *most).first()
     if n < 3:
         return None
-    strips = max(1, math.ceil(math.sqrt(n / tile)))
-    cuts = [k / strips for k in range(1, strips)]
-    if not cuts:
-        return Layout([], [[]], (x0, y0), (x1, y1), n)
-    xs = sorted(set(points.agg(F.percentile_approx("x", cuts, 100 * strips)).first()[0]))
+    wide, high = xs[1] - xs[0], ys[1] - ys[0]
+    need = math.ceil(n / tile)
+    strips = max(1, min(need, round(math.sqrt(need * wide / high)))) if wide > 0 and 0 < high < math.inf and wide < math.inf else math.ceil(math.sqrt(need))
+    pieces = -(-need // strips)
+    x_cuts, y_cuts = ([k / m for k in range(1, m)] for m in (strips, pieces))
+    xs = sorted(set(points.agg(F.percentile_approx("x", x_cuts, 100 * strips)).first()[0])) if x_cuts else []
     one = Layout(xs, [[] for _ in range(len(xs) + 1)], (x0, y0), (x1, y1), n)
-    rows = tiled(points, one).groupBy("tile").agg(F.percentile_approx("y", cuts, 100 * strips).alias("cuts")).collect()
+    if not y_cuts:
+        return one
+    rows = tiled(points, one).groupBy("tile").agg(F.percentile_approx("y", y_cuts, 100 * pieces).alias("cuts")).collect()
     ys = {r.tile: r.cuts for r in rows}
     return Layout(xs, [ys.get(s, []) for s in range(len(xs) + 1)], (x0, y0), (x1, y1), n)
 
@@ -200,17 +209,18 @@ def tiled(points: DataFrame, tiles: Layout, halo: bool = False) -> DataFrame:
 
 
 def _local(table: pa.Table, tiles: Layout, frame: list[tuple[float, float]]) -> pa.Table:
-    """The triangles of one tile's points and those it knows beyond: rows of _STATE."""
+    """The triangles at one tile's own points, among these and others that it knows: rows of _STATE."""
     tile = table["tile"][0].as_py()
     own = {p for p, o in zip(zip(table["x"].to_pylist(), table["y"].to_pylist()), table["own"].to_pylist()) if o}
     points = sorted({*zip(table["x"].to_pylist(), table["y"].to_pylist()), *frame})
     mine = [p in own for p in points]
-    corners, ghost = [], []
+    corners, ghost, whose = [], [], []
     for (i, j), k in triangulate(points).items():
         if _GHOST in (i, j) or (k != _GHOST and (i > j or i > k)) or not (mine[i] or mine[j] or (k != _GHOST and mine[k])):
             continue  # each triangle comes once, from its least corner
         corners.append((*points[i], *points[j], *(points[k] if k != _GHOST else points[i])))
         ghost.append(k == _GHOST)
+        whose.append((mine[i], mine[j], k != _GHOST and mine[k]))
     t, is_ghost = np.array(corners, float).reshape(-1, 6), np.array(ghost, bool)
     x, y, r = circle(t)
     x0, x1, y0, y1 = tiles.box(tile)
@@ -228,11 +238,11 @@ def _local(table: pa.Table, tiles: Layout, frame: list[tuple[float, float]]) ->
             reach = r[k] * (1 + 1e-6)
             near = tiles.touched(max(low[0], x[k] - reach), min(high[0], x[k] + reach), max(low[1], y[k] - reach), min(high[1], y[k] + reach))
         ask.append([q for q in near if q != tile and _meets(t[k], is_ghost[k], (x[k], y[k], r[k]), tiles.box(q), low, high)])
-    columns = [pa.array(np.full(len(t), tile)), pa.array(np.arange(len(t))), *(pa.array(t[:, c]) for c in range(6)), pa.array(is_ghost), pa.array([(t[k, 0], t[k, 1]) in own and not ghost[k] for k in range(len(t))], pa.bool_()), pa.array(ask, pa.list_(pa.int64()))]
-    return pa.Table.from_arrays(columns, names=["tile", "k", *_CORNERS, "ghost", "own", "ask"])
+    columns = [pa.array(np.full(len(t), tile)), pa.array(np.arange(len(t))), *(pa.array(t[:, c]) for c in range(6)), pa.array(is_ghost), pa.array([w[0] and not g for w, g in zip(whose, ghost)], pa.bool_()), pa.array(whose, pa.list_(pa.bool_())), pa.array(ask, pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, names=["tile", "k", *_CORNERS, "ghost", "own", "whose", "ask"])
 
 
-_STATE = f"tile long, k long, {', '.join(f'{c} double' for c in _CORNERS)}, ghost boolean, own boolean, ask array<long>"
+_STATE = f"tile long, k long, {', '.join(f'{c} double' for c in _CORNERS)}, ghost boolean, own boolean, whose array<boolean>, ask array<long>"
 
 
 def _meets(t: np.ndarray, ghost: bool, around: tuple[float, float, float], box: tuple[float, float, float, float], low, high) -> bool:
@@ -277,10 +287,11 @@ def delaunay(points: DataFrame, tile: int = TILE) -> DataFrame:
     not depend on tiles.
 
     Tiles of about `tile` points triangulate their points and some beyond their edges. A triangle whose circle leaves the
-    tile asks the tiles that the circle meets for points in it; hull edges ask those beyond. A tile that is told of such
-    points takes them in and begins again; one that hears of none is done. So what is returned is proven, each triangle by
-    the tile of its least corner, and no task holds more than a tile, its surroundings and what it was told of. Each round
-    works on the tiles not yet done alone.
+    tile asks the tiles that the circle meets for points in it; hull edges ask those beyond. A point at which no triangle
+    was told of any is done. The others begin again with what they were told of and the corners of their triangles: these
+    bound their cells, so no other known point can matter. So what is returned is proven, each triangle by the tile of its
+    least corner, and no task holds more than a tile, its surroundings and what it was told of. Each round works on the
+    points not yet done alone.
     """
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     finite = ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < math.inf) & (F.abs(y) < math.inf)
@@ -294,21 +305,30 @@ def delaunay(points: DataFrame, tile: int = TILE) -> DataFrame:
         frame = [(ax, ay), (bx, by), (far.x, far.y)] if orient((ax, ay), (bx, by), (far.x, far.y)) else []
     if not frame:
         return rows.sparkSession.createDataFrame([], ", ".join(f"{c} double" for c in _CORNERS))
-    own = written(tiled(rows, tiles))
-    known, todo, done = written(tiled(rows, tiles, halo=True)), own.select("tile").distinct(), None
+    own, done = written(tiled(rows, tiles)), None
+    parts = tiles.parts(rows.sparkSession)
+    work = own.withColumn("own", F.lit(True)).unionByName(tiled(rows, tiles, halo=True).withColumn("own", F.lit(False)))
     while True:
-        work = own.withColumn("own", F.lit(True)).unionByName(known.withColumn("own", F.lit(False))).join(todo, "tile", "left_semi")
-        state = written(work.groupBy("tile").applyInArrow(lambda table: _local(table, tiles, frame), _STATE))
+        state = written(work.repartition(parts, "tile").groupBy("tile").applyInArrow(lambda table: _local(table, tiles, frame), _STATE))
         asked = state.where(F.size("ask") > 0).select("tile", "k", *_CORNERS, "ghost", F.explode("ask").alias("at"))
-        told = asked.groupBy("at").cogroup(own.withColumnRenamed("tile", "of").groupBy("of")).applyInArrow(_witnesses, "tile long, k long, x double, y double, depth double")
-        told = told.groupBy("tile", "k").agg(F.max(F.struct("depth", "x", "y")).alias("w")).select("tile", "w.x", "w.y")
-        told = written(told.distinct())
-        todo = written(told.select("tile").distinct())
-        right = state.where("own").join(todo, "tile", "left_anti").select(*_CORNERS)
+        beside = own.withColumnRenamed("tile", "of").join(asked.select(F.col("at").alias("of")).distinct(), "of", "left_semi")
+        told = asked.repartition(parts, "at").groupBy("at").cogroup(beside.repartition(parts, "of").groupBy("of")).applyInArrow(_witnesses, "tile long, k long, x double, y double, depth double")
+        told = written(told.groupBy("tile", "k").agg(F.max(F.struct("depth", "x", "y")).alias("w")).select("tile", "k", "w.x", "w.y"))
+        # a point is open as long as one of the triangles at it is not proven
+        open_ = written(_corners(state.join(told, ["tile", "k"], "left_semi")).where("mine").select("tile", "x", "y").distinct())
+        right = state.where("own").join(open_.select("tile", F.col("x").alias("ax"), F.col("y").alias("ay")), ["tile", "ax", "ay"], "left_anti").select(*_CORNERS)
         done = right if done is None else done.unionByName(right)
-        if todo.isEmpty():
+        if open_.isEmpty():
             return done
-        known = written(known.unionByName(told.select(*known.columns)).distinct())
+        near = _corners(state).join(open_, ["tile", "x", "y"], "left_semi").select("tile", "k").distinct()
+        around = _corners(state.join(near, ["tile", "k"], "left_semi")).select("tile", "x", "y").unionByName(told.select("tile", "x", "y")).distinct()
+        work = written(open_.withColumn("own", F.lit(True)).unionByName(around.withColumn("own", F.lit(False))))
+
+
+def _corners(state: DataFrame) -> DataFrame:
+    """tile, k, x, y, mine: whether the corner is one of the tile's own points."""
+    three = [F.struct(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"), F.col("whose")[k].alias("mine")) for k, c in enumerate("abc")]
+    return state.select("tile", "k", F.explode(F.array(*three)).alias("c")).select("tile", "k", "c.*")
 
 
 def interpolate(points: DataFrame, targets: DataFrame, tile: int = TILE) -> DataFrame:
@@ -357,6 +377,7 @@ def interpolate(points: DataFrame, targets: DataFrame, tile: int = TILE) -> Data
             seen[m[hit]] = True
         return pa.Table.from_arrays([asked["target"].combine_chunks().filter(pa.array(seen)), pa.array(value[seen])], names=["found", "val"])
 
+    parts = tiles.parts(rows.sparkSession)
     spread = corners.select(*names).mapInArrow(cells, f"{', '.join(f'{c} double' for c in names)}, tile long")
-    found = spread.groupBy("tile").cogroup(tiled(placed, tiles).withColumnRenamed("tile", "of").groupBy("of")).applyInArrow(inside, "found long, val double")
+    found = spread.repartition(parts, "tile").groupBy("tile").cogroup(tiled(placed, tiles).withColumnRenamed("tile", "of").repartition(parts, "of").groupBy("of")).applyInArrow(inside, "found long, val double")
     return rows.join(found, rows.target == found.found, "left").drop("target", "found")

@@ -102,3 +102,37 @@ def test_query_over_its_whole_table(spark):
     assert (np.hypot(at[:, :1] - x, at[:, 1:] - y) > radius * (1 - 1e-9)).all()
     edges = {frozenset((a, b)) for r in t.tolist() for a, b in ((tuple(r[:2]), tuple(r[2:4])), (tuple(r[2:4]), tuple(r[4:])), (tuple(r[4:]), tuple(r[:2])))}
     assert len(points) - len(edges) + len(t) == 1
+
+
+def test_tiles_are_as_wide_as_high(spark):
+    """Points in a long strip: tiles do not become slivers, which know more points beyond their edges than of their own."""
+    rng = np.random.default_rng(8)
+    for stretch in ((1.0, 300.0), (300.0, 1.0)):
+        cloud = spark.createDataFrame((rng.random((4000, 2)) * stretch).tolist(), "x double, y double").cache()
+        tiles = triangles.layout(cloud, 100)
+        boxes = [tiles.box(k) for k in range(int(tiles.first[-1]))]
+        assert 30 <= len(boxes) <= 60
+        inner = [(x1 - x0, y1 - y0) for x0, x1, y0, y1 in boxes if np.isfinite([x0, x1, y0, y1]).all()]
+        assert not inner or max(max(w / h, h / w) for w, h in inner) < 12
+        own, halo = triangles.tiled(cloud, tiles).count(), triangles.tiled(cloud, tiles, halo=True).count()
+        assert halo < 2 * own
+    got = {tuple(r) for r in triangles.delaunay(cloud, 100).collect()}
+    assert got == local([tuple(r) for r in cloud.collect()])
+
+
+def test_open_points_begin_again_alone(spark, monkeypatch):
+    """Rounds after the first triangulate points with open triangles and what bounds their cells, not whole tiles."""
+    rng = np.random.default_rng(9)
+    cloud = spark.createDataFrame(rng.random((3000, 2)).tolist(), "x double, y double")
+    sizes, write = [], triangles.written
+
+    def keep(df):
+        out = write(df)
+        if df.columns == ["tile", "x", "y", "own"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(triangles, "written", keep)
+    got = {tuple(r) for r in triangles.delaunay(cloud, 300).collect()}
+    assert got == local([tuple(r) for r in cloud.collect()])
+    assert sizes and max(sizes) < 1500

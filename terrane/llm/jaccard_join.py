@@ -20,6 +20,14 @@ _LOWER[65:91] += 32
 TREE_SHINGLES = 1 << 20
 #: Shingles that a step down a tree reads at most before bounds are looked at.
 LABEL = 64
+#: From this percentage on sets meet by their parts (see _near), below by rare shingles (see _candidates): parts of more
+#: unlike sets would hold less than two shingles.
+PARTS_FROM = 75
+#: The sizes at which classes of sets begin (see _near), each half as large again as the one before.
+_LEAST = [1]
+while _LEAST[-1] < 1 << 40:
+    _LEAST.append(max(_LEAST[-1] + 1, 3 * _LEAST[-1] // 2))
+_LEAST = np.array(_LEAST)
 #: A shingle is hot if steps in which at least HOT_LEAST sets and a share of 1 / HOT_STEP have it count, together, a share
 #: of 1 / HOT_ALL of all documents; so there are at most HOT_ALL times the mean prefix of them.
 HOT_LEAST, HOT_STEP, HOT_ALL = 16, 64, 1024
@@ -71,9 +79,75 @@ def _prefix(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.nd
     return hashes[at].view(np.int64), np.repeat(sign, length)
 
 
+def _differ(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles only one of two linked sets has, at most, that have so many together, common ones counted twice."""
+    return shingles * (100 - percent) // (100 + percent)
+
+
+def _parts(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, signature of each one's set): the largest parts (see _near) of the sets, of those that repeat one."""
+    sign, one = np.unique(_signs(hashes, bounds, _SALTS[0]), return_index=True)
+    size, begin = np.diff(bounds)[one], bounds[:-1][one]
+    sums = np.append(np.uint64(0), np.cumsum(blocks.mix(hashes ^ np.uint64(_SALTS[1])), dtype=np.uint64))
+    most = 100 * size // percent  # shingles of a set that links to it
+    own, last = (np.searchsorted(_LEAST, x, "right") for x in (size, most))
+    tokens, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(int((last - own).max(initial=0)) + 1):
+        limit = _LEAST[own + step] - 1  # the largest size of the class
+        spare = _differ(size + np.minimum(most, limit), percent)
+        use = np.flatnonzero((own + step <= last) & (spare > 0))  # without spare shingles only equal sets link
+        spare, level, parts = spare[use], (own + step)[use].astype(np.uint64), -(-3 * (_differ(2 * limit[use], percent) + 1) // 2)
+        many = size[use]
+        ends = np.cumsum(many)
+        doc = np.repeat(np.arange(len(use)), many)
+        at = np.arange(len(doc)) + np.repeat(begin[use] - (ends - many), many)
+        # shingles are in order of hash, and so in order of part
+        part = (hashes[at] >> np.uint64(32)) * parts.astype(np.uint64)[doc] >> np.uint64(32)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
+        head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(doc)))
+        doc, part, value = doc[head], part[head], sums[at[head] + count] - sums[at[head]]
+        # a set with too few parts that hold anything has its empty ones also
+        few = np.flatnonzero(np.bincount(doc, minlength=len(use)) <= spare)
+        every = np.cumsum(parts[few])
+        of, which = np.repeat(few, parts[few]), np.arange(every[-1] if len(few) else 0) - np.repeat(every - parts[few], parts[few])
+        empty = ~np.isin((of << 32) + which, (doc << 32) + part.astype(np.int64))
+        doc, part = np.append(doc, of[empty]), np.append(part, which[empty].astype(np.uint64))
+        value, count = np.append(value, np.zeros(empty.sum(), np.uint64)), np.append(count, np.zeros(empty.sum(), np.int64))
+        token = blocks.mix(value ^ blocks.mix((level[doc] << np.uint64(48)) + part)).view(np.int64)
+        order = np.lexsort((token, -count, doc))
+        doc, token = doc[order], token[order]
+        stays = np.arange(len(doc)) - np.searchsorted(doc, doc) <= spare[doc]
+        tokens.append(token[stays])
+        signs.append(sign[use][doc[stays]])
+    return np.concatenate(tokens), np.concatenate(signs)
+
+
+def _near(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (u, v) of signatures such that every two sets that can link are connected, by parts that they share.
+
+    Linked sets differ in few shingles, by their sizes. The sets of a class of sizes, and smaller ones that may link to
+    them, are cut by hash into parts, half as many again as any two of them differ in shingles, and one more. Each
+    shingle in which two sets differ spoils one part at most. Of a set that differs from any it links to in d shingles,
+    d parts at most are larger (by shingles, then by token) than the largest part that both have whole: so sets meet by
+    their d + 1 largest parts, of several shingles each, which unlike sets seldom share by chance.
+    """
+    schema = pa.schema([("token", pa.int64()), ("s1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks.texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _parts(*shingle_sets(data, offsets, n), percent)], schema=schema)
+
+    keys = docs.select("text").mapInArrow(run, "token long, s1 long")
+    least = F.min("s1").over(Window.partitionBy("token"))
+    return keys.select(F.col("s1").alias("u"), least.alias("v")).where("u != v").distinct()
+
+
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, tag (a hash of the text), size of the shingle set, two signatures of it, and, in one row of each step of a
-    task, the tokens that many sets of the step have in their prefixes (often: token, times)."""
+    """doc_id, tag (a hash of the text), size of the shingle set, two signatures of it, and, below PARTS_FROM, in one row of
+    each step of a task, the tokens that many sets of the step have in their prefixes (often: token, times)."""
     many = pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("often", many)])
 
@@ -82,9 +156,11 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for i, j, data, offsets in blocks.texts(batch):
                 hashes, bounds = shingle_sets(data, offsets, n)
                 signs = [pa.array(_signs(hashes, bounds, salt)) for salt in _SALTS]
-                token, times = np.unique(_prefix(hashes, bounds, percent)[0], return_counts=True)
-                hot = times >= max(HOT_LEAST, (j - i) / HOT_STEP)
-                often = [[{"token": t, "times": x} for t, x in zip(token[hot].tolist(), times[hot].tolist(), strict=True)], *[None] * (j - i - 1)]
+                often = [None] * (j - i)
+                if percent < PARTS_FROM:
+                    token, times = np.unique(_prefix(hashes, bounds, percent)[0], return_counts=True)
+                    hot = times >= max(HOT_LEAST, (j - i) / HOT_STEP)
+                    often[0] = [{"token": t, "times": x} for t, x in zip(token[hot].tolist(), times[hot].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(bounds)), *signs, pa.array(often, many)], schema=schema)
 
     return tagged(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, tag long, size long, s1 long, s2 long, often array<struct<token:long,times:long>>")
@@ -233,21 +309,23 @@ def links_of(probes: list[np.ndarray], held: list[np.ndarray], percent: int) ->
 
 def _joined(sets: DataFrame, percent: int) -> DataFrame:
     """sets (cell, kind, copies, probe, held, sign, shingles) as kind, root (the least kind it is connected with in its cell) and
-    links (documents of other kinds that link to it, for probes)."""
+    links (documents of other kinds that link to it, probes or held ones on the other side)."""
     schema = pa.schema([("kind", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         one = np.unique(rows["sign"].to_numpy(), return_index=True)[1]  # repeated rows of a document may bring its kind again
         rows = rows.take(pa.array(one))
         sign, kind, copies = rows["sign"].to_numpy(), rows["kind"].to_numpy(), rows["copies"].to_numpy()
-        probe, held = (np.flatnonzero(rows[k].to_numpy()) for k in ("probe", "held"))
+        probes = rows["probe"].to_numpy()
+        probe, held = np.flatnonzero(probes), np.flatnonzero(rows["held"].to_numpy())
         shingles = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
         root, links = kind.copy(), np.zeros(len(kind), np.int64)
         if len(kind) > 1 and len(held):
             for i, hit in zip(probe.tolist(), links_of([shingles[i] for i in probe], [shingles[i] for i in held], percent), strict=True):
                 hit = held[hit]
                 hit = hit[sign[hit] != sign[i]]
-                links[i] = copies[hit].sum()
+                links[i] += copies[hit].sum()
+                links[hit[~probes[hit]]] += copies[i]
                 old = np.unique(np.append(root[hit], root[i]))
                 if len(old) > 1:
                     root[np.isin(root, old)] = old[0]
@@ -267,10 +345,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with fewer words the whole sequence is one shingle; without words it is empty and links to nothing. component_id is
     the least doc_id reachable by links, n_links the number of documents that link to this one.
 
-    Documents with one and the same set are one kind from then on. Kinds that can link are gathered by rare shingles of
-    their long prefixes (see _candidates), and each group is joined exactly in a prefix tree: sets in one global order,
-    commonest shingle first, share their overlaps with a probe along the tree, and subtrees go when what is left of
-    both can't reach the threshold. Groups over TREE_SHINGLES are joined block against block, so that no task holds more.
+    Documents with one and the same set are one kind from then on. Kinds that can link are gathered by parts that they
+    share (see _near; below PARTS_FROM by rare shingles of their long prefixes, see _candidates), and each group is joined
+    exactly in a prefix tree: sets in one global order, commonest shingle first, share their overlaps with a probe along
+    the tree, and subtrees go when what is left of both can't reach the threshold. Groups over TREE_SHINGLES are joined
+    block against block, so that no task holds more, in rounds, so that no more travels at a time than all sets have.
 
     Repeated rows are documents like others, also those of one id with unlike texts (sets whose least id is one and the
     same are one in components); a document with a null id links and connects others, but names no component: it gets the least id of its own, null if
@@ -282,18 +361,18 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
         kinds = sets.where("size > 0").groupBy("s1", "s2", "size").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
         kinds = written(kinds.select("s1", "s2", "size", "copies", F.coalesce("f.doc_id", "s1").alias("kind"), F.col("f.doc_id").alias("doc_id"), F.col("f.tag").alias("tag")))
-        edges = _candidates(_prefixes(docs, n, percent, _hot(sets)), kinds.select("s1", "size"), percent)
+        if percent >= PARTS_FROM:
+            edges = _near(docs, n, percent)
+        else:
+            edges = _candidates(_prefixes(docs, n, percent, _hot(sets)), kinds.select("s1", "size"), percent)
         groups = components(edges).withColumnRenamed("node", "s1").withColumnRenamed("root", "group")
         members = written(groups.join(kinds, "s1"))
-        weight = members.groupBy("group").agg(F.ceil(F.sum("size") / TREE_SHINGLES).cast("int").alias("parts"))
+        weight = written(members.groupBy("group").agg(F.sum("size").alias("shingles")).withColumn("parts", F.ceil(F.col("shingles") / TREE_SHINGLES).cast("int")))
         cells = members.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
-        # (probe part, held part) cells; with one part, both roles are one row
-        either = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("other"))))
-        cells = cells.select("*", either.alias("x")).select("*", F.col("x.other").alias("other"))
-        names = ["kind", "doc_id", "tag", "copies", "s1"]
-        roles = cells.select(*names, F.xxhash64("group", "part", "other").alias("cell"), F.lit(True).alias("probe"), (F.col("part") == F.col("other")).alias("held"))
-        roles = roles.unionByName(cells.where("part != other").select(*names, F.xxhash64("group", "other", "part").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("held")))
-        linked = written(_joined(_with_shingles(docs, roles, n), percent))
+        linked = None
+        for lo, hi in _rounds(kinds, weight):
+            joined = written(_joined(_with_shingles(docs, _roles(cells, lo, hi), n), percent))
+            linked = joined if linked is None else linked.unionByName(joined)
         roots = written(components(linked.select(F.col("kind").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "kind"))
         called = roots.join(kinds.where("doc_id IS NOT NULL").select("kind").distinct(), "kind").groupBy("root").agg(F.min("kind").alias("component"))
         roots = roots.join(called, "root", "left").select("kind", F.lit(True).alias("linked"), "component")
@@ -312,6 +391,29 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         return outlives(result)
 
 
+def _rounds(kinds: DataFrame, weight: DataFrame) -> list[tuple[int, int]]:
+    """The distances of blocks (see _roles) that are joined at a time, (first, end): so many that the sets of groups of
+    several blocks, which travel twice for each distance, are not more than all sets, or one distance."""
+    every = kinds.agg(F.sum("size")).first()[0] or 0
+    most, heavy = weight.agg(F.max("parts"), F.sum(F.when(F.col("parts") > 1, F.col("shingles")))).first()
+    end, wide = (most or 1) // 2 + 1, max(1, every // (2 * (heavy or 1)))
+    return [(lo, min(lo + wide, end)) for lo in range(0, end, wide)]
+
+
+def _roles(cells: DataFrame, lo: int, hi: int) -> DataFrame:
+    """What kinds do in the cells of blocks that are lo to hi - 1 apart: every two blocks of a group (each `part` of `parts`, in
+    a ring) meet in one cell, where one probes and the other is held; within one block both roles are one row."""
+    names = ["kind", "doc_id", "tag", "copies", "s1"]
+    far = F.least(F.lit(hi - 1), F.floor(F.col("parts") / 2)).cast("int")
+    cells = cells.where(F.col("parts") >= 2 * lo).select("*", F.explode(F.sequence(F.lit(lo), far)).alias("apart"))
+    # blocks that face each other in the ring would meet twice
+    other = F.pmod(F.col("part") + F.col("apart"), F.col("parts"))
+    probes = cells.where("2 * apart < parts OR part < apart").select(*names, F.xxhash64("group", "part", other).alias("cell"), F.lit(True).alias("probe"), (F.col("apart") == 0).alias("held"))
+    other = F.pmod(F.col("part") - F.col("apart"), F.col("parts"))
+    held = cells.where("apart > 0 AND (2 * apart < parts OR part >= apart)").select(*names, F.xxhash64("group", other, "part").alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("held"))
+    return probes.unionByName(held)
+
+
 def _with_shingles(docs: DataFrame, roles: DataFrame, n: int) -> DataFrame:
     """roles with the shingles of their kind, read from one of its documents, as bytes of unsigned longs."""
     names = ["cell", "kind", "copies", "probe", "held"]
